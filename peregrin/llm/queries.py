@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing
+from . import decontaminate, lines, minhash, packing, quality, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -35,6 +51,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_url_filter": op3_url_filter,
+        "op5_quality": op5_quality,
+        "op7_warc": op7_warc,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
     }
@@ -60,5 +80,16 @@ FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.
 """
 
 
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents),
+spread AS (SELECT trim(line) AS t, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT l.*, s.first IS NOT NULL AND s.first <> l.doc_id AS gone FROM lines l LEFT JOIN spread s ON trim(l.line) = s.t),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(t, chr(10))) END AS BIGINT) AS kept_lines, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op10_decontamination": OP10_SQL}
