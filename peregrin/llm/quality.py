@@ -190,7 +190,9 @@ def quality_report(docs: DataFrame, **options) -> DataFrame:
     return judge(docs, keep=("doc_id",), **options)
 
 
-def drop_poor(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that fail: a rejected id goes with all its rows, rows without id stay."""
-    gone = judge(docs, keep=(id_col,), **options).where("not kept").select(F.col(id_col).alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_poor(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that fail; rows are told apart by id and text, so each is judged by its own text."""
+    marked = docs.withColumn("_version", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    judged = judge(marked, keep=(id_col, "_version"), text_col=text_col, **options)
+    gone = judged.where("not kept").select(F.col(id_col).alias("_gone"), F.col("_version").alias("_of")).distinct()
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_version") == F.col("_of")), "left_anti").drop("_version")
