@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval_graph
+from ..streaming import demand as stream_demand
+from . import demand_routing, prep_eval, retrieval_graph, trip
 
-PARTS = (retrieval_graph,)
+PARTS = (retrieval_graph, demand_routing, prep_eval, trip, stream_demand)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
