@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring as S, text as T
 from ..operators import cluster as C, forecast as FC, graph as G, retrieval as R, routing as RT
+from ..session import cut
 from . import demo as D
 
 
@@ -72,11 +73,11 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
     requests: trip_id, preferences (a map), destination_id or null, travel_month
     (yyyy-MM) or null, days.
     """
-    named = classify_requests(requests, profiles).persist()
+    requests = cut(requests)
+    named = cut(classify_requests(requests, profiles))
     where = choose_destination(named, destinations, forecasts)
-    # One row per trip, which every step below reads: kept, so that its lineage isn't planned and run anew for each.
-    full = named.drop("destination_id").join(where, "trip_id").persist()
-    ids = candidate_places(full, places, hubs, affinity, config=config).persist()
+    full = cut(named.drop("destination_id").join(where, "trip_id"))
+    ids = cut(candidate_places(full, places, hubs, affinity, config=config))
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
     priced = full.select("trip_id", "days", F.bround(F.coalesce(F.col("preferences")["budget"], F.lit(0.5)) * 2 + 1).cast("int").alias("most_price"))
     sights = within_budget(ids.join(detail, "id").join(priced, "trip_id")).where(F.col("category") != RT.FOOD).withColumn("role", F.lit("sight"))

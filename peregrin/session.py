@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -19,3 +21,14 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by a checkpoint, so that what follows neither plans nor runs its lineage again.
+
+    It lies in the folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="peregrin-"))
+    return df.checkpoint()
