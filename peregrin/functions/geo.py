@@ -19,7 +19,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance; null if a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / F.lit(2.0)), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def bounding_box(lat: Column, lon: Column, radius_m: Column) -> Column:

@@ -61,7 +61,7 @@ HUBS = f"""hubs AS (SELECT s_suppkey AS id, s_nationkey AS destination_id, ['sho
   {COORDS.format(k="s_suppkey")}, s_acctbal AS popularity FROM supplier)"""
 DEMAND = """demand AS (SELECT c_nationkey AS key, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
-HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt((pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 
 
 def km(a: str, b: str) -> str:
