@@ -17,6 +17,7 @@ The classifier is linear, with weights in numpy.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from .common import short_batches
 from .language import held_out
 
 #: The classifier is fitted on about this many positive and unlabelled documents.
-POSITIVES, UNLABELLED = 2000, 6000
+POSITIVES, UNLABELLED = 1500, 4000
 #: Most features, and least share of the positives that has one.
 FEATURES, LEAST_SHARE = 300, 0.02
+PLACES = 1 << 20
 WORD = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -39,7 +41,20 @@ def features_of(text: str) -> set[str]:
     return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in BEGINNINGS))
 
 
-def select(positive: list[set], unlabelled: list[set], prior: float, most: int = FEATURES, least: float = LEAST_SHARE) -> list[str]:
+def common_places(texts: list[str], least: int) -> np.ndarray:
+    """Which of 2^20 hash places are met in at least `least` of the texts: all frequent features are among them, in bounded memory."""
+    counts = np.zeros(PLACES, np.int32)
+    for t in texts:
+        counts[np.unique(np.fromiter((zlib.crc32(f.encode()) for f in features_of(t)), np.int64) % PLACES)] += 1
+    return counts >= least
+
+
+def keep_places(texts: list[str], places: np.ndarray) -> list[list[str]]:
+    """Of each text's features those with a marked place."""
+    return [[f for f in features_of(t) if places[zlib.crc32(f.encode()) % PLACES]] for t in texts]
+
+
+def select(positive: list, unlabelled: list, prior: float, most: int = FEATURES, least: float = LEAST_SHARE) -> list[str]:
     """Features in at least a share of the positives, with which a text is likelier toxic than not, by how much likelier they are there."""
     counts: dict[str, list[int]] = {}
     for k, group in enumerate((positive, unlabelled)):
@@ -89,7 +104,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def matrix(sets: list[set], names: list[str]) -> np.ndarray:
+def matrix(sets: list, names: list[str]) -> np.ndarray:
     places = {f: i for i, f in enumerate(names)}
     out = np.zeros((len(sets), len(names)))
     for r, s in enumerate(sets):
@@ -105,10 +120,12 @@ def fit(rows: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABE
     n_pos, n_all, n_labelled = rows.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count("*"), F.count("toxic")).first()
     prior = min(0.5, max(0.001, n_pos / n_labelled)) if n_labelled else 0.0
     place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000))
-    take = lambda df, most, n: [features_of(r["text"] or "") for r in sorted(df.where(place < 1_000_000 * min(1.0, most / max(1, n))).select("text").collect(), key=lambda r: r["text"] or "")]
+    take = lambda df, most, n: sorted(r["text"] or "" for r in df.where(place < 1_000_000 * min(1.0, most / max(1, n))).select("text").collect())
     pos, unl = (take(rows.where("toxic = 1"), positives, n_pos), take(rows, unlabelled, n_all)) if n_pos else ([], [])
     if not pos or not unl:
         return ToxicityModel([], np.zeros(0), -5.0)
+    marked = common_places(pos, max(3, int(LEAST_SHARE * len(pos))))
+    pos, unl = keep_places(pos, marked), keep_places(unl, marked)
     names = select(pos, unl, prior)
     weights, bias = train(matrix(pos, names), matrix(unl, names), prior)
     return ToxicityModel(names, weights, bias)
