@@ -75,6 +75,14 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, df._written)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -101,20 +101,19 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The documents' columns named in keep, with _n_words, _hits and _items.
+    """The documents' columns named in keep as k0, k1, ..., with n_words, hits and items.
 
-    _hits: ranges [start, end) of words that lie inside an occurring window,
-    sorted and disjoint; _items: the items that these windows come from.
+    hits: ranges [start, end) of words that lie inside an occurring window,
+    sorted and disjoint; items: the items that these windows come from.
     Null and empty texts have no words and no hits; null items have no windows;
     rows of documents that repeat are judged each on its own; an empty benchmark
-    hits nothing; columns not named in keep are not read.
+    hits nothing; columns not named in keep are not read, whatever their names.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    kept = [c for c in keep if c != text_col]
     item_type = bench.schema[item_col].dataType
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("_text", T.StringType())] + [T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(item_type))])
-    out = docs.select(*kept, F.col(text_col).alias("_text"), F.lit(-1).cast("long").alias("_n_words"), F.array().cast("array<array<bigint>>").alias("_hits"), F.array().cast(T.ArrayType(item_type)).alias("_items"))
+    out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"), F.lit(-1).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("hits"), F.array().cast(T.ArrayType(item_type)).alias("items"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     blocks = 0
     for block in _blocks(bench, item_col, item_text, window, block_windows):
         rarity = _rarity(docs, text_col, {w for win, _ in block for w in win})
@@ -122,7 +121,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, text_col: str = "te
         blocks += 1
     if not blocks:
         out = out.mapInArrow(_search(spark.sparkContext.broadcast({})), schema)
-    return out.withColumnRenamed("_text", text_col) if text_col in keep else out.drop("_text")
+    return out.drop("text")
 
 
 def _search(shared):
@@ -130,35 +129,38 @@ def _search(shared):
         index = shared.value
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            old_hits, old_items = batch.column(at["_hits"]).to_pylist(), batch.column(at["_items"]).to_pylist()
+            old_hits, old_items = batch.column(at["hits"]).to_pylist(), batch.column(at["items"]).to_pylist()
             counts, hits, items = [], [], []
-            for text, h, i in zip(texts(batch.column(at["_text"])), old_hits, old_items, strict=True):
+            for text, h, i in zip(texts(batch.column(at["text"])), old_hits, old_items, strict=True):
                 words = words_of(text)
                 found, of = find_windows(words, index)
                 counts.append(len(words))
                 hits.append(merge(found + [tuple(x) for x in h]) if h else found)
                 items.append(sorted(of.union(i), key=str) if i else sorted(of, key=str))
-            new = {"_n_words": counts, "_hits": hits, "_items": items}
+            new = {"n_words": counts, "hits": hits, "items": items}
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return search
 
 
+def _n_hit():
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda t, r: t + r[1] - r[0])
+
+
 def contamination_report(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, per document."""
     found = find_contamination(docs, bench, keep=(id_col,), **options)
-    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda t, r: t + r[1] - r[0])
     return found.select(
-        id_col,
-        F.col("_n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(F.transform("_items", lambda x: x.cast("string")))), 256).alias("items_sha256"),
+        F.col("k0").alias("doc_id"),
+        "n_words",
+        _n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents without those of which at least a twentieth is benchmark text."""
     found = find_contamination(docs, bench, keep=tuple(docs.columns), **options)
-    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda t, r: t + r[1] - r[0])
-    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("_n_words")))).select(*docs.columns)
+    clean = found.where(~((_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))))
+    return clean.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release, short_batches, texts
+from .common import materialise, release, short_batches, texts, unused
 from .components import connected_components
 
 TABLES, ROWS = 16, 4
@@ -262,6 +262,7 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> D
     Repeated rows of an id stay once; rows without id stay.
     """
     judged = near_duplicates(docs, id_col=id_col, **options)
-    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, short_batches, texts
+from .common import materialise, short_batches, texts, unused
 
 #: Common words, about as frequent as they stand in line.
 COMMON = {
@@ -183,7 +183,8 @@ def judge(docs: DataFrame, *, keep: tuple[str, ...], most_char: float = MOST_CHA
     slack = SLACK / F.greatest(F.col("n_words"), F.lit(1))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= most_char + slack) & (F.coalesce("word_distance", F.lit(0.0)) <= most_word + slack)
     out = out.withColumn("kept", ~F.col("base_failed") & near)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(c for c in out.columns if not (c[0] == "k" and c[1:].isdigit()) and c != "lang"))
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *results)
 
 
 def quality_report(docs: DataFrame, **options) -> DataFrame:
@@ -192,7 +193,8 @@ def quality_report(docs: DataFrame, **options) -> DataFrame:
 
 def drop_poor(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that fail; rows are told apart by id and text, so each is judged by its own text."""
-    marked = docs.withColumn("_version", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    judged = judge(marked, keep=(id_col, "_version"), text_col=text_col, **options)
-    gone = judged.where("not kept").select(F.col(id_col).alias("_gone"), F.col("_version").alias("_of")).distinct()
-    return marked.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_version") == F.col("_of")), "left_anti").drop("_version")
+    version, gone_id, gone_version = (unused(docs, n) for n in ("_version", "_gone_id", "_gone_version"))
+    marked = docs.withColumn(version, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    judged = judge(marked, keep=(id_col, version), text_col=text_col, **options)
+    gone = judged.where("not kept").select(F.col(id_col).alias(gone_id), F.col(version).alias(gone_version)).distinct()
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(version) == F.col(gone_version)), "left_anti").drop(version)

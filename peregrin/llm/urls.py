@@ -24,7 +24,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 #: Labelled names from which the classifier learns; parameters of the operator.
 BLOCK_NAMES = (
-    "adult x videos", "free adult cams", "hot sex chat", "xxx porn tube", "nude girls live", "adult dating now", "casino bet win", "online casino bonus", "poker slots jackpot", "sports bet odds",
+    "adult videos clips", "free adult cams", "hot sex chat", "xxx porn tube", "nude girls live", "adult dating now", "casino bet win", "online casino bonus", "poker slots jackpot", "sports bet odds",
     "ads track click", "ad server banner", "click track pixel", "popup ads network", "tracker pixel beacon", "spam mail bulk", "spam link farm", "cheap pills pharma", "viagra pills shop", "free download crack keygen", "warez torrent crack",
     "malware phish login", "phish bank verify", "get rich quick money", "payday loan cash fast", "escort girls adult",
 )
