@@ -10,6 +10,7 @@ in log(bins) steps.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -23,8 +24,8 @@ SEQUENCE = 2048
 END_ID = 1
 #: As many documents' pieces make a group, on average.
 GROUP_DOCS = 8192
-#: Entries in each generation of what a worker remembers of the ids of chunks and words.
-REMEMBERED = 300_000
+#: Entries in each generation of what a task remembers of the ids of chunks and words (some 160 MB in all).
+REMEMBERED = 200_000
 
 
 class Memory:
@@ -50,11 +51,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.chunks, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)").fullmatch
@@ -94,16 +91,17 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker process, kept from task to task."""
+def _tokenizer(path: str):
+    """One tokenizer for each Python worker process; what an encoder remembers lasts for a task only,
+    as workers go on to other stages, whose memory it would take."""
+    import os
+
     import tokenizers
 
-    held = tokenizers.__dict__.setdefault("_peregrin_encoders", {})
+    held = tokenizers.__dict__.setdefault("_peregrin_tokenizers", {})
     if path not in held:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        held[path] = ChunkEncoder(path)
+        held[path] = tokenizers.Tokenizer.from_file(path)
     return held[path]
 
 
@@ -115,7 +113,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     end = _packed([end_id])
 
     def cut(batches):
-        encode = _encoder(tokenizer_path).encode
+        encode = ChunkEncoder(tokenizer_path).encode
         for batch in batches:
             doc, start, length, crc, total = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
