@@ -93,7 +93,7 @@ def graph_search(queries: DataFrame, places: DataFrame, hubs: DataFrame, affinit
     1 - rank / number of distinct places, counted before the cut.
     """
     q = queries.where(F.col("destination_id").isNotNull())
-    liked = preferred_places(places, affinity, 20)
+    liked = preferred_places(places, affinity, top_k)
     one = q.join(liked.select("destination_id", "archetype", "id", F.col("rank").alias("ord")), ["destination_id", "archetype"]).select("query_id", "id", F.lit(0).alias("branch"), "ord")
     hub = top(nearest_hub(places, hubs, hub_km), ["destination_id", "category"], [F.asc("nearest_hub_km"), F.asc("id")], 2**31 - 1)
     two = q.where("near_transport and category is not null").join(hub.select("destination_id", "category", "id", F.col("rank").alias("ord")), ["destination_id", "category"]).select("query_id", "id", F.lit(1).alias("branch"), "ord")

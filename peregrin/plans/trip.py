@@ -37,14 +37,17 @@ def candidate_places(requests: DataFrame, places: DataFrame, hubs: DataFrame, af
     """trip_id, id, rank: retrieved places of each trip, at most max(12, 8 * days); the city's first ones where nothing is found."""
     text = F.format_string("best %s points of interest and experiences", F.col("archetype"))
     q = requests.withColumn("r", T.route_query(text, F.col("archetype"))).select(F.col("trip_id").alias("query_id"), "destination_id", "r.*")
-    lists = G.graph_search(q, places, hubs, affinity, 2 * 64).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
+    most = requests.select("trip_id", F.greatest(F.lit(12), F.col("days") * 8).alias("most"))
+    longest = most.agg(F.max("most")).first()[0] or 12
+    lists = G.graph_search(q, places, hubs, affinity, 2 * longest).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
     if docs_hits is not None:
         lists = lists.unionByName(docs_hits.select("query_id", "retriever", "doc_id", "rank"))
-    most = requests.select("trip_id", F.greatest(F.lit(12), F.col("days") * 8).alias("most"))
-    fused = R.reciprocal_rank_fusion(lists, 1024, config).select(F.col("query_id").alias("trip_id"), F.col("doc_id").alias("id"), "rank")
+    # Each retriever gives a trip twice what it keeps, however long the others are.
+    lists = lists.join(most.withColumnRenamed("trip_id", "query_id"), "query_id").where("rank <= 2 * most").drop("most")
+    fused = R.reciprocal_rank_fusion(lists, longest, config).select(F.col("query_id").alias("trip_id"), F.col("doc_id").alias("id"), "rank")
     found = fused.join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank")
     lost = requests.join(found.select("trip_id").distinct(), "trip_id", "left_anti").select("trip_id", "destination_id")
-    first = R.top(places.select("destination_id", "id"), ["destination_id"], [F.asc("id")], 1024)
+    first = R.top(places.select("destination_id", "id"), ["destination_id"], [F.asc("id")], longest)
     rest = lost.join(first, "destination_id").join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank")
     return found.unionByName(rest)
 

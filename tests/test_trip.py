@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from peregrin.plans import trip
+from peregrin.operators import graph as G
+from peregrin.plans import demo as D, trip
 
 DATA = "/root/testdata/sf0.001"
 
@@ -12,3 +13,11 @@ def test_every_user_gets_a_trip(spark):
     days, full, places = trip.demo_plan(spark, DATA)
     assert {r.trip_id for r in full.collect()} == users and len(users) > 10
     assert {r.trip_id for r in trip.narrative(days, places, full).collect()} == users
+
+
+def test_long_trips_get_all_their_candidates(spark):
+    """Luxury Traveler: the text has no category word, so the archetype's places are the whole graph list."""
+    requests = spark.createDataFrame([(1, "Luxury Traveler", 3, 20), (2, "Luxury Traveler", 3, 3)], "trip_id long, archetype string, destination_id int, days int")
+    d = "/root/testdata/sf0.1"
+    got = trip.candidate_places(requests, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark)).groupBy("trip_id").count().collect()
+    assert {r.trip_id: r["count"] for r in got} == {1: 160, 2: 24}
