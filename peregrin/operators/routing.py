@@ -314,10 +314,11 @@ def itineraries(places: DataFrame, *, days: int = 3, budget: float = 480, mode:
     """Plans each trip: trip_id, day, seq, id, arrival, finish, day_km, day_minutes.
 
     places: trip_id, id, lat, lon, visit, open, close, category and, optionally,
-    role (sight or meal), hub_lat, hub_lon. A trip has as many days as asked for
-    but no more than sights; trips without sights have no rows.
+    role (sight or meal), hub_lat, hub_lon and days, which counts instead of the
+    argument where it isn't null. A trip has as many days as asked for but no
+    more than sights; trips without sights have no rows.
     """
-    for name, kind in (("role", "string"), ("hub_lat", "double"), ("hub_lon", "double")):
+    for name, kind in (("role", "string"), ("hub_lat", "double"), ("hub_lon", "double"), ("days", "int")):
         if name not in places.columns:
             places = places.withColumn(name, F.lit(None).cast(kind))
 
@@ -329,13 +330,14 @@ def itineraries(places: DataFrame, *, days: int = 3, budget: float = 480, mode:
         if not len(sights):
             return pd.DataFrame({c: [] for c in columns})
         hub = None if pdf["hub_lat"].isna().all() else (float(pdf["hub_lat"].dropna().iloc[0]), float(pdf["hub_lon"].dropna().iloc[0]))
-        labels = zone_labels(pdf.loc[sights, ["lat", "lon"]].to_numpy(float), max(1, min(days, len(sights))), balanced)
+        asked = pdf["days"].dropna()
+        labels = zone_labels(pdf.loc[sights, ["lat", "lon"]].to_numpy(float), max(1, min(int(asked.max()) if len(asked) else days, len(sights))), balanced)
         zones = {int(z): sights[labels == z].tolist() for z in np.unique(labels)}
         planned = plan_days(Trip(pdf, mode, hub, start), zones, budget, fill, np.flatnonzero(meal | (pdf["category"] == FOOD).to_numpy()).tolist(), meals_per_day)
         rows = [(pdf["trip_id"][0], d.number, k, pdf["id"][s], *d.times[k - 1], d.km, d.minutes) for d in planned for k, s in enumerate(d.stops, 1)]
         return pd.DataFrame(rows, columns=columns)
 
-    return places.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("id").cast("long").alias("id"), "lat", "lon", "visit", "open", "close", "category", "role", "hub_lat", "hub_lon").groupBy("trip_id").applyInPandas(work, ITINERARY)
+    return places.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("id").cast("long").alias("id"), "lat", "lon", "visit", "open", "close", "category", "role", "hub_lat", "hub_lon", "days").groupBy("trip_id").applyInPandas(work, ITINERARY)
 
 
 def tours(places: DataFrame, two_opt: bool = True) -> DataFrame:

@@ -83,10 +83,11 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
     ids = cut(candidate_places(full, places, hubs, affinity, config=config))
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
     priced = full.select("trip_id", "days", F.bround(F.coalesce(F.col("preferences")["budget"], F.lit(0.5)) * 2 + 1).cast("int").alias("most_price"))
-    sights = within_budget(ids.join(detail, "id").join(priced, "trip_id")).where(F.col("category") != RT.FOOD).withColumn("role", F.lit("sight"))
-    food = R.top(full.select("trip_id", "destination_id").join(places.where(F.col("category") == RT.FOOD), "destination_id"), ["trip_id"], [F.desc("popularity"), F.asc("id")], 24).withColumn("role", F.lit("meal"))
-    columns = ["trip_id", "id", "lat", "lon", "visit", "open", "close", "category", "role"]
-    return RT.itineraries(sights.select(*columns).unionByName(food.select(*columns)), days=3, mode=mode, meals_per_day=2), full
+    sights = cut(within_budget(ids.join(detail, "id").join(priced, "trip_id")).withColumn("role", F.lit("sight")))
+    # Any food place of the city may serve a meal; one that was retrieved is a sight already, which itineraries can turn into a meal.
+    food = full.select("trip_id", "destination_id", "days").join(places.where(F.col("category") == RT.FOOD), "destination_id").join(sights.select("trip_id", "id"), ["trip_id", "id"], "left_anti").withColumn("role", F.lit("meal"))
+    columns = ["trip_id", "id", "lat", "lon", "visit", "open", "close", "category", "role", "days"]
+    return RT.itineraries(sights.select(*columns).unionByName(food.select(*columns)), mode=mode, meals_per_day=2), full
 
 
 PROFILES = {
@@ -95,13 +96,17 @@ PROFILES = {
 }
 
 
-def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plans a trip for every user of events: preferences come from the user's events, the destination is free."""
+def demo_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request for every user of events: preferences come from the user's events, the destination is free."""
     kinds = S.PREFERENCES
     ev = D.table(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("trip_id"))
     spread = lambda i: F.coalesce(F.avg(F.when(F.crc32("event_type") % 6 == i, F.lit(0.9)).otherwise(F.lit(0.2))), F.lit(0.5))
     prefs = ev.agg(*(F.round(spread(i), 3).alias(k) for i, k in enumerate(kinds)))
-    requests = prefs.select("trip_id", F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k)))).alias("preferences"), F.lit(None).cast("int").alias("destination_id"), F.lit("2001-06").alias("travel_month"), F.lit(3).alias("days"))
+    return prefs.select("trip_id", F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k)))).alias("preferences"), F.lit(None).cast("int").alias("destination_id"), F.lit("2001-06").alias("travel_month"), F.lit(3).alias("days"))
+
+
+def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables that plan_trips takes besides the requests."""
     profiles = spark.createDataFrame(list(PROFILES.items()), "label string, centroid array<double>")
     tags = F.array(F.element_at(F.array(*(F.lit(t) for t in S.TAG_PREFERENCE)), (F.col("destination_id") % len(S.TAG_PREFERENCE) + 1).cast("int")), F.lit("culture"))
     destinations = D.cities(spark, d).select("destination_id", (F.col("destination_id") % 3 + 1).alias("budget_level"), tags.alias("tags"), F.col("destination_id").alias("ord"))
@@ -110,8 +115,13 @@ def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     p = D.places(spark, d)
     k = F.col("id")
     places = p.select("*", (F.lit(30) + k % 4 * 15).cast("int").alias("visit"), F.lit(9).alias("open"), (F.lit(18) + k % 4).cast("int").alias("close"), (k % 4).cast("int").alias("price_level"))
-    days, full = plan_trips(requests, profiles=profiles, destinations=destinations, forecasts=forecasts, places=places, hubs=D.hubs(spark, d), affinity=G.affinity_table(spark))
-    return days, full, places
+    return {"profiles": profiles, "destinations": destinations, "forecasts": forecasts, "places": places, "hubs": D.hubs(spark, d), "affinity": G.affinity_table(spark)}
+
+
+def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tables = demo_tables(spark, d)
+    days, full = plan_trips(demo_requests(spark, d), **tables)
+    return days, full, tables["places"]
 
 
 def plan_trip(spark: SparkSession, d: str) -> DataFrame:

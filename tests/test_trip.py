@@ -21,3 +21,16 @@ def test_long_trips_get_all_their_candidates(spark):
     d = "/root/testdata/sf0.1"
     got = trip.candidate_places(requests, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark)).groupBy("trip_id").count().collect()
     assert {r.trip_id: r["count"] for r in got} == {1: 160, 2: 24}
+
+
+def test_trips_have_the_days_they_ask_for(spark):
+    """Budget Backpacker likes food best, so its candidates may all be food places; it gets a plan nevertheless."""
+    d = "/root/testdata/sf0.01"
+    asked = {1: 1, 2: 5, 3: 10}
+    likes = dict(zip(trip.S.PREFERENCES, trip.PROFILES["Budget Backpacker"], strict=True))
+    requests = spark.createDataFrame([(t, likes, 3, "2001-06", n) for t, n in asked.items()], "trip_id long, preferences map<string,double>, destination_id int, travel_month string, days int")
+    days, full = trip.plan_trips(requests, **trip.demo_tables(spark, d))
+    assert {r.archetype for r in full.collect()} == {"Budget Backpacker"}
+    rows = days.collect()
+    assert {t: len({r.day for r in rows if r.trip_id == t}) for t in asked} == asked
+    assert len({(r.trip_id, r.id) for r in rows}) == len(rows)
