@@ -104,6 +104,18 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id
     return top(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], top_k)
 
 
+def document_search(queries: DataFrame, documents: DataFrame, vectors: DataFrame, top_k: int, filter_col: str = "destination_id") -> DataFrame:
+    """query_id, retriever, doc_id, rank: the semantic and the keyword list of each query.
+
+    queries: query_id (long), query, vector and filter_col. documents: doc_id,
+    text and filter_col. vectors: vec_id, embedding and filter_col. A query
+    without a vector has no semantic list.
+    """
+    semantic = cosine_topk(vectors, queries.where("vector is not null"), filter_col=filter_col, top_k=top_k).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("doc_id"), "rank")
+    keyword = bm25(documents, queries.select("query_id", "query", filter_col), filter_col=filter_col, top_k=top_k).select("query_id", F.lit("keyword").alias("retriever"), "doc_id", "rank")
+    return semantic.unionByName(keyword)
+
+
 def reciprocal_rank_fusion(lists: DataFrame, top_k: int, config: str = "fusion") -> DataFrame:
     """lists: query_id, retriever, doc_id, rank[, payload] -> query_id, doc_id, score, sources, payload, rank.
 

@@ -11,25 +11,42 @@ from . import demo as D
 
 CONFIGS = ("fusion", "hybrid", "standard")
 GOLD_KM = 6.0
-#: (id, destination, archetype, category, query)
+#: Nations in the role of the reference's cities.
+CITIES = {"IST": 1, "PAR": 6, "ROM": 4, "BCN": 8, "AMS": 13, "PRG": 17, "VIE": 22, "LIS": 24}
+#: The 18 requests of the reference's evaluation: (city, archetype, category, query). The tables have no nightlife, beach, history and culture, so there the gold set is empty.
 REQUESTS = [
-    (1, 1, "Culture Enthusiast", "museum", "museum near the station"), (2, 4, "Luxury Traveler", "shopping", "upscale shopping close to the airport"), (3, 6, "Family Traveler", "landmark", "landmark walk with kids"),
-    (4, 8, "Nature & Adventure", "nature", "nature and hike"), (5, 13, "Budget Backpacker", "food", "cheap food near a hub"), (6, 17, "Beach & Relax", "nature", "relax in nature"),
+    ("IST", "Culture Enthusiast", "landmark", "landmarks within walking distance of a transport hub"),
+    ("PAR", "Culture Enthusiast", "museum", "museums close to a train station or airport"),
+    ("ROM", "Culture Enthusiast", "museum", "museums near a transport hub for history lovers"),
+    ("BCN", "Nightlife Seeker", "nightlife", "nightlife spots this traveler would enjoy"),
+    ("AMS", "Nature & Adventure", "nature", "parks and nature spots near transport"),
+    ("PRG", "Budget Backpacker", "nightlife", "cheap nightlife near the train station"),
+    ("VIE", "Luxury Traveler", "shopping", "upscale shopping close to transport hubs"),
+    ("LIS", "Beach & Relax", "beach", "relaxing beach spots reachable from the airport"),
+    ("IST", "Family Traveler", "food", "we just arrived at the central station with heavy luggage and are starving, where can we get a quick meal without walking much?"),
+    ("PAR", "Culture Enthusiast", "museum", "suitable places for the first day after a morning arrival"),
+    ("ROM", "Culture Enthusiast", "history", "my elderly parents want to see historical monuments but cannot handle steep hills or long walks from the subway."),
+    ("AMS", "Nightlife Seeker", "nightlife", "traveling on a tight budget and want to experience local nightlife that is safely accessible via late-night public transit."),
+    ("BCN", "Luxury Traveler", "shopping", "we want to do a full day of luxury shopping and fine dining without needing to hail a taxi between locations."),
+    ("LIS", "Nature & Adventure", "nature", "are there any quiet natural escapes in the city that are directly connected to the main train lines?"),
+    ("VIE", "Culture Enthusiast", "culture", "where should we head for a relaxed evening out right after spending the entire afternoon at the main art gallery?"),
+    ("PRG", "Budget Backpacker", "landmark", "we have a short layover in the city, what is the most iconic landmark we can realistically visit and still catch our flight?"),
+    ("IST", "Culture Enthusiast", "history", "which neighborhoods offer the best mix of ancient architecture and modern cafes within a compact walking area?"),
+    ("ROM", "Culture Enthusiast", "museum", "if we start our morning at the central square, what is a logical path to hit a museum and a local market before lunch?"),
 ]
 
 
-def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, documents: DataFrame, affinity: DataFrame, top_k: int = 8) -> DataFrame:
+def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, documents: DataFrame, vectors: DataFrame, affinity: DataFrame, top_k: int = 8) -> DataFrame:
     """config, query_id, n_gold, n_hit, recall, precision, grounded, km_per_stop.
 
-    requests: query_id, destination_id, archetype, category, query. The gold set
-    is the category's places within 6 km of a hub. The standard configuration
+    requests: query_id, destination_id, archetype, category, query, vector.
+    documents and vectors: as for document_search. The gold set is the category's places within 6 km of a hub. The standard configuration
     retrieves nothing and falls back to the city's first places, which count for
     precision and the route but aren't grounded.
     """
     routed = requests.withColumn("r", T.route_query(F.col("query"), F.col("archetype"))).select("query_id", "destination_id", "r.*")
     graph = G.graph_search(routed, places, hubs, affinity, 2 * top_k).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
-    keyword = R.bm25(documents, requests.select("query_id", "query", "destination_id"), filter_col="destination_id", top_k=2 * top_k).select("query_id", F.lit("keyword").alias("retriever"), "doc_id", "rank")
-    lists = cut(graph.unionByName(keyword))
+    lists = cut(graph.unionByName(R.document_search(requests, documents, vectors, 2 * top_k)))
     found = None
     for config in CONFIGS[:2]:
         part = R.reciprocal_rank_fusion(lists, top_k, config).select(F.lit(config).alias("config"), "query_id", "doc_id", "rank")
@@ -53,14 +70,15 @@ def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, doc
     return recall.join(precision, by, "left").join(grounded, by, "left").join(km, by, "left")
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REQUESTS, "query_id long, destination_id int, archetype string, category string, query string")
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, CITIES[city], *rest) for i, (city, *rest) in enumerate(REQUESTS, 1)]
+    requests = spark.createDataFrame(rows, "query_id long, destination_id int, archetype string, category string, query string")
+    return requests.join(D.query_vectors(spark, d).withColumnRenamed("vec_id", "query_id"), "query_id", "left")
 
 
 def comparative_analysis(spark: SparkSession, d: str) -> DataFrame:
     places = D.places(spark, d)
-    docs = places.join(F.broadcast(D.cities(spark, d)), "destination_id").select(F.col("id").alias("doc_id"), "destination_id", T.document_text(F.col("name"), F.col("category"), F.col("city"), F.lit("")).alias("text"))
-    return compare_configs(_requests(spark), places, D.hubs(spark, d), docs, G.affinity_table(spark))
+    return compare_configs(_requests(spark, d), places, D.hubs(spark, d), D.place_texts(spark, d), D.place_vectors(spark, d), G.affinity_table(spark))
 
 
 def comparative_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
+
 SEGMENTS = {"AUTOMOBILE": "shopping", "BUILDING": "landmark", "FURNITURE": "museum", "HOUSEHOLD": "food", "MACHINERY": "nature"}
 
 
@@ -36,6 +38,23 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("destination_id"), category.alias("category"), lat.alias("lat"), lon.alias("lon"), F.col("s_acctbal").alias("popularity"))
 
 
+def place_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, destination_id, text: the places as documents."""
+    p = places(spark, sf_dir).join(F.broadcast(cities(spark, sf_dir)), "destination_id")
+    return p.select(F.col("id").alias("doc_id"), "destination_id", T.document_text(F.col("name"), F.col("category"), F.col("city"), F.lit("")).alias("text"))
+
+
+def place_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, destination_id, embedding: the vector of a place is that of its id; a place without one is found by other means only."""
+    own = places(spark, sf_dir).select(F.col("id").alias("vec_id"), "destination_id")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(own, "vec_id")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, vector: the vector of query q is that of vec_id q."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key (nation), month, value (orders)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("month"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as T
 from ..operators import cluster as C, forecast as FC, graph as G, retrieval as R, routing as RT
@@ -33,15 +33,25 @@ def choose_destination(requests: DataFrame, destinations: DataFrame, forecasts:
     return pinned.unionByName(best.select("trip_id", "destination_id"))
 
 
-def candidate_places(requests: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, docs_hits: DataFrame | None = None, config: str = "fusion") -> DataFrame:
-    """trip_id, id, rank: retrieved places of each trip, at most max(12, 8 * days); the city's first ones where nothing is found."""
+def candidate_places(requests: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, config: str = "fusion") -> DataFrame:
+    """trip_id, id, rank: retrieved places of each trip, at most max(12, 8 * days); the city's first ones where nothing is found.
+
+    documents and vectors: as for document_search; without them there is the
+    graph list only. query_vectors: archetype and vector. A trip's text names
+    nothing but its archetype, so what documents say is searched for once per
+    archetype and destination.
+    """
     text = F.format_string("best %s points of interest and experiences", F.col("archetype"))
     q = requests.withColumn("r", T.route_query(text, F.col("archetype"))).select(F.col("trip_id").alias("query_id"), "destination_id", "r.*")
     most = requests.select("trip_id", F.greatest(F.lit(12), F.col("days") * 8).alias("most"))
     longest = most.agg(F.max("most")).first()[0] or 12
     lists = G.graph_search(q, places, hubs, affinity, 2 * longest).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
-    if docs_hits is not None:
-        lists = lists.unionByName(docs_hits.select("query_id", "retriever", "doc_id", "rank"))
+    if documents is not None:
+        pair = ["archetype", "destination_id"]
+        pairs = cut(requests.select(*pair).distinct().withColumn("query_id", F.row_number().over(W.orderBy(*pair)).cast("long")))
+        hits = R.document_search(pairs.withColumn("query", text).join(query_vectors, "archetype", "left"), documents, vectors, 2 * longest)
+        own = requests.join(pairs, pair).select("query_id", "trip_id").join(hits, "query_id")
+        lists = lists.unionByName(own.select(F.col("trip_id").alias("query_id"), "retriever", "doc_id", "rank"))
     # Each retriever gives a trip twice what it keeps, however long the others are.
     lists = lists.join(most.withColumnRenamed("trip_id", "query_id"), "query_id").where("rank <= 2 * most").drop("most")
     fused = R.reciprocal_rank_fusion(lists, longest, config).select(F.col("query_id").alias("trip_id"), F.col("doc_id").alias("id"), "rank")
@@ -70,7 +80,7 @@ def narrative(days: DataFrame, names: DataFrame, requests: DataFrame) -> DataFra
     return requests.join(whole, "trip_id", "left").select("trip_id", F.concat_ws("\n", head, text).alias("text"))
 
 
-def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, config: str = "fusion", mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
+def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: str = "fusion", mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
     """Two tables: the itineraries and the requests with archetype and destination.
 
     requests: trip_id, preferences (a map), destination_id or null, travel_month
@@ -80,7 +90,7 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
     named = cut(classify_requests(requests, profiles))
     where = choose_destination(named, destinations, forecasts)
     full = cut(named.drop("destination_id").join(where, "trip_id"))
-    ids = cut(candidate_places(full, places, hubs, affinity, config=config))
+    ids = cut(candidate_places(full, places, hubs, affinity, documents, vectors, query_vectors, config))
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
     priced = full.select("trip_id", "days", F.bround(F.coalesce(F.col("preferences")["budget"], F.lit(0.5)) * 2 + 1).cast("int").alias("most_price"))
     sights = cut(within_budget(ids.join(detail, "id").join(priced, "trip_id")).withColumn("role", F.lit("sight")))
@@ -115,7 +125,9 @@ def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     p = D.places(spark, d)
     k = F.col("id")
     places = p.select("*", (F.lit(30) + k % 4 * 15).cast("int").alias("visit"), F.lit(9).alias("open"), (F.lit(18) + k % 4).cast("int").alias("close"), (k % 4).cast("int").alias("price_level"))
-    return {"profiles": profiles, "destinations": destinations, "forecasts": forecasts, "places": places, "hubs": D.hubs(spark, d), "affinity": G.affinity_table(spark)}
+    order = spark.createDataFrame(list(enumerate(PROFILES, 1)), "vec_id long, archetype string")
+    of_archetype = D.query_vectors(spark, d).join(F.broadcast(order), "vec_id").select("archetype", "vector")
+    return {"documents": D.place_texts(spark, d), "vectors": D.place_vectors(spark, d), "query_vectors": of_archetype, "profiles": profiles, "destinations": destinations, "forecasts": forecasts, "places": places, "hubs": D.hubs(spark, d), "affinity": G.affinity_table(spark)}
 
 
 def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

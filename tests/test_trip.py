@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from peregrin.operators import graph as G
-from peregrin.plans import demo as D, trip
+from peregrin.plans import compare, demo as D, trip
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +34,27 @@ def test_trips_have_the_days_they_ask_for(spark):
     rows = days.collect()
     assert {t: len({r.day for r in rows if r.trip_id == t}) for t in asked} == asked
     assert len({(r.trip_id, r.id) for r in rows}) == len(rows)
+
+
+def test_a_hybrid_plan_retrieves_by_vector_and_keyword(spark):
+    d = "/root/testdata/sf0.01"
+    requests = spark.createDataFrame([(1, "Nature & Adventure", 3, 3), (2, "Luxury Traveler", 3, 3)], "trip_id long, archetype string, destination_id int, days int")
+    t = trip.demo_tables(spark, d)
+    args = requests, t["places"], t["hubs"], t["affinity"], t["documents"], t["vectors"], t["query_vectors"]
+    ids = {c: {(r.trip_id, r.id) for r in trip.candidate_places(*args, c).collect()} for c in ("fusion", "hybrid", "standard")}
+    with_vector, nature = {r.vec_id for r in t["vectors"].collect()}, {r.id for r in t["places"].where("category = 'nature'").collect()}
+    here = {r.id for r in t["places"].where("destination_id = 3").collect()}
+    found = {i for k, i in ids["hybrid"] if k == 2}
+    assert found and found <= with_vector & here  # no word of the text stands in a place's, so vectors alone find them
+    assert {i for k, i in ids["hybrid"] if k == 1} & nature - with_vector
+    assert len({frozenset(x) for x in ids.values()}) == 3
+
+
+def test_the_comparison_has_all_requests_and_retrievers(spark):
+    requests = compare._requests(spark, DATA)
+    lists = compare.R.document_search(requests, D.place_texts(spark, DATA), D.place_vectors(spark, DATA), 16)
+    found = {(r.query_id, r.retriever) for r in lists.collect()}
+    assert {q for q, r in found if r == "semantic"} == set(range(1, 19)) and any(r == "keyword" for _, r in found)
+    rows = compare.comparative_analysis(spark, DATA).collect()
+    assert {(r.config, r.query_id) for r in rows} == {(c, q) for c in compare.CONFIGS for q in range(1, 19)}
+    assert all(r.grounded == 1.0 for r in rows if r.config == "hybrid")
