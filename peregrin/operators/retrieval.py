@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokenize
+from ..session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Queries that an executor holds at a time.
 QUERY_BLOCK = 4096
+#: Of whole texts as queries.
+TEXT_BLOCK = 512
 LIST_ORDER = {"semantic": 0, "keyword": 1, "graph": 2}
 CONFIGS = {"fusion": ("semantic", "keyword", "graph"), "hybrid": ("semantic", "keyword"), "standard": ()}
 
@@ -53,6 +58,62 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_co
     return top(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], top_k)
 
 
+def bm25_many(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top_k: int = 10) -> DataFrame:
+    """As bm25 without filter, for many and long queries: query_id (long), doc_id, score, rank.
+
+    A join of postings with terms would have a row per query, document and common
+    word. Here queries reach the executors in blocks of bounded size, as a table
+    from each of their words to the queries that have it; a document's scores are
+    one weighted count over its words' entries, and a task sends on the best k of
+    each query only.
+    """
+    spark = docs.sparkSession
+    words = docs.select(F.col(id_col).cast("long").alias("doc"), tokenize(F.col(text_col)).alias("words"))
+    mean_dl = words.agg(F.avg(F.size("words"))).first()[0]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weighed = asked.join(idf_table(docs, id_col, text_col), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
+    each = cut(weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w")))
+
+    def scan(part: list) -> DataFrame:
+        entries: dict[str, list] = {}
+        for q, r in enumerate(part):
+            for term, w in zip(r["terms"], r["w"], strict=True):
+                entries.setdefault(term, []).append((q, w))
+        table = {t: (np.array([q for q, _ in e], np.int32), np.array([w for _, w in e])) for t, e in entries.items()}
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part], np.int64), table))
+
+        def best(batches):
+            ids, table = shared.value
+            kept_s, kept_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for batch in batches:
+                keys, scores = batch.column(0).to_numpy(zero_copy_only=False), np.zeros((len(ids), batch.num_rows))
+                for j, text in enumerate(batch.column(1).to_pylist()):
+                    at, ws = [], []
+                    for term, tf in Counter(text).items():
+                        if (e := table.get(term)) is not None:
+                            at.append(e[0])
+                            ws.append(e[1] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(text) / mean_dl))))
+                    if at:
+                        scores[:, j] = np.bincount(np.concatenate(at), np.concatenate(ws), len(ids))
+                scores = np.where(scores > 0, np.round(scores, 6), -1.0)
+                s, d = np.hstack([kept_s, scores]), np.hstack([kept_d, np.broadcast_to(keys, scores.shape)])
+                pick = np.lexsort((d, -s), axis=1)[:, :top_k]
+                kept_s, kept_d = np.take_along_axis(s, pick, 1), np.take_along_axis(d, pick, 1)
+            q, j = np.nonzero(kept_s >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(kept_d[q, j]), pa.array(kept_s[q, j])], names=["query_id", "doc_id", "score"])
+
+        return words.mapInArrow(best, "query_id long, doc_id long, score double")
+
+    found, block = spark.createDataFrame([], "query_id long, doc_id long, score double"), []
+    for r in each.toLocalIterator():
+        block.append(r)
+        if len(block) == TEXT_BLOCK:
+            found, block = found.unionByName(scan(block)), []
+    if block:
+        found = found.unionByName(scan(block))
+    return top(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], top_k)
+
+
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with rank from 1."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

@@ -85,6 +85,42 @@ def fused_narrative(spark, d):
     return R.narrate(R.reciprocal_rank_fusion(lists, K, "fusion"))
 
 
+def document_queries(spark, d):
+    return D.table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def bm25_topk_corpus(spark, d):
+    """Whole texts of every hundredth document as queries, against all documents."""
+    return R.bm25_many(D.table(spark, d, "documents"), document_queries(spark, d), top_k=K).withColumn("score", F.round("score", 4))
+
+
+def _corpus_lists(spark, d):
+    """Keyword, vector and graph lists for every id divisible by 100; the city of query q is q / 100 modulo 25."""
+    vectors, documents = vector_queries(spark, d), document_queries(spark, d)
+    semantic = R.cosine_topk(D.table(spark, d, "embeddings"), vectors, top_k=2 * K).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("doc_id"), "rank")
+    keyword = R.bm25_many(D.table(spark, d, "documents"), documents, top_k=2 * K).select("query_id", F.lit("keyword").alias("retriever"), "doc_id", "rank")
+    popular = R.top(D.places(spark, d).select("destination_id", F.col("id").alias("doc_id"), "popularity"), ["destination_id"], [F.desc("popularity"), F.asc("doc_id")], 2 * K)
+    asked = vectors.select("query_id").unionByName(documents.select("query_id")).distinct()
+    graph = asked.join(F.broadcast(popular), (F.col("query_id") / 100).cast("long") % 25 == F.col("destination_id")).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
+    return semantic.unionByName(keyword).unionByName(graph).withColumn("payload", F.concat_ws("#", "retriever", F.col("doc_id").cast("string")))
+
+
+def rrf_fusion_corpus(spark, d):
+    return R.reciprocal_rank_fusion(_corpus_lists(spark, d), K, "fusion").drop("payload", "sources")
+
+
+def rrf_hybrid_corpus(spark, d):
+    return R.reciprocal_rank_fusion(_corpus_lists(spark, d), K, "hybrid").drop("payload", "sources")
+
+
+def rrf_provenance_corpus(spark, d):
+    return R.reciprocal_rank_fusion(_corpus_lists(spark, d), K, "fusion").select("query_id", "doc_id", "sources", "payload")
+
+
+def fused_narrative_corpus(spark, d):
+    return R.narrate(R.reciprocal_rank_fusion(_corpus_lists(spark, d), K, "fusion"))
+
+
 def keyword_router(spark, d):
     c = D.table(spark, d, "conversations").select("conv_id", "turn", T.route_query(F.col("text"), F.lit(None).cast("string")).alias("r"))
     return c.select("conv_id", "turn", "r.*")
@@ -134,7 +170,7 @@ def graph_search_routed(spark, d):
     return G.graph_search(q, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark), 20)
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, corpus_union, place_documents, bm25_idf, bm25_topk, cosine_topk, cosine_topk_by_label, rrf_fusion, rrf_hybrid, rrf_standard, rrf_provenance, fused_narrative, keyword_router, keyword_router_documents, graph_has_poi, graph_node_stats, graph_near_edges, nearby_topk, graph_same_category, graph_prefers, archetype_preferred, nearest_hub, graph_search_routed)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, corpus_union, place_documents, bm25_idf, bm25_topk, cosine_topk, cosine_topk_by_label, rrf_fusion, rrf_hybrid, rrf_standard, rrf_provenance, fused_narrative, bm25_topk_corpus, rrf_fusion_corpus, rrf_hybrid_corpus, rrf_provenance_corpus, fused_narrative_corpus, keyword_router, keyword_router_documents, graph_has_poi, graph_node_stats, graph_near_edges, nearby_topk, graph_same_category, graph_prefers, archetype_preferred, nearest_hub, graph_search_routed)}
 
 # ------------------------------------------------------------------------ SQL
 
