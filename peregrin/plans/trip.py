@@ -46,16 +46,18 @@ def candidate_places(requests: DataFrame, places: DataFrame, hubs: DataFrame, af
     most = requests.select("trip_id", F.greatest(F.lit(12), F.col("days") * 8).alias("most"))
     longest = most.agg(F.max("most")).first()[0] or 12
     lists = G.graph_search(q, places, hubs, affinity, 2 * longest).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
+    lists = cut(lists)
     if documents is not None:
         pair = ["archetype", "destination_id"]
         pairs = cut(requests.select(*pair).distinct().withColumn("query_id", F.row_number().over(W.orderBy(*pair)).cast("long")))
         hits = R.document_search(pairs.withColumn("query", text).join(query_vectors, "archetype", "left"), documents, vectors, 2 * longest)
+        hits = cut(hits)
         own = requests.join(pairs, pair).select("query_id", "trip_id").join(hits, "query_id")
         lists = lists.unionByName(own.select(F.col("trip_id").alias("query_id"), "retriever", "doc_id", "rank"))
     # Each retriever gives a trip twice what it keeps, however long the others are.
     lists = lists.join(most.withColumnRenamed("trip_id", "query_id"), "query_id").where("rank <= 2 * most").drop("most")
     fused = R.reciprocal_rank_fusion(lists, longest, config).select(F.col("query_id").alias("trip_id"), F.col("doc_id").alias("id"), "rank")
-    found = fused.join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank")
+    found = cut(fused.join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank"))
     lost = requests.join(found.select("trip_id").distinct(), "trip_id", "left_anti").select("trip_id", "destination_id")
     first = R.top(places.select("destination_id", "id"), ["destination_id"], [F.asc("id")], longest)
     rest = lost.join(first, "destination_id").join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank")
@@ -88,7 +90,7 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
     """
     requests = cut(requests)
     named = cut(classify_requests(requests, profiles))
-    where = choose_destination(named, destinations, forecasts)
+    where = choose_destination(named, destinations, cut(forecasts))
     full = cut(named.drop("destination_id").join(where, "trip_id"))
     ids = cut(candidate_places(full, places, hubs, affinity, documents, vectors, query_vectors, config))
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
