@@ -5,23 +5,26 @@ stand (containment 1). The tokens of each window are ordered by their rarity in
 the corpus; containment 1 makes the necessary prefix one token long, so a
 document's words are joined with the rarest token of each window only. A
 matching word fixes where the window would start (positional bound), it must
-end inside the document (length bound), and then its words are compared one by
-one. The benchmark goes to the executors in blocks of bounded size, each a pass
-within the same stage over all documents, so documents are never shuffled.
+end inside the document (length bound), and then its words are looked up among
+the windows with that token at that place.
+
+Windows, their items, the tokens' document frequencies and the prefixes are
+tables that Spark makes. The windows are dealt into blocks of bounded size by a
+hash; each block's index goes to the executors, where documents are searched in
+place, so documents are never shuffled. A benchmark of some thousand items is
+one block; more blocks are more steps within the same stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import short_batches, texts
+from .common import materialise, texts, unused
 
 #: A-Z to a-z; every other ASCII byte that is no digit or letter becomes a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Most windows in a block: some 200 MB in a Python worker.
+#: Windows in a block, on average: some 200 MB in a Python worker.
 BLOCK_WINDOWS = 200_000
 
 
@@ -37,55 +40,64 @@ def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, n: int, most: int) -> Iterator[list]:
-    """Distinct (window, item) pairs in blocks; the driver holds one block at a time."""
-    block: dict = {}
-    for item, text in bench.select(item_col, text_col).toLocalIterator():
-        for w in windows_of(words_of((text or "").encode()), n):
-            block.setdefault(w, set()).add(item)
-            if len(block) >= most:
-                yield list(block.items())
-                block = {}
-    if block:
-        yield list(block.items())
+def item_windows(bench: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """w (the words, joined by blanks) and item: the distinct windows of each item."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(b" ".join(w), k) for k, text in enumerate(texts(batch.column(1))) for w in dict.fromkeys(windows_of(words_of(text), n))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), batch.column(0).take(pa.array([k for _, k in rows], pa.int64()))], names=["w", "item"])
 
+    kind = bench.schema[item_col].dataType.simpleString()
+    return bench.select(F.col(item_col).alias("item"), text_col).mapInArrow(cut, f"w binary, item {kind}").distinct()
 
-def _rarity(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many of all documents each of the block's words stands; the result is as large as the block."""
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def token_frequency(docs: DataFrame, text_col: str, tokens: set[bytes]) -> DataFrame:
+    """t, df: in how many of all documents each of the tokens stands."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def count(batches):
         seen: dict[bytes, int] = {}
-        known = vocab.value
+        known = shared.value
         for batch in batches:
             for text in texts(batch.column(0)):
                 for w in known.intersection(words_of(text)):
                     seen[w] = seen.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["t", "df"])
+
+    return docs.select(text_col).mapInArrow(count, "t binary, df long").groupBy("t").agg(F.sum("df").alias("df"))
 
-    rows = docs.select(text_col).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r.w): r.n for r in rows}
 
+def prefixes(windows: DataFrame, frequency: DataFrame) -> DataFrame:
+    """t, w, items: each window with its rarest token (of equally rare ones the smaller) and its items."""
+    items = windows.groupBy("w").agg(F.collect_list("item").alias("items"))
+    tokens = windows.select("w").distinct().select("w", F.explode(F.split(F.col("w").cast("string"), " ")).alias("t")).withColumn("t", F.col("t").cast("binary"))
+    rarest = tokens.join(frequency, "t", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t")).alias("p"))
+    return items.join(rarest, "w").select(F.col("p.t").alias("t"), "w", "items")
 
-def _index(block: list, rarity: dict[bytes, int]) -> dict[bytes, list]:
-    """Prefix token -> [(its place in the window, window, items)]."""
-    index: dict[bytes, list] = {}
-    for window, items in block:
-        token = min(window, key=lambda w: (rarity.get(w, 0), w))
-        index.setdefault(token, []).append((window.index(token), list(window), sorted(items, key=str)))
+
+def window_index(rows) -> dict[bytes, dict[tuple[int, int], dict[tuple, list]]]:
+    """Prefix token -> (its first place in the window, window length) -> window -> items."""
+    index: dict = {}
+    for token, window, items in rows:
+        words = tuple(bytes(window).split(b" "))
+        index.setdefault(bytes(token), {}).setdefault((words.index(bytes(token)), len(words)), {})[words] = sorted(items, key=str)
     return index
 
 
-def find_windows(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[int, int]], set]:
-    """Word ranges in which windows occur (sorted, disjoint), and the windows' items."""
+def find_windows(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
+    """Word ranges in which windows occur (sorted, disjoint), and the windows' items.
+
+    A word costs one lookup, and one more for each place that it has as a
+    prefix; windows have 13 words at most, however many share a token.
+    """
     found, items, n = [], set(), len(words)
     for at, w in enumerate(words):
         if w in index:
-            for place, window, of in index[w]:
+            for (place, length), windows in index[w].items():
                 start = at - place
-                end = start + len(window)
-                if start >= 0 and end <= n and words[start] == window[0] and words[start:end] == window:
-                    found.append((start, end))
+                if start >= 0 and start + length <= n and (of := windows.get(tuple(words[start : start + length]))) is not None:
+                    found.append((start, start + length))
                     items.update(of)
     return merge(found), items
 
@@ -110,18 +122,18 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, text_col: str = "te
     hits nothing; columns not named in keep are not read, whatever their names.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     item_type = bench.schema[item_col].dataType
     out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"), F.lit(-1).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("hits"), F.array().cast(T.ArrayType(item_type)).alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    blocks = 0
-    for block in _blocks(bench, item_col, item_text, window, block_windows):
-        rarity = _rarity(docs, text_col, {w for win, _ in block for w in win})
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(_index(block, rarity))), schema)
-        blocks += 1
-    if not blocks:
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast({})), schema)
-    return out.drop("text")
+    windows = materialise(item_windows(bench, item_col, item_text, window), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)))
+    for k in range(blocks):
+        block = dealt.where(F.col("block") == k).select("w", "item")
+        tokens = {bytes(r.t) for r in block.select(F.explode(F.split(F.col("w").cast("string"), " ")).alias("t")).distinct().select(F.col("t").cast("binary").alias("t")).collect()}
+        index = window_index(materialise(prefixes(block, token_frequency(docs, text_col, tokens)), "prefixes").collect())
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(index)), schema)
+    return materialise(out.drop("text"), "hits")
 
 
 def _search(shared):
@@ -159,8 +171,13 @@ def contamination_report(docs: DataFrame, bench: DataFrame, *, id_col: str = "do
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The documents without those of which at least a twentieth is benchmark text."""
-    found = find_contamination(docs, bench, keep=tuple(docs.columns), **options)
-    clean = found.where(~((_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))))
-    return clean.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
+def drop_contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without those of which at least a twentieth is benchmark text.
+
+    Rows are told apart by id and text, so each is judged by its own text.
+    """
+    version, gone_id, gone_version = (unused(docs, n) for n in ("_version", "_gone_id", "_gone_version"))
+    marked = docs.withColumn(version, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = find_contamination(marked, bench, keep=(id_col, version), text_col=text_col, **options)
+    gone = found.where((_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))).select(F.col("k0").alias(gone_id), F.col("k1").alias(gone_version)).distinct()
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(version) == F.col(gone_version)), "left_anti").drop(version)

@@ -10,20 +10,19 @@ kept aside makes its probabilities honest.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import short_batches, texts
+from .common import fixed_sample, materialise, texts
 
 #: Hashed n-grams; more n-grams than this share places.
 FEATURES = 1 << 14
-#: The classifier is fitted on about this many documents, however many there are.
+#: The classifier is fitted on at most this many documents, however many there are.
 SAMPLE = 4000
+#: Languages with a smaller share of the rows to learn from aren't learnt, so there are at most 1000.
+LEAST_SHARE = 0.001
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]").search
 
 
 def gram_counts(text: str, features: int = FEATURES) -> np.ndarray:
@@ -96,7 +95,7 @@ class LanguageModel:
         self.classes, self.idf, self.weights, self.bias, self.temperature = classes, idf, weights.astype(np.float32), bias, temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.classes or not HAS_LETTER(text):
+        if text is None or not self.classes or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, x = tfidf(gram_counts(text, len(self.idf)), self.idf)
         p = softmax((x @ self.weights[at] + self.bias) / self.temperature)
@@ -118,7 +117,7 @@ def document_frequency(rows: DataFrame, features: int = FEATURES) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["at", "n"])
 
     out, total = np.zeros(features, np.int64), 0
-    for r in rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in materialise(rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "frequency").collect():
         if r["at"] < 0:
             total = r["n"]
         else:
@@ -126,25 +125,27 @@ def document_frequency(rows: DataFrame, features: int = FEATURES) -> tuple[np.nd
     return out, total
 
 
-def fit(rows: DataFrame, *, features: int = FEATURES, sample: int = SAMPLE, epochs: int = 3, seed: int = 5) -> LanguageModel:
-    """rows: text and lang (not null). Statistics come from all rows, the weights from about `sample` of them, spread evenly over the languages."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(rows: DataFrame, *, features: int = FEATURES, sample: int = SAMPLE, epochs: int = 3, seed: int = 5, least_share: float = LEAST_SHARE) -> LanguageModel:
+    """rows: id, text and lang (not null). Statistics come from all rows, the weights from at most `sample` of them.
+
+    Each language gives as many rows as any other, or all it has: those of
+    smallest hash of id and text.
+    """
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_share * rows.count()).collect()}
     if not counts:
         return LanguageModel([], np.ones(features), np.zeros((features, 0)), np.zeros(0), 1.0)
     df, total = document_frequency(rows, features)
     idf = np.log((1 + total) / (1 + df)) + 1
     classes = sorted(counts)
-    share = F.lit(0.0)
-    for k in classes:
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, sample / len(classes) / counts[k]))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    each = max(1, sample // len(classes))
+    picked = fixed_sample(rows, ["id", "text"], {k: (each, n) for k, n in counts.items()}, "lang", seed)
 
     def featurise(batches):
         for batch in batches:
             pairs = [tfidf(gram_counts(t.decode(), features), idf) for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in pairs], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in pairs], pa.binary())], names=["lang", "at", "x"])
 
-    data = [(classes.index(r["lang"]), np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in picked.select("text", "lang").mapInArrow(featurise, "lang string, at binary, x binary").collect()]
+    data = [(classes.index(r["lang"]), np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in materialise(picked.select("text", "lang").mapInArrow(featurise, "lang string, at binary, x binary"), "sample").collect()]
     data.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     order = np.random.default_rng(seed).permutation(len(data))
     aside, learn = order[: len(data) // 5], order[len(data) // 5 :]
@@ -165,7 +166,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...], te
     A null text, one without a letter, and every text if the model knows no
     language, is `und` with score 0. Repeated rows are judged each.
     """
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...], te
 
     rows = docs.select(*keep, F.col(text_col).alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return materialise(rows.mapInArrow(predict, f"{schema}, lang_pred string, score double"), "languages")
 
 
 def held_out(id_col: str, parts: int, part: int):
@@ -186,9 +186,8 @@ def held_out(id_col: str, parts: int, part: int):
 
 def language_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows with id that aren't held out and name a language."""
-    short_batches(docs.sparkSession)
     aside = held_out(id_col, 4, 2)
     known = docs.where(~aside & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    model = fit(known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), **options)
+    model = fit(known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), aside.alias("held_out"), F.col(text_col).alias("text"))
     return identify(rows, model, keep=("doc_id", "held_out"))

@@ -1,6 +1,6 @@
 """Line dedup across sites: lines that stand on many distinct sites are boilerplate.
 
-Lines are known by a hash. One aggregation gives each line hash a HyperLogLog
+Lines are known by 128 bits of hash. One aggregation gives each line hash a HyperLogLog
 sketch of its sites; sketches merge, so the state of a line on every site stays
 small and hot lines combine before the shuffle. Estimates within `band` of the
 threshold are replaced by exact distinct counts of those lines only. A line on
@@ -13,7 +13,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, short_batches
+from .common import join_hot, materialise
 
 LEAST_SITES = 10
 #: Six standard deviations of the sketch (2^12 registers).
@@ -24,29 +24,29 @@ LG_K = 12
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     trimmed = F.trim("line")
-    return lines.where(trimmed != "").select("id", "version", "site", F.col("pos").cast("long").alias("pos"), F.xxhash64(trimmed, F.length(trimmed)).alias("h"))
+    return lines.where(trimmed != "").select("id", "version", "site", F.col("pos").cast("long").alias("pos"), F.xxhash64(trimmed, F.length(trimmed)).alias("h"), F.xxhash64(F.lit("line"), trimmed).alias("g"))
 
 
 def spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES, band: float = BAND) -> DataFrame:
-    """h: the hashes of lines that stand on at least least_sites distinct sites.
+    """h, g: the hashes of lines that stand on at least least_sites distinct sites.
 
     Blank lines and null sites don't count.
     """
     lines = _lines(docs, id_col, text_col, site_col)
-    sketches = lines.groupBy("h").agg(F.count("*").alias("k"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("k") >= least_sites)
-    guess = materialise(sketches.select("h", F.hll_sketch_estimate("s").alias("sites")), "sketches")
-    near = guess.where(F.col("sites").between(least_sites * (1 - band), least_sites * (1 + band))).select("h")
-    exact = lines.select("h", "site").join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("site").alias("sites"))
-    return guess.where(F.col("sites") > least_sites * (1 + band)).select("h").unionByName(exact.where(F.col("sites") >= least_sites).select("h"))
+    sketches = lines.groupBy("h", "g").agg(F.count("*").alias("k"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("k") >= least_sites)
+    guess = materialise(sketches.select("h", "g", F.hll_sketch_estimate("s").alias("sites")), "sketches")
+    near = guess.where(F.col("sites").between(least_sites * (1 - band), least_sites * (1 + band))).select("h", "g")
+    exact = lines.select("h", "g", "site").join(near, ["h", "g"], "left_semi").distinct().groupBy("h", "g").agg(F.count("site").alias("sites"))
+    return guess.where(F.col("sites") > least_sites * (1 + band)).select("h", "g").unionByName(exact.where(F.col("sites") >= least_sites).select("h", "g"))
 
 
 def removable(docs: DataFrame, **options) -> DataFrame:
     """id, version (hash of the text), gone: the line numbers that go, for documents that lose any."""
     columns = {k: options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("site_col", "source"))}
     lines = _lines(docs, **columns)
-    found = materialise(lines.join(spread_lines(docs, **options), "h", "left_semi").select("h", "id", "version", "pos"), "spread")
-    first = found.groupBy("h").agg(F.min("id").alias("first"))
-    return found.join(first, "h").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
+    found = materialise(lines.join(spread_lines(docs, **options), ["h", "g"], "left_semi").select("h", "g", "id", "version", "pos"), "spread")
+    first = materialise(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("k")), "first")
+    return join_hot(found, first, ["h", "g"], "k", found.count()).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
 
 
 def _strip(batches):
@@ -59,32 +59,31 @@ def _strip(batches):
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             kept.append(text)
             removed.append(len(gone or ()))
-        arrays = [pa.array(kept, pa.string()) if n == "text" else pa.array(removed, pa.int64()) if n == "_removed" else batch.column(i) for i, n in enumerate(batch.schema.names)]
+        arrays = [pa.array(kept, pa.string()) if n == "text" else pa.array(removed, pa.int64()) if n == "removed" else batch.column(i) for i, n in enumerate(batch.schema.names)]
         yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
 
 def strip_lines(docs: DataFrame, *, keep: tuple[str, ...], **options) -> DataFrame:
-    """The columns named in keep and the text without boilerplate lines, with _removed (lines).
+    """The columns named in keep as k0, k1, ..., then text (without boilerplate lines) and removed (lines).
 
     A spread line stays in the document with the smallest id that has it. A null
     text stays null and has no lines; a row without id never counts as first,
     and loses its spread lines if some row with an id has them. Rows that repeat
     an id and text are treated alike. An empty table gives no rows.
     """
-    short_batches(docs.sparkSession)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     gone = removable(docs, **options)
-    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("version")), "left")
-    rows = rows.select(*(f"_k{i}" for i in range(len(keep))), "text", F.col("gone").alias("_gone"), F.lit(0).cast("long").alias("_removed"))
-    out = rows.mapInArrow(_strip, rows.schema)
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("text").alias("_text"), "_removed")
+    rows = rows.select(*names, "text", F.col("gone").alias("_gone"), F.lit(0).cast("long").alias("removed"))
+    return materialise(rows.mapInArrow(_strip, rows.schema), "stripped").drop("_gone")
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_removed, kept_lines, kept_sha256 per document."""
-    out = strip_lines(docs, keep=("doc_id",), **options)
-    return out.select("doc_id", F.col("_removed").alias("n_removed"), F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("kept_lines"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
+    out = strip_lines(docs, keep=(options.get("id_col", "doc_id"),), **options)
+    return out.select(F.col("k0").alias("doc_id"), F.col("removed").alias("n_removed"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("kept_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def drop_spread_lines(docs: DataFrame, **options) -> DataFrame:
@@ -92,5 +91,10 @@ def drop_spread_lines(docs: DataFrame, **options) -> DataFrame:
 
     Every line of such a document stands in documents with smaller ids, which keep it.
     """
-    out = strip_lines(docs, keep=tuple(docs.columns), **options).where((F.col("_removed") == 0) | (F.trim(F.translate("_text", "\n\t\r", "   ")) != ""))
-    return out.withColumns({"text": F.col("_text")} | ({"n_chars": F.when(F.col("_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})).select(*docs.columns)
+    text_col = options.get("text_col", "text")
+    kept = [c for c in docs.columns if c != text_col]
+    out = strip_lines(docs, keep=tuple(kept), **options).where((F.col("removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    now = {c: F.col(f"k{i}") for i, c in enumerate(kept)} | {text_col: F.col("text")}
+    if "n_chars" in now:
+        now["n_chars"] = F.when(F.col("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(now["n_chars"])
+    return out.select(*(now[c].alias(c) for c in docs.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release, short_batches, texts, unused
+from .common import materialise, release, texts, unused
 from .components import connected_components
 
 TABLES, ROWS = 16, 4
@@ -209,7 +209,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     integer type.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(source.mapInArrow(_signer(shingle, tables, rows, seed), "doc_id long, n long, p1 long, p2 long, v array<long>"), "signed")
     classes = materialise(signed.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.first("v").alias("v")), "classes")

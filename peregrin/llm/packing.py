@@ -18,12 +18,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import short_batches, texts
+from .common import materialise, texts
 
 SEQUENCE = 2048
 END_ID = 1
-#: As many documents' pieces make a group, on average.
-GROUP_DOCS = 8192
+#: As many pieces make a group, on average.
+GROUP_PIECES = 8192
 #: Entries in each generation of what a task remembers of the ids of chunks and words (some 160 MB in all).
 REMEMBERED = 200_000
 
@@ -107,7 +107,6 @@ def _tokenizer(path: str):
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens."""
-    short_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")])
     end = _packed([end_id])
@@ -158,13 +157,14 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def pack(pieces: DataFrame, *, n_docs: int, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def pack(pieces: DataFrame, *, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
     """Adds sequence_id and offset to each piece.
 
-    Groups hold the pieces of group_docs documents on average, whatever the
-    input's size: their number follows n_docs, and a hash deals pieces out evenly.
+    Groups hold group_pieces pieces on average, however long the documents: their
+    number follows that of the pieces, and a hash deals these out evenly. Equal
+    pieces of equal ids may stand in one order or the other.
     """
-    groups = max(1, round(n_docs / group_docs))
+    groups = max(1, round(pieces.count() / group_pieces))
     schema = T.StructType([f for f in pieces.schema.fields] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,6 +185,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame
     A null or empty text is its end id alone; an empty table gives no pieces;
     repeated rows are packed each; other columns are not read.
     """
-    n = docs.count()
-    pieces = cut_pieces(docs, tokenizer_path, **options)
-    return pack(pieces, n_docs=n, sequence=options.get("sequence", SEQUENCE))
+    pieces = materialise(cut_pieces(docs, tokenizer_path, **options), "pieces")
+    return pack(pieces, sequence=options.get("sequence", SEQUENCE))

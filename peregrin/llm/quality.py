@@ -11,13 +11,11 @@ say little, are guarded by a minimum length and pass that test.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, short_batches, texts, unused
+from .common import materialise, texts, unused
 
 #: Common words, about as frequent as they stand in line.
 COMMON = {
@@ -31,6 +29,8 @@ BLANKS = b" \t\n\r\x0b\x0c"
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "mark", "symbol", "control", "beyond")
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 LEAST_WORDS, LEAST_CHARS = 50, 200
+#: Least share of the ordinary documents that a language needs for a reference.
+LEAST_SHARE = 0.001
 #: Limits for long texts; a text of n words gets SLACK / n more, as chance alone moves short ones.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, SLACK = 0.15, 0.42, 5.0
 
@@ -101,7 +101,6 @@ def duplicate_lines(text: bytes) -> int:
 
 def count_features(docs: DataFrame, *, keep: tuple[str, ...], text_col: str = "text", lang_col: str | None = "lang", common: dict[str, str] = COMMON) -> DataFrame:
     """The columns in keep (as k0, k1, ...), lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, words."""
-    short_batches(docs.sparkSession)
     places, size = common_places(common)
     classes = _classes()
 
@@ -132,11 +131,13 @@ def count_features(docs: DataFrame, *, keep: tuple[str, ...], text_col: str = "t
 def references(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Language -> its two distributions over all its ordinary documents; rows without lang don't count.
 
-    The result has one row per language, whatever the input's size.
+    Languages of under one in 1000 of these documents have no reference, so the
+    result has at most 1000 rows, whatever stands in the column.
     """
     sums = lambda c, n: [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(n)]
     size = common_places()[1]
-    rows = features.where(f"lang is not null and not ({BASE_FAILED}) and 10 * n_symbols <= n_words").groupBy("lang").agg(*sums("chars", len(CLASSES)), *sums("words", size)).collect()
+    ordinary = features.where(f"lang is not null and not ({BASE_FAILED}) and 10 * n_symbols <= n_words")
+    rows = ordinary.groupBy("lang").agg(F.count("*").alias("rows"), *sums("chars", len(CLASSES)), *sums("words", size)).where(F.col("rows") >= LEAST_SHARE * ordinary.count()).collect()
     out = {}
     for r in rows:
         chars, words = (np.array([r[f"{c}{i}"] or 0 for i in range(n)], float) for c, n in (("chars", len(CLASSES)), ("words", size)))
@@ -145,11 +146,23 @@ def references(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
-    """The distance: the root of the divergence to base 2, from 0 to 1."""
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distance of each row of p from q: the root of the divergence to base 2, from 0 to 1."""
     m = (p + q) / 2
-    part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(axis=-1)
+    return np.sqrt(np.maximum(0, (part(p) + part(q)) / 2))
+
+
+def nearest(n_words: np.ndarray, chars: np.ndarray, words: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]], least_words: int, least_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its two distances to the language of least sum (the first of equals); nan under the minimum lengths."""
+    if not known or not len(n_words):
+        return np.full(len(n_words), np.nan), np.full(len(n_words), np.nan)
+    long_chars, long_words = chars.sum(axis=1) >= max(1, least_chars), n_words >= max(1, least_words)
+    share = lambda x: x / np.maximum(1, x.sum(axis=1, keepdims=True))
+    c = np.stack([np.where(long_chars, jensen_shannon(share(chars), rc), np.nan) for rc, _ in known])
+    w = np.stack([np.where(long_words, jensen_shannon(share(words), rw), np.nan) for _, rw in known])
+    at = (np.nan_to_num(c) + np.nan_to_num(w)).argmin(axis=0), np.arange(len(n_words))
+    return c[at], w[at]
 
 
 def judge(docs: DataFrame, *, keep: tuple[str, ...], most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, **options) -> DataFrame:
@@ -165,20 +178,16 @@ def judge(docs: DataFrame, *, keep: tuple[str, ...], most_char: float = MOST_CHA
     names = sorted(known)
 
     def measure(batches):
-        chars_of, words_of = ([known[n][i] for n in names] for i in (0, 1))
+        pairs = [known[n] for n in names]
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            found = []
-            for n, chars, words in zip(batch.column(at["n_words"]).to_pylist(), batch.column(at["chars"]).to_pylist(), batch.column(at["words"]).to_pylist(), strict=True):
-                c, w = np.array(chars, float), np.array(words, float)
-                pairs = []
-                for rc, rw in zip(chars_of, words_of, strict=True):
-                    pairs.append((jensen_shannon(c / c.sum(), rc) if c.sum() >= least_chars else None, jensen_shannon(w / w.sum(), rw) if n >= least_words else None))
-                found.append(min(pairs, key=lambda p: ((p[1] or 0) + (p[0] or 0)), default=(None, None)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: at["chars"]], pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[: at["chars"]], "char_distance", "word_distance"])
+            matrix = lambda c: batch.column(at[c]).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)  # noqa: B023, E731
+            n_words = batch.column(at["n_words"]).to_numpy(zero_copy_only=False)
+            found = nearest(n_words, matrix("chars"), matrix("words"), pairs, least_words, least_chars) if batch.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at["chars"]], *(pa.array(x, pa.float64(), from_pandas=True) for x in found)], names=[*batch.schema.names[: at["chars"]], "char_distance", "word_distance"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields[:-2])
-    out = features.mapInArrow(measure, f"{schema}, char_distance double, word_distance double")
+    out = materialise(features.mapInArrow(measure, f"{schema}, char_distance double, word_distance double"), "distances")
     out = out.withColumn("base_failed", F.expr(BASE_FAILED))
     slack = SLACK / F.greatest(F.col("n_words"), F.lit(1))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= most_char + slack) & (F.coalesce("word_distance", F.lit(0.0)) <= most_word + slack)

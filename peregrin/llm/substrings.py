@@ -10,29 +10,37 @@ A byte goes if it lies in a string of `length` bytes that starts anywhere else.
    that it anchors. Equal contexts are one class with a count; a batch of texts
    sends the bytes of a class once.
 3. Refinement, where an anchor has several classes: positions are bucketed by
-   their first 8 bytes; then buckets are refined by sorting on the bucket
-   identifiers at later offsets (8, 16, ... bytes on), each round reusing the
-   updated identifiers, until a bucket stands for `length` equal bytes. Buckets
-   of one position are final and leave the work at once. These are the buckets
-   of a suffix array to that depth; the order within them isn't needed.
-   Contexts of an anchor with more than `hot` classes are instead dealt out by
-   digests of the single windows, so no task holds an unbounded group.
+   their first 8 bytes, in order; then a bucket of depth d is refined by sorting
+   on the bucket pointers of the positions d bytes on. New pointers count at
+   once: the sub-buckets are refined again until they are done, and later
+   buckets, which meet pointers that stand for more bytes, need fewer rounds.
+   Buckets of one position leave the work. Where a bucket was cut by pointers
+   beyond `length` bytes, neighbours in the order are compared.
+   An anchor with more than `most` classes is refined in sub-buckets: windows
+   with the anchor in the same stretch of places share their middle, so classes
+   meet by place and middle; where that is still too much, by ever shorter
+   stretches, down to single windows. So no task holds an unbounded group.
 4. Spans of repeated windows go back to their documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release, short_batches, texts
+from .common import join_hot, materialise, texts
 from .minhash import _longs, mixed
 
-LENGTH, GRAM, HOT, REFINE_BYTES = 400, 32, 3000, 3_000_000
+LENGTH, GRAM, REFINE_BYTES = 400, 32, 3_000_000
+#: Classes of an anchor that one task refines together, and the stretches of places by which more are dealt out.
+GROUP_CLASSES, STRETCHES = 3000, (48, 6, 1)
+#: Positions whose buckets are refined at a time.
+SLICE = 1 << 17
 #: Bytes of a text that are searched for anchors at a time.
 CHUNK = 1 << 20
 _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -83,32 +91,67 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 
 def refine(contexts: list[bytes], starts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context the places of its first `starts` windows that are equal to another of these windows."""
+    """For each context the places of its first `starts` windows that are equal to another of these windows.
+
+    A bucket is known by its first place in `order`; its pointer is that place,
+    and `depth` says how many equal bytes it stands for. Two buckets differ
+    within the smaller of their depths.
+    """
     data = b"".join(contexts)
     n = len(data)
+    gram = np.ndarray((n,), ">u8", data + bytes(7), 0, (1,)).astype(np.uint64)
+    order = np.argsort(gram)
+    first = np.flatnonzero(np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]]))
+    sizes = np.diff(np.append(first, n))
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(first, sizes)
+    depth, unsure = np.full(n, 8), np.zeros(n, bool)
+    first, sizes = first[sizes > 1], sizes[sizes > 1]
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(SLICE, int(sizes.sum()) + SLICE, SLICE)) + 1
+    for heads, counts in zip(np.split(first, cuts), np.split(sizes, cuts), strict=True):
+        while len(heads):
+            heads, counts = _refine_buckets(heads, counts, order, pointer, depth, unsure, length)
+    same = np.concatenate([[False], pointer[order[1:]] == pointer[order[:-1]]])
+    check = np.flatnonzero(unsure)
+    check = check[np.maximum(order[check - 1], order[check]) + length <= n]
+    for o in (*range(0, length - 8, 8), length - 8):
+        check = check[gram[order[check - 1] + o] == gram[order[check] + o]]
+    same[check] = True
+    group = np.cumsum(~same) - 1
+    valid = np.zeros(n, bool)
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-    valid = np.concatenate([np.arange(o, o + s) for o, s in zip(offsets[:-1], starts, strict=True)])
-    _, bucket, counts = np.unique(eights(data + bytes(7)), return_inverse=True, return_counts=True)
-    bucket = bucket.astype(np.int64)
-    active = np.flatnonzero(counts[bucket] > 1)
-    depth = 8
-    while depth < length and len(active):
-        step = min(depth, length - depth)
-        active = active[active + step < n]
-        pairs = bucket[active] * np.int64(2 * n + 1) + bucket[active + step]
-        _, new, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        # Identifiers need only be distinct: rest keeps its own, shifted above the new ones.
-        alone = np.ones(n, bool)
-        alone[active] = False
-        bucket[active] = new
-        rest = np.flatnonzero(alone)
-        bucket[rest] = len(counts) + np.arange(len(rest))
-        active = active[counts[new] > 1]
-        depth += step
-    _, which, counts = np.unique(bucket[valid], return_inverse=True, return_counts=True)
-    twice = counts[which] > 1
-    cuts = np.cumsum(starts)[:-1]
-    return [np.flatnonzero(x) for x in np.split(twice, cuts)]
+    for o, s in zip(offsets[:-1], starts, strict=True):
+        valid[o : o + s] = True
+    times = np.bincount(group, weights=valid[order])
+    twice = np.zeros(n, bool)
+    twice[order] = times[group] > 1
+    return [np.flatnonzero(twice[o : o + s]) for o, s in zip(offsets[:-1], starts, strict=True)]
+
+
+def _refine_buckets(heads, counts, order, pointer, depth, unsure, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts these buckets on the pointers at their depth; the first places and sizes of those to refine further."""
+    n = len(order)
+    own = np.repeat(heads, counts)
+    places = own + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = order[places]
+    to = at + depth[own]
+    ends = to >= n
+    key = np.where(ends, n - 1 - to, pointer[np.minimum(to, n - 1)])
+    deep = depth[own] + np.where(ends, 1, depth[np.maximum(key, 0)])
+    rank = own * (n + 2 * length) + key
+    by = np.argsort(rank)
+    at, rank, deep = at[by], rank[by], deep[by]
+    order[places] = at
+    new = np.concatenate([[True], rank[1:] != rank[:-1]])
+    inner = np.flatnonzero(new[1:] & (own[1:] == own[:-1])) + 1
+    unsure[places[inner]] = np.minimum(deep[inner - 1], deep[inner]) > length
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(at)))
+    heads = places[begin]
+    pointer[at] = np.repeat(heads, sizes)
+    depth[heads] = deep[begin]
+    more = (sizes > 1) & (deep[begin] < length)
+    return heads[more], sizes[more]
 
 
 def to_ranges(places: np.ndarray) -> list[list[int]]:
@@ -132,70 +175,146 @@ def _scan(length: int):
     return scan
 
 
-_CONTEXT = "doc_id long, version long, h long, d1 long, d2 long, lo long, n int, bytes binary"
+_KEYS = ["g1", "g2", "d1", "d2"]
+#: A class: group and digest, the anchor's place in it, its windows and bytes.
+_CLASS = "g1 long, g2 long, d1 long, d2 long, place int, n int, bytes binary"
+_CONTEXT = f"doc_id long, version long, lo long, {_CLASS}"
+_PART = f"o1 long, o2 long, c1 long, c2 long, lo int, {_CLASS}"
 
 
-def _cut(length: int):
-    def cut(batches):
-        names = [f.split()[0] for f in _CONTEXT.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _digest(data: bytes, seed: int) -> tuple[int, int]:
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(data, seed=seed))
+
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+class _Rows:
+    """Rows of classes, whose bytes are sent once for each that is near; yields them in batches."""
 
+    def __init__(self, schema: str):
+        self.schema, self.rows, self.size, self.sent = schema, [], 0, set()
+
+    def add(self, head: tuple, group: tuple, place: int, n: int, data: bytes) -> None:
+        d = _digest(data, place)
+        known = (group, d) in self.sent
+        self.rows.append((*head, *group, *d, place, n, None if known else data))
+        self.size += 0 if known else len(data)
+        self.sent.add((group, d))
+
+    def full(self) -> bool:
+        return len(self.rows) > 20_000 or self.size > 8_000_000
+
+    def take(self) -> pa.RecordBatch:
+        out = _batch(self.rows, self.schema)
+        self.rows, self.size, self.sent = [], 0, set()
+        return out
+
+
+def _cut(length: int):
+    def cut(batches):
+        rows = _Rows(_CONTEXT)
         for batch in batches:
-            rows, sent = [], set()
             for key, version, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 h, at, lo, hi = anchors(text, length)
                 keep = np.isin(h, np.array(shared, np.int64).view(np.uint64))
                 for x, p, a, b in zip(h[keep].view(np.int64).tolist(), at[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    bytes_ = text[a : b + length]
-                    d = xxhash.xxh3_128_digest(bytes_, seed=p - a)
-                    rows.append((key, version, x, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), a, b - a + 1, None if d in sent else bytes_))
-                    sent.add(d)
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
-            yield batch_of(rows)
+                    rows.add((key, version, a), (x, 0), p - a, b - a + 1, text[a : b + length])
+                    if rows.full():
+                        yield rows.take()
+        yield rows.take()
 
     return cut
 
 
-def _refine_groups(length: int, most: int):
-    def work(batches):
-        held, size, last, kind = [], 0, None, None
+def split_class(group: tuple[int, int], place: int, n: int, data: bytes, length: int, stretch: int):
+    """(first window, group, place, n, bytes) of each part of a class; windows that may be equal get equal groups.
+
+    The anchor's place in a window falls from `place` on; windows whose places lie
+    in one stretch share the bytes from its first place before the anchor to what
+    the last leaves behind it. Group and those bytes name the part's group.
+    """
+    for i in range((place - n + 1) // stretch, place // stretch + 1):
+        near, far = max(place - n + 1, i * stretch), min(place, (i + 1) * stretch - 1)
+        middle = data[place - i * stretch : place + length - (i + 1) * stretch + 1]
+        a = place - far
+        yield a, _digest(struct.pack("<qqi", *group, i) + middle, 0), far, far - near + 1, data[a : a + far - near + length]
 
-        def flush():
-            spans = refine([r[4] for r in held], [r[3] for r in held], length)
-            rows = [(r[0], r[1], r[2], to_ranges(s)) for r, s in zip(held, spans, strict=True)]
-            rows = [r for r in rows if r[3]]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.list_(pa.list_(pa.int64())))], names=["h", "d1", "d2", "spans"])
 
+def _split(length: int, stretch: int):
+    def split(batches):
+        rows = _Rows(_PART)
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if row[0] != last and size >= most:
-                    yield flush()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield flush()
+            for g1, g2, d1, d2, place, n, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                for a, group, p, k, part in split_class((g1, g2), place, n, data, length, stretch):
+                    rows.add((g1, g2, d1, d2, a), group, p, k, part)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
+
+    return split
 
-    return work
 
+def _refine_groups(length: int, most_bytes: int):
+    """Rows come sorted by group; groups of one class say nothing and are left out."""
 
-def _window_digests(length: int):
     def work(batches):
+        held, own, size, last = [], [], 0, None
+
+        def flush():
+            spans = refine([r[5] for r in held], [r[4] for r in held], length) if held else []
+            rows = [(*r[:4], x) for r, s in zip(held, spans, strict=True) if (x := to_ranges(s))]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [pa.array([r[4] for r in rows], pa.list_(pa.list_(pa.int64())))], names=[*_KEYS, "spans"])
+
         for batch in batches:
-            for h, d1, d2, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                digests = [xxhash.xxh3_128_digest(data[j : j + length]) for j in range(n)]
-                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x)) for x in (h, d1, d2)] + [pa.array(np.arange(n)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["h", "d1", "d2", "j", "w1", "w2"])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[:2] != last:
+                    if len(own) > 1:
+                        held += own
+                        size += sum(len(r[5]) for r in own)
+                    if size >= most_bytes:
+                        yield flush()
+                        held, size = [], 0
+                    own, last = [], row[:2]
+                own.append(row)
+        if len(own) > 1:
+            held += own
+        yield flush()
 
     return work
 
 
+def class_spans(members: DataFrame, length: int, most: int, stretches: tuple[int, ...] = STRETCHES) -> tuple[DataFrame, DataFrame]:
+    """members: rows of _CLASS. Which of a class's windows are equal to another in its group: two tables.
+
+    The classes found more than once (k times), all of whose windows are; and
+    g1, g2, d1, d2, spans ([first, last] window) of classes that share windows
+    with others of their group.
+    """
+    classes = materialise(members.groupBy(_KEYS).agg(F.count("*").alias("k"), F.first("n").alias("n")), "classes")
+    bytes_ = members.where("bytes is not null").groupBy(_KEYS).agg(F.first("place").alias("place"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    hot = materialise(classes.groupBy("g1", "g2").agg(F.count("*").alias("c")).where(F.col("c") > most), "hot") if stretches else None
+    many = hot.count() if hot is not None else 0
+    few = bytes_.join(hot, ["g1", "g2"], "left_anti") if many else bytes_
+    spans = "g1 long, g2 long, d1 long, d2 long, spans array<array<long>>"
+    found = few.select(*_KEYS, "n", "bytes").repartition("g1", "g2").sortWithinPartitions(*_KEYS).mapInArrow(_refine_groups(length, REFINE_BYTES), spans)
+    if many:
+        dealt = join_hot(bytes_, hot, ["g1", "g2"], "c", classes.count()).select(*(f.split()[0] for f in _CLASS.split(", ")))
+        parts = materialise(dealt.mapInArrow(_split(length, stretches[0]), _PART), "parts")
+        twice, inside = class_spans(parts.select(*(f.split()[0] for f in _CLASS.split(", "))), length, most, stretches[1:])
+        inside = inside.unionByName(twice.select(*_KEYS, _all_windows()))
+        of = parts.select(F.col("o1"), "o2", "c1", "c2", "lo", *_KEYS).join(inside, _KEYS).select(F.col("o1").alias("g1"), F.col("o2").alias("g2"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.transform("spans", lambda s: F.array(s[0] + F.col("lo"), s[1] + F.col("lo"))).alias("spans"))
+        found = found.unionByName(of)
+    return classes.where("k > 1"), materialise(found, "found")
+
+
+def _all_windows():
+    return F.array(F.array(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("spans")
+
+
 def merge_spans(spans: list) -> list[tuple[int, int]]:
     """Disjoint maximal runs of [start, end) spans; touching ones are one."""
     out: list[list[int]] = []
@@ -207,12 +326,11 @@ def merge_spans(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = GROUP_CLASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables of doc_id and version (a hash of the text): n_bytes and sha of every row; the texts with repeats; their spans.
 
     spans: [start, end) byte runs of repeated windows, neither sorted nor merged.
     """
-    short_batches(docs.sparkSession, 200)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     scanned = materialise(source.mapInArrow(_scan(length), "doc_id long, version long, n_bytes long, sha string, found array<long>"), "scanned")
     # An anchor that a text holds more than once comes twice from it.
@@ -222,19 +340,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     same = F.col("s.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("s.version") == F.col("l.version"))
     texts_ = materialise(source.alias("s").join(lists.alias("l"), same).select("s.doc_id", "s.version", "s.text", "l.shared"), "texts")
     contexts = materialise(texts_.select("doc_id", "version", "text", "shared").mapInArrow(_cut(length), _CONTEXT), "contexts")
-    classes = contexts.groupBy("h", "d1", "d2").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    classes = materialise(classes, "classes")
-    whole = classes.where("k > 1").select("h", "d1", "d2", F.array(F.array(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("spans"))
-    several = classes.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1")
-    apart = contexts.select("h", "d1", "d2", "n", "bytes").join(several, "h").groupBy("h", "d1", "d2").agg(F.first("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("classes").alias("classes"))
-    apart = materialise(apart, "apart")
-    few = apart.where(F.col("classes") <= hot).select("h", "d1", "d2", "n", "bytes").repartition("h").sortWithinPartitions("h", "d1", "d2")
-    found = few.mapInArrow(_refine_groups(length, REFINE_BYTES), "h long, d1 long, d2 long, spans array<array<long>>")
-    single = apart.where(F.col("classes") > hot).select("h", "d1", "d2", "n", "bytes").mapInArrow(_window_digests(length), "h long, d1 long, d2 long, j long, w1 long, w2 long")
-    twice = single.groupBy("h", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("h", "w1", "w2")
-    many = single.join(twice, ["h", "w1", "w2"], "left_semi").groupBy("h", "d1", "d2").agg(F.collect_list(F.array("j", "j")).alias("spans"))
-    spans = whole.unionByName(found).unionByName(many).select("h", "d1", "d2", F.explode("spans").alias("span"))
-    places = contexts.select("doc_id", "version", "h", "d1", "d2", "lo").join(spans, ["h", "d1", "d2"]).select("doc_id", "version", F.struct((F.col("lo") + F.col("span")[0]).alias("a"), (F.col("lo") + F.col("span")[1] + length).alias("b")).alias("span"))
+    whole, found = class_spans(contexts.drop("doc_id", "version", "lo"), length, most)
+    held = contexts.select("doc_id", "version", "lo", *_KEYS)
+    places = join_hot(held, whole.select(*_KEYS, "k", _all_windows()), _KEYS, "k", contexts.count()).unionByName(held.join(found, _KEYS))
+    places = places.select("doc_id", "version", "lo", F.explode("spans").alias("span")).select("doc_id", "version", F.struct((F.col("lo") + F.col("span")[0]).alias("a"), (F.col("lo") + F.col("span")[1] + length).alias("b")).alias("span"))
     gone = places.groupBy("doc_id", "version").agg(F.collect_set("span").alias("spans"))
     return scanned.select("doc_id", "version", "n_bytes", "sha"), texts_, gone
 
@@ -253,15 +362,18 @@ def _strip(batches):
 
 
 def repeats_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, has_repeats for each row of docs.
 
-    A null text is empty; texts under `length` bytes lose nothing; rows that
-    repeat a text lose it, ids or not; empty tables give no rows.
+    n_bytes is the whole text's length, n_kept what is left of it; has_repeats
+    says whether anything is removed. A null text is empty; texts under `length`
+    bytes lose nothing; rows that repeat a text lose it, ids or not; empty tables
+    give no rows.
     """
     scanned, texts_, gone = repeated_spans(docs, **options)
     same = F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("t.version") == F.col("g.version"))
     held = texts_.select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"])
-    cut = held.alias("t").join(gone.alias("g"), same).select("t.doc_id", "t.version", "t.text", "g.spans").mapInArrow(_strip, "doc_id long, version long, n_removed long, n_spans long, kept_sha256 string")
+    cut = materialise(held.alias("t").join(gone.alias("g"), same).select("t.doc_id", "t.version", "t.text", "g.spans").mapInArrow(_strip, "doc_id long, version long, n_removed long, n_spans long, kept_sha256 string"), "cut")
     same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.version") == F.col("c.version"))
     zero = F.lit(0).cast("long")
-    return scanned.alias("s").join(cut.alias("c"), same, "left").select("s.doc_id", "s.n_bytes", F.coalesce("c.n_removed", zero).alias("n_removed"), F.coalesce("c.n_spans", zero).alias("n_spans"), F.coalesce("c.kept_sha256", "s.sha").alias("kept_sha256"))
+    out = scanned.alias("s").join(cut.alias("c"), same, "left").select("s.doc_id", "s.n_bytes", F.coalesce("c.n_removed", zero).alias("n_removed"), F.coalesce("c.n_spans", zero).alias("n_spans"), F.coalesce("c.kept_sha256", "s.sha").alias("kept_sha256"))
+    return out.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "has_repeats": F.col("n_removed") > 0})

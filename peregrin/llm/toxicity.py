@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import short_batches
+from .common import fixed_sample, materialise
 from .language import held_out
 
-#: The classifier is fitted on about this many positive and unlabelled documents.
+#: The classifier is fitted on at most this many positive and unlabelled documents.
 POSITIVES, UNLABELLED = 1500, 4000
 #: Most features, and least share of the positives that has one.
 FEATURES, LEAST_SHARE = 300, 0.02
@@ -113,14 +113,14 @@ def matrix(sets: list, names: list[str]) -> np.ndarray:
 
 
 def fit(rows: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 7) -> ToxicityModel:
-    """rows: text, and toxic (1, 0 or null) of rows whose labels may be learnt from.
+    """rows: id, text, and toxic (1, 0 or null) of rows whose labels may be learnt from.
 
-    Texts come from a hashed sample of about the stated sizes; the prior from all labels.
+    Texts are those of smallest hash of id and text, of the stated numbers at
+    most; the prior comes from all labels.
     """
     n_pos, n_all, n_labelled = rows.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count("*"), F.count("toxic")).first()
     prior = min(0.5, max(0.001, n_pos / n_labelled)) if n_labelled else 0.0
-    place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000))
-    take = lambda df, most, n: sorted(r["text"] or "" for r in df.where(place < 1_000_000 * min(1.0, most / max(1, n))).select("text").collect())
+    take = lambda df, most, n: sorted(r["text"] or "" for r in fixed_sample(df.withColumn("all_", F.lit(1)), ["id", "text"], {1: (most, n)}, "all_", seed).select("text").collect())
     pos, unl = (take(rows.where("toxic = 1"), positives, n_pos), take(rows, unlabelled, n_all)) if n_pos else ([], [])
     if not pos or not unl:
         return ToxicityModel([], np.zeros(0), -5.0)
@@ -133,7 +133,6 @@ def fit(rows: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABE
 
 def score_texts(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """The columns in keep, score and predicted for each row; repeated rows are scored each."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -143,7 +142,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...],
 
     rows = docs.select(*keep, F.col(text_col).alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return materialise(rows.mapInArrow(score, f"{schema}, score double"), "scores").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -153,10 +152,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     model; a document with several labels is toxic if any says so; null labels
     count as none; null and empty texts get the model's base score.
     """
-    short_batches(docs.sparkSession)
     aside = held_out(id_col, 5, 0)
     marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").alias("toxic"))
     learn = docs.where(~aside & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    model = fit(learn.join(marks, F.col("_id") == F.col("_of"), "left").select("text", "toxic"), **options)
+    model = fit(learn.join(marks, F.col("_id") == F.col("_of"), "left").select(F.col("_id").alias("id"), "text", "toxic"), **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), aside.alias("held_out"), F.col(text_col).alias("text"))
     return score_texts(rows, model, keep=("doc_id", "held_out"))

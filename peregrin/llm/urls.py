@@ -2,10 +2,16 @@
 
 Rules come first: a rule fits its host and all subdomains if the path starts
 with the rule's path, and the longest fitting rule decides. For other urls the
-host's labels are segmented by a unigram Viterbi pass, which finds the split of
-greatest probability (words unknown to the lexicon cost more for each letter),
-and a multinomial naive Bayes model, trained on the labelled names below, scores
-the words of host and path.
+labels of host and path are segmented by a unigram Viterbi pass, which finds the
+split of greatest probability (letters of no word cost more for each), and a
+multinomial naive Bayes model scores the words.
+
+Both models are learnt from the table. Word frequencies come from the texts of
+all pages. The classifier learns from the urls that the rules decide, without
+the words that the rules themselves test, since those only repeat the rule; the
+labelled names below count as half as much evidence as all these urls. Words
+rarer than one in 100,000 are left out of either model, so neither has more
+entries than that, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import short_batches
+from .common import materialise
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -34,25 +40,43 @@ ALLOW_NAMES = (
     "article story post", "about contact team", "code open source", "job work office", "train bus travel",
 )
 PRIOR_BLOCK = 0.3
+#: Least share of all words that a word of the lexicon, and of the classifier, has; longest word of the lexicon.
+LEAST_SHARE, LONGEST = 1e-5, 24
+#: Evidence of the labelled names, as a part of what the decided urls give.
+NAMES_PART = 0.5
+
+
+def _named(names) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for w in (w for name in names for w in name.split()):
+        counts[w] = counts.get(w, 0) + 1
+    return counts
 
 
 class UrlModel:
-    """Trained on construction; small, and sent to the executors as it is."""
-
-    def __init__(self, block=BLOCK_NAMES, allow=ALLOW_NAMES, prior_block: float = PRIOR_BLOCK, smoothing: float = 0.5):
-        counts = {k: {} for k in ("block", "allow")}
-        for verdict, names in (("block", block), ("allow", allow)):
-            for name in names:
-                for w in name.split():
-                    counts[verdict][w] = counts[verdict].get(w, 0) + 1
-        words = sorted({w for c in counts.values() for w in c})
-        total = {k: sum(c.values()) + smoothing * len(words) for k, c in counts.items()}
-        self.weight = {w: math.log((counts["block"].get(w, 0) + smoothing) / total["block"]) - math.log((counts["allow"].get(w, 0) + smoothing) / total["allow"]) for w in words}
-        self.prior = math.log(prior_block / (1 - prior_block))
-        everything = sum(sum(c.values()) for c in counts.values())
-        self.logp = {w: math.log(sum(c.get(w, 0) for c in counts.values()) / everything) for w in words}
+    """A lexicon (word -> times) and a classifier (word -> times blocked, times allowed; urls of either verdict)."""
+
+    def __init__(self, lexicon: dict[str, int] | None = None, decided: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0), *, block=BLOCK_NAMES, allow=ALLOW_NAMES, prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = 0.5):
+        named = (_named(block), _named(allow))
+        total = sum((lexicon or {}).values())
+        times = {w: max(1.0, LEAST_SHARE * total) * sum(c.get(w, 0) for c in named) for w in {*named[0], *named[1]}}
+        for w, n in (lexicon or {}).items():
+            times[w] = max(n, times.get(w, 0))
+        everything = sum(times.values())
+        self.logp = {w: math.log(n / everything) for w, n in times.items()}
         self.unknown = math.log(1 / everything)
-        self.longest = max(map(len, words))
+        self.longest = max(map(len, times))
+        self.learn(named, decided or {}, urls, prior_block, names_part, smoothing)
+
+    def learn(self, named, decided: dict, urls: tuple[int, int], prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = 0.5) -> None:
+        seen = sum(a + b for a, b in decided.values())
+        each = max(1.0, names_part * seen / max(1, sum(sum(c.values()) for c in named)))
+        words = {*named[0], *named[1], *decided}
+        counts = [{w: each * c.get(w, 0) + decided.get(w, (0, 0))[k] for w in words} for k, c in enumerate(named)]
+        total = [sum(c.values()) + smoothing * len(words) for c in counts]
+        self.weight = {w: math.log((counts[0][w] + smoothing) / total[0]) - math.log((counts[1][w] + smoothing) / total[1]) for w in words}
+        blocked = (urls[0] + 100 * prior_block) / (sum(urls) + 100)
+        self.prior = math.log(blocked / (1 - blocked))
 
     def segment(self, name: str) -> list[str]:
         """The likeliest words of a name; letters of no word stay together.
@@ -81,10 +105,9 @@ class UrlModel:
             i = a
         return out[::-1]
 
-    def score(self, words: list[str]) -> float:
-        """The probability of block; words outside the vocabulary say nothing."""
-        z = self.prior + sum(self.weight.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+def probability(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -110,32 +133,62 @@ def fitting_rule(host: str, path: str, rules: dict) -> tuple[str, str] | None:
         host = host.split(".", 1)[1]
 
 
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+def word_counts(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
+    """How often each frequent word of a-z stands in the texts of all pages; fewer words than 1 / LEAST_SHARE."""
+    words = pages.select(F.explode(F.split(F.regexp_replace(F.lower(F.col(html_col)), "<[^>]*>", " "), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST) & F.col("w").rlike("^[a-z]+$"))
+    counts = materialise(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * F.lit(total)).collect()}
+
+
+def decided_counts(found: DataFrame, rules: tuple) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
+    """From the urls that rules decide: word -> (times blocked, times allowed), without the rules' own words and single letters, and urls of either verdict."""
+    own = sorted({w for host, path, _ in rules for w in re.findall("[a-z]+", f"{host} {path}".lower())})
+    blocked = lambda c: F.count(F.when(F.col("verdict") == c, 1))
+    ruled = found.where("rule is not null")
+    words = materialise(ruled.select("verdict", F.explode("words").alias("w")).where(~F.col("w").isin(own) & (F.length("w") > 1)).groupBy("w").agg(blocked("block").alias("b"), blocked("allow").alias("a")), "decided")
+    total = words.agg(F.coalesce(F.sum(F.col("a") + F.col("b")), F.lit(0))).first()[0]
+    counts = {r.w: (r.b, r.a) for r in words.where(F.col("a") + F.col("b") >= LEAST_SHARE * F.lit(total)).collect()}
+    return counts, tuple(ruled.agg(blocked("block"), blocked("allow")).first())
+
+
+def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score for each row.
 
     A null url, or one without `://`, has an empty host and path, fits no rule
     and is scored by the prior alone. Empty tables give no rows, repeated rows
-    are judged each; of rules with equal texts the first counts.
+    are judged each; of rules with equal texts the first counts. Where pages has
+    no column html_col, the lexicon is that of the labelled names.
     """
-    short_batches(pages.sparkSession, 2000)
-    model = model or UrlModel()
+    model = UrlModel(word_counts(pages, html_col) if html_col in pages.columns else None)
     by_host: dict[str, list] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches):
-        segment = lru_cache(100_000)(lambda label: tuple(model.segment(label)))
+    def split(batches):
+        segment = lru_cache(100_000)(lambda label: tuple(shared.value.segment(label)))
         words_in = re.compile("[a-z]+").findall
         for batch in batches:
             out = []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
-                words = [w for label in words_in(host) + words_in(path.lower()) for w in segment(label)]
-                score = model.score(words)
-                rule = fitting_rule(host, path, by_host)
-                out.append((host, path, rule[0] if rule else None, rule[1] if rule else "block" if score >= threshold else "allow", words, score))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["page_id", "host", "path", "rule", "verdict", "words", "score"])
+                rule = fitting_rule(host, path, by_host) or (None, None)
+                out.append((host, path, *rule, [w for label in words_in(host) + words_in(path.lower()) for w in segment(label)]))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["page_id", "host", "path", "rule", "verdict", "words"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), url_col).mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>, score double")
+    found = materialise(pages.select(F.col(id_col).alias("page_id"), url_col).mapInArrow(split, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>"), "urls")
+    decided, urls = decided_counts(found, rules)
+    model.learn((_named(BLOCK_NAMES), _named(ALLOW_NAMES)), decided, urls)
+    scorer = pages.sparkSession.sparkContext.broadcast((model.weight, model.prior))
+
+    def score(batches):
+        weight, prior = scorer.value
+        for batch in batches:
+            scores = [probability(prior + sum(weight.get(w, 0.0) for w in words)) for words in batch.column(5).to_pylist()]
+            verdicts = [v or ("block" if p >= threshold else "allow") for v, p in zip(batch.column(4).to_pylist(), scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), batch.column(5), pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+
+    return materialise(found.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>, score double"), "judged")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, new_path, short_batches, texts
+from .common import join_hot, materialise, new_path, texts
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 32_768, 8_192, 64_000_000
@@ -153,8 +153,9 @@ def _writer(folder: str, segment: int, most: int):
         store.create_dir(base, recursive=True)
         out, name, size, files, row = None, "", 0, [], 0
         for batch in batches:
-            ids, urls, digests, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for page, url, payload, digest, to in zip(ids, urls, texts(batch.column(2)), digests, refers, strict=True):
+            ids, urls, shas, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            for page, url, payload, sha, to in zip(ids, urls, texts(batch.column(2)), shas, refers, strict=True):
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 if out is None:
                     name = f"part-{at.partitionId()}-{at.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
                     out, size = store.open_output_stream(f"{base}/{name}", compression=None), 0
@@ -180,17 +181,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     response; rows with a larger or no id revisit it. Rows that repeat that id
     are responses too. A null payload is empty, a null url about:blank.
     """
-    short_batches(pages.sparkSession, 200)
 
-    def digest(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([payload_digest(x) for x in texts(batch.column(2))], pa.string()), pa.array([len(x) for x in texts(batch.column(2))], pa.int64())], names=["page_id", "url", "payload", "digest", "n"])
-
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
-    rows = rows.mapInArrow(digest, "page_id long, url string, payload string, digest string, n long")
-    first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    roles = rows.join(first, "digest", "left")
-    roles = roles.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
+    held = materialise(rows.groupBy("sha").agg(F.min(F.when(F.octet_length("payload") >= least_bytes, F.col("page_id"))).alias("first"), F.count("*").alias("k")), "first")
+    # Only digests whose first record others may revisit take part in the join.
+    several = held.where("k > 1 and first is not null")
+    roles = join_hot(rows, several, ["sha"], "k", held.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0], "left")
+    roles = roles.select("page_id", "url", "payload", "sha", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
     return materialise(roles.mapInArrow(_writer(folder, segment_bytes, archive_bytes), "path string, bytes long"), "manifest")
 
 
@@ -281,14 +278,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     Raises if a segment is missing or doubled, or a length or digest is wrong.
     """
-    short_batches(manifest.sparkSession, 200)
     tasks = max(1, 4 * manifest.sparkSession.sparkContext.defaultParallelism)
     files = manifest.select("path").repartition(tasks, "path")
     read = materialise(files.mapInArrow(_reader, _READ), "records")
     names = ["page_id", "url", "digest", "record_type", "refers_to", "n"]
     whole = read.where("number = 0").select(*names)
     parts = read.where("number > 0")
-    joined = parts.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_assemble, "page_id long, url string, digest string, record_type string, refers_to long, n long")
+    joined = materialise(parts.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_assemble, "page_id long, url string, digest string, record_type string, refers_to long, n long"), "joined")
     return whole.unionByName(joined)
 
 

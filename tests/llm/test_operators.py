@@ -133,9 +133,41 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert urls.judge_urls(pages.limit(0)).count() == 0
+    twice = urls.judge_urls(pages.union(pages).withColumn("html", F.lit(None).cast("string")))
+    assert twice.count() == 2 * len(cases) and twice.distinct().count() == len(cases)
+
+
+def test_urls_learn_from_the_table(spark):
+    """Words of the texts split hosts, urls that rules decide teach the classifier, and rules' own words don't count."""
+    rows = [(i, f"http://blutomi{i % 3}.example.net/x{i}", "<p>blu tomi gre sana</p>" * 5) for i in range(60)] + [(100 + i, f"http://gresana.example.org/fr/{i}", None) for i in range(60)]
+    rows += [(200, "http://blutomi.com/", ""), (201, "http://gresana.net.com/", ""), (202, "http://" + "blutomi" * 3000 + ".com/", "")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[200].words == ["blu", "tomi", "com"] and got[200].verdict == "block" and got[201].verdict == "allow" and got[202].words.count("tomi") == 3000
+    words, verdicts = [], []
+    for r in got.values():
+        if r.rule:
+            words += [(w, r.verdict) for w in r.words if w not in {"net", "example", "org", "fr", "com", "de", "en"} and len(w) > 1]
+            verdicts.append(r.verdict)
+    seen = collections.Counter(words)
+    model = urls.UrlModel({}, {w: (seen[w, "block"], seen[w, "allow"]) for w, _ in seen}, (verdicts.count("block"), verdicts.count("allow")))
+    for r in got.values():
+        assert r.score == pytest.approx(urls.probability(model.prior + sum(model.weight.get(w, 0) for w in r.words)))
 
 
 def test_segmentation_is_the_likeliest():
+    """Against all splits of a name, over a lexicon and with letters of no word."""
+    import math
+
+    m = urls.UrlModel({"ab": 9, "abc": 3, "c": 5, "bc": 4, "cab": 2, "b": 1}, block=(), allow=())
+
+    def cost(parts):
+        return sum(m.logp[p] if p in m.logp else m.unknown - len(p) * math.log(10) for p in parts)
+
+    def splits(name):
+        return [[]] if not name else [[name[:i], *rest] for i in range(1, len(name) + 1) for rest in splits(name[i:])]
+
+    for name in ("abc", "abcab", "cabbc", "abxcab", "zzabz", "bcbcabca", "xyz"):
+        assert cost(m.segment(name)) == pytest.approx(max(map(cost, splits(name)))) and "".join(m.segment(name)) == name
     m = urls.UrlModel()
     assert m.segment("dailynewsblog") == ["daily", "news", "blog"] and m.segment("") == []
     assert "".join(m.segment("xqzadultzzz")) == "xqzadultzzz" and "adult" in m.segment("xqzadultzzz")
@@ -151,14 +183,15 @@ def test_substrings_equal_brute_force(spark):
     rows = [(1, rnd(500) + a + rnd(300)), (2, a[50:600] + rnd(700)), (3, b + rnd(500)), (4, rnd(20) + b), (5, c), (6, rnd(900) + c + "x"), (7, None), (8, ""), (9, "ab " * 500), (10, rnd(1000)), (10, "zz"), (11, a), (12, a), (12, a), (13, rnd(450) + a[:420] + rnd(30) + a[:410]), (14, "ab " * 100), (None, a + rnd(10)), (16, "x" * 1000)]
     key = lambda r: tuple(map(str, r))
     want = sorted(brute.remove_repeats(rows, 400), key=key)
-    for hot in (3000, 1):
-        got = sorted((tuple(r) for r in substrings.repeats_report(make(spark, rows), hot=hot).collect()), key=key)
-        assert got == want
+    for most in (3000, 1):
+        got = [tuple(r) for r in substrings.repeats_report(make(spark, rows), most=most).collect()]
+        assert sorted((r[:5] for r in got), key=key) == want
+        assert all(r[5] == r[1] - r[2] and r[6] == (r[2] > 0) for r in got)
 
 
 def test_substrings_on_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = sorted(tuple(r) for r in substrings.repeats_report(docs).collect())
+    got = sorted(tuple(r)[:5] for r in substrings.repeats_report(docs).collect())
     assert got == sorted(brute.remove_repeats([(r.doc_id, r.text) for r in docs.collect()], 400))
 
 
@@ -170,16 +203,37 @@ def test_anchors_cover_each_window_once_over_chunks(monkeypatch):
     assert starts == list(range(len(text) - 399)) and ((at >= lo) | (at >= 0)).all() and (at >= hi).all() and (at + 32 <= lo + 400).all()
 
 
-def test_refine_finds_equal_windows():
+@pytest.mark.parametrize(("letters", "size"), [(100, 1 << 17), (100, 300), (98, 500), (1, 200)])
+def test_refine_finds_equal_windows(monkeypatch, letters, size):
+    monkeypatch.setattr(substrings, "SLICE", size)
     rng = np.random.default_rng(6)
-    contexts = [bytes(rng.integers(97, 100, 450, dtype=np.uint8)) for _ in range(6)]
-    contexts += [contexts[0][:420] + b"zzz", contexts[1], b"q" * 405]
+    contexts = [bytes(rng.integers(97, max(98, letters), 450, dtype=np.uint8)) for _ in range(6)]
+    contexts += [contexts[0][:420] + b"zzz", contexts[1], b"q" * 405, contexts[2][5:405], contexts[3][:399] + b"#" + contexts[3][400:], b"ab" * 250, contexts[4][3:] + contexts[4]]
     starts = [len(c) - 399 for c in contexts]
     seen = collections.Counter(c[i : i + 400] for c, n in zip(contexts, starts, strict=True) for i in range(n))
     got = substrings.refine(contexts, starts)
     assert [g.tolist() for g in got] == [[i for i in range(n) if seen[c[i : i + 400]] > 1] for c, n in zip(contexts, starts, strict=True)]
 
 
+def test_parts_of_classes_meet_if_windows_are_equal():
+    """Equal windows with the anchor at one place come to one group; each window lies in one part."""
+    rng = np.random.default_rng(8)
+    core = bytes(rng.integers(97, 103, 700, dtype=np.uint8))
+    for stretch in (48, 6, 1):
+        groups = {}
+        for k, (a, b) in enumerate(((0, 650), (100, 700), (20, 560))):
+            data, place = core[a:b], 340 - a
+            n = min(place, len(data) - 400) + 1
+            seen = []
+            for first, group, p, m, part in substrings.split_class((1, 0), place, n, data, 400, stretch):
+                assert p == place - first and part == data[first : first + m + 399]
+                seen += range(first, first + m)
+                for j in range(m):
+                    groups.setdefault((p - j, part[j : j + 400]), set()).add(group)
+            assert sorted(seen) == list(range(n)) and k < 3
+        assert all(len(g) == 1 for g in groups.values())
+
+
 # ------------------------------------------------------------------- quality
 
 
@@ -213,6 +267,27 @@ def test_jensen_shannon():
     assert quality.jensen_shannon(p, q) == pytest.approx(1) and quality.jensen_shannon(p, p) == 0
 
 
+def test_nearest_equals_one_row_at_a_time():
+    import math
+
+    rng = np.random.default_rng(3)
+    chars, words, n = rng.integers(0, 60, (50, 10)), rng.integers(0, 9, (50, 12)), rng.integers(0, 120, 50)
+    chars[0], words[0] = 0, 0
+    known = [(rng.dirichlet(np.ones(10)), rng.dirichlet(np.ones(12))) for _ in range(3)]
+    known.append(known[0])
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    got = quality.nearest(n, chars, words, known, 50, 200)
+    for i in range(50):
+        pairs = [(distance(chars[i] / chars[i].sum(), a) if chars[i].sum() >= 200 else None, distance(words[i] / max(1, words[i].sum()), b) if n[i] >= 50 else None) for a, b in known]
+        want = min(pairs, key=lambda p: (p[0] or 0) + (p[1] or 0))
+        assert all((math.isnan(g[i]) if x is None else g[i] == pytest.approx(x, abs=1e-9)) for g, x in zip(got, want, strict=True))
+
+
 # ------------------------------------------------------- language and toxicity
 
 
