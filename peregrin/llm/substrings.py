@@ -179,7 +179,9 @@ _KEYS = ["g1", "g2", "d1", "d2"]
 #: A class: group and digest, the anchor's place in it, its windows and bytes.
 _CLASS = "g1 long, g2 long, d1 long, d2 long, place int, n int, bytes binary"
 _CONTEXT = f"doc_id long, version long, lo long, {_CLASS}"
-_PART = f"o1 long, o2 long, c1 long, c2 long, lo int, {_CLASS}"
+_OWNER = ["o1", "o2", "c1", "c2"]
+#: A part of a class: its owner, the owner's window where it starts, and its own group and digest; the bytes are the owner's.
+_PART = "o1 long, o2 long, c1 long, c2 long, lo int, g1 long, g2 long, d1 long, d2 long, place int, n int"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -192,40 +194,24 @@ def _digest(data: bytes, seed: int) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(data, seed=seed))
 
 
-class _Rows:
-    """Rows of classes, whose bytes are sent once for each that is near; yields them in batches."""
-
-    def __init__(self, schema: str):
-        self.schema, self.rows, self.size, self.sent = schema, [], 0, set()
-
-    def add(self, head: tuple, group: tuple, place: int, n: int, data: bytes) -> None:
-        d = _digest(data, place)
-        known = (group, d) in self.sent
-        self.rows.append((*head, *group, *d, place, n, None if known else data))
-        self.size += 0 if known else len(data)
-        self.sent.add((group, d))
-
-    def full(self) -> bool:
-        return len(self.rows) > 20_000 or self.size > 8_000_000
-
-    def take(self) -> pa.RecordBatch:
-        out = _batch(self.rows, self.schema)
-        self.rows, self.size, self.sent = [], 0, set()
-        return out
-
-
 def _cut(length: int):
     def cut(batches):
-        rows = _Rows(_CONTEXT)
         for batch in batches:
+            rows, size, sent = [], 0, set()
             for key, version, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 h, at, lo, hi = anchors(text, length)
                 keep = np.isin(h, np.array(shared, np.int64).view(np.uint64))
                 for x, p, a, b in zip(h[keep].view(np.int64).tolist(), at[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    rows.add((key, version, a), (x, 0), p - a, b - a + 1, text[a : b + length])
-                    if rows.full():
-                        yield rows.take()
-        yield rows.take()
+                    data = text[a : b + length]
+                    d = _digest(data, p - a)
+                    # The bytes of a class are sent once for each batch.
+                    rows.append((key, version, a, x, 0, *d, p - a, b - a + 1, None if d in sent else data))
+                    size += len(data)
+                    sent.add(d)
+                    if size > 8_000_000:
+                        yield _batch(rows, _CONTEXT)
+                        rows, size = [], 0
+            yield _batch(rows, _CONTEXT)
 
     return cut
 
@@ -246,14 +232,12 @@ def split_class(group: tuple[int, int], place: int, n: int, data: bytes, length:
 
 def _split(length: int, stretch: int):
     def split(batches):
-        rows = _Rows(_PART)
         for batch in batches:
+            rows = []
             for g1, g2, d1, d2, place, n, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                for a, group, p, k, part in split_class((g1, g2), place, n, data, length, stretch):
-                    rows.add((g1, g2, d1, d2, a), group, p, k, part)
-                if rows.full():
-                    yield rows.take()
-        yield rows.take()
+                for lo, group, p, k, part in split_class((g1, g2), place, n, data, length, stretch):
+                    rows.append((g1, g2, d1, d2, lo, *group, *_digest(part, p), p, k))
+            yield _batch(rows, _PART)
 
     return split
 
@@ -287,6 +271,12 @@ def _refine_groups(length: int, most_bytes: int):
     return work
 
 
+def _refined(classes: DataFrame, length: int) -> DataFrame:
+    """Rows of _CLASS, each class once -> g1, g2, d1, d2, spans; groups are refined whole, each in one task."""
+    rows = classes.select(*_KEYS, "n", "bytes").repartition("g1", "g2").sortWithinPartitions(*_KEYS)
+    return rows.mapInArrow(_refine_groups(length, REFINE_BYTES), "g1 long, g2 long, d1 long, d2 long, spans array<array<long>>")
+
+
 def class_spans(members: DataFrame, length: int, most: int, stretches: tuple[int, ...] = STRETCHES) -> tuple[DataFrame, DataFrame]:
     """members: rows of _CLASS. Which of a class's windows are equal to another in its group: two tables.
 
@@ -295,20 +285,39 @@ def class_spans(members: DataFrame, length: int, most: int, stretches: tuple[int
     with others of their group.
     """
     classes = materialise(members.groupBy(_KEYS).agg(F.count("*").alias("k"), F.first("n").alias("n")), "classes")
-    bytes_ = members.where("bytes is not null").groupBy(_KEYS).agg(F.first("place").alias("place"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    hot = materialise(classes.groupBy("g1", "g2").agg(F.count("*").alias("c")).where(F.col("c") > most), "hot") if stretches else None
-    many = hot.count() if hot is not None else 0
-    few = bytes_.join(hot, ["g1", "g2"], "left_anti") if many else bytes_
-    spans = "g1 long, g2 long, d1 long, d2 long, spans array<array<long>>"
-    found = few.select(*_KEYS, "n", "bytes").repartition("g1", "g2").sortWithinPartitions(*_KEYS).mapInArrow(_refine_groups(length, REFINE_BYTES), spans)
-    if many:
-        dealt = join_hot(bytes_, hot, ["g1", "g2"], "c", classes.count()).select(*(f.split()[0] for f in _CLASS.split(", ")))
-        parts = materialise(dealt.mapInArrow(_split(length, stretches[0]), _PART), "parts")
-        twice, inside = class_spans(parts.select(*(f.split()[0] for f in _CLASS.split(", "))), length, most, stretches[1:])
-        inside = inside.unionByName(twice.select(*_KEYS, _all_windows()))
-        of = parts.select(F.col("o1"), "o2", "c1", "c2", "lo", *_KEYS).join(inside, _KEYS).select(F.col("o1").alias("g1"), F.col("o2").alias("g2"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.transform("spans", lambda s: F.array(s[0] + F.col("lo"), s[1] + F.col("lo"))).alias("spans"))
-        found = found.unionByName(of)
-    return classes.where("k > 1"), materialise(found, "found")
+    hot = materialise(classes.groupBy("g1", "g2").agg(F.count("*").alias("c")).where(F.col("c") > most).select("g1", "g2"), "hot")
+    once = lambda df: df.groupBy(_KEYS).agg(F.first("place").alias("place"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    held = members.where("bytes is not null")
+    if not hot.count():
+        return classes.where("k > 1"), materialise(_refined(once(held), length), "found")
+    found = materialise(_refined(once(held.join(hot, ["g1", "g2"], "left_anti")), length), "found")
+    base = materialise(once(held.join(hot, ["g1", "g2"], "left_semi")), "base")
+    return classes.where("k > 1"), materialise(found.unionByName(part_spans(base, length, most, stretches)), "found")
+
+
+def part_spans(base: DataFrame, length: int, most: int, stretches: tuple[int, ...]) -> DataFrame:
+    """base: rows of _CLASS, each class once, of groups too large for a task -> g1, g2, d1, d2, spans.
+
+    Parts travel without bytes; only those that meet another class get their
+    owner's bytes.
+    """
+    parts = materialise(base.mapInArrow(_split(length, stretches[0]), _PART), "parts")
+    owner = F.struct(*_OWNER, "lo")
+    classes = materialise(parts.groupBy(_KEYS).agg(F.count("*").alias("k"), F.first("place").alias("place"), F.first("n").alias("n"), F.min(owner).alias("of")), "classes")
+    groups = materialise(classes.groupBy("g1", "g2").agg(F.count("*").alias("c")).where("c > 1"), "groups")
+    owners = base.select(*(F.col(k).alias(o) for k, o in zip(_KEYS, _OWNER, strict=True)), F.col("bytes").alias("all"))
+
+    def with_bytes(chosen: DataFrame) -> DataFrame:
+        rows = classes.join(chosen.select("g1", "g2"), ["g1", "g2"], "left_semi").select(*_KEYS, "place", "n", *(F.col(f"of.{o}").alias(o) for o in _OWNER), F.col("of.lo").alias("lo"))
+        return rows.join(owners, _OWNER).select(*_KEYS, "place", "n", F.expr(f"substring(all, lo + 1, n + {length - 1})").alias("bytes"))
+
+    inside = classes.where("k > 1").select(*_KEYS, _all_windows()).unionByName(_refined(with_bytes(groups.where(F.col("c") <= most)), length))
+    large = groups.where(F.col("c") > most)
+    if stretches[1:] and large.count():
+        inside = inside.unionByName(part_spans(materialise(with_bytes(large), "base"), length, most, stretches[1:]))
+    inside = materialise(inside, "inside")
+    shifted = F.transform("spans", lambda s: F.array(s[0] + F.col("lo"), s[1] + F.col("lo"))).alias("spans")
+    return parts.select(*_OWNER, "lo", *_KEYS).join(inside, _KEYS).select(*(F.col(o).alias(k) for k, o in zip(_KEYS, _OWNER, strict=True)), shifted)
 
 
 def _all_windows():
