@@ -43,11 +43,29 @@ def fame(views: Column, links: Column) -> Column:
     return F.lit(0.6) * F.log1p(F.coalesce(views, F.lit(0)).cast("double")) + F.lit(0.8) * F.log1p(F.coalesce(links, F.lit(0)).cast("double"))
 
 
+def round_half_even(x: Column, digits: int) -> Column:
+    """x to so many digits as its binary value rounds: exact ties go to the even digit.
+
+    The product with 10^digits is kept with its rounding error (Dekker's split),
+    so 0.155, which lies a little under its decimal, becomes 0.15. For |x| under
+    2^53 / 10^digits.
+    """
+    scale = float(10**digits)
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    product = x * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (x - high) * F.lit(scale)
+    whole = F.floor(product).cast("double")
+    over = (product - whole - F.lit(0.5)) + error
+    up = F.when((over > 0) | ((over == 0) & (whole % 2 != 0)), F.lit(1.0)).otherwise(F.lit(0.0))
+    return (whole + up) / F.lit(scale)
+
+
 def popularity_of_share(share: Column) -> Column:
     """A within-city percentile on the scale 2.5 to 5; 4 where the city has no scores."""
-    return F.coalesce(F.round(F.lit(2.5) + F.lit(2.5) * share, 2), F.lit(4.0))
+    return F.coalesce(round_half_even(F.lit(2.5) + F.lit(2.5) * share, 2), F.lit(4.0))
 
 
 def popularity_of_links(links: Column) -> Column:
     score = F.least(F.lit(4.9), F.lit(3.9) + F.lit(0.15) * F.log1p(links.cast("double")))
-    return F.when(F.coalesce(links, F.lit(0)) > 0, F.bround(score, 1)).otherwise(F.lit(4.0))
+    return F.when(F.coalesce(links, F.lit(0)) > 0, round_half_even(score, 1)).otherwise(F.lit(4.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import haversine_km
+from ..functions.scoring import round_half_even
 from .retrieval import top
 
 # How much an archetype likes a category.
@@ -51,7 +52,7 @@ def near_edges(places: DataFrame, max_km: float = NEAR_KM) -> DataFrame:
     left = left.withColumn("x", F.floor(F.col("lon") / width)).select(F.col("id").alias("src"), "destination_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "row", "x", shift.alias("dx")).withColumn("col", F.col("x") + F.col("dx"))
     right = right.withColumn("col", F.floor(F.col("lon") / width)).select(F.col("id").alias("dst"), "destination_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", "col")
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return left.join(right, ["destination_id", "row", "col"]).where((F.col("src") != F.col("dst")) & (km <= max_km)).select("src", "dst", "destination_id", F.round(km, 3).alias("distance_km"))
+    return left.join(right, ["destination_id", "row", "col"]).where((F.col("src") != F.col("dst")) & (km <= max_km)).select("src", "dst", "destination_id", round_half_even(km, 3).alias("distance_km"))
 
 
 def nearby(edges: DataFrame, max_km: float = NEAR_KM) -> DataFrame:
@@ -80,32 +81,43 @@ def nearest_hub(places: DataFrame, hubs: DataFrame, max_km: float) -> DataFrame:
     h = hubs.select("destination_id", F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("hub_lat"), F.col("hub_lon"))
     rows = places.join(h, "destination_id").select("id", "destination_id", "category", km.alias("km"))
-    return rows.groupBy("id", "destination_id", "category").agg(F.min("km").alias("km")).where(F.col("km") <= max_km).select("id", "destination_id", "category", F.round("km", 2).alias("nearest_hub_km"))
+    return rows.groupBy("id", "destination_id", "category").agg(F.min("km").alias("km")).where(F.col("km") <= max_km).select("id", "destination_id", "category", round_half_even(F.col("km"), 2).alias("nearest_hub_km"))
 
 
 def graph_search(queries: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, top_k: int, hub_km: float = 3.0) -> DataFrame:
-    """query_id, doc_id, branch, rank, score.
+    """query_id, doc_id, branch, reason, rank, score.
 
     queries: query_id, destination_id, archetype, category, near_transport. The
-    archetype's places come first, then those near a hub (if the query asks for
-    transport and a category) or of the category; the city's most popular only
-    if these give nothing. Without a destination nothing is found. The score is
-    1 - rank / number of distinct places, counted before the cut.
+    archetype's first top_k places come first, then those near a hub (if the
+    query asks for transport and a category) or of the category; the city's
+    top_k most popular only if these give nothing. Without a destination nothing
+    is found. The score is 1 - rank / number of distinct places, counted before
+    the cut to top_k. The reason is that of the first branch with a place.
     """
     q = queries.where(F.col("destination_id").isNotNull())
-    liked = preferred_places(places, affinity, top_k)
-    one = q.join(liked.select("destination_id", "archetype", "id", F.col("rank").alias("ord")), ["destination_id", "archetype"]).select("query_id", "id", F.lit(0).alias("branch"), "ord")
-    hub = top(nearest_hub(places, hubs, hub_km), ["destination_id", "category"], [F.asc("nearest_hub_km"), F.asc("id")], 2**31 - 1)
-    two = q.where("near_transport and category is not null").join(hub.select("destination_id", "category", "id", F.col("rank").alias("ord")), ["destination_id", "category"]).select("query_id", "id", F.lit(1).alias("branch"), "ord")
-    plain = top(places, ["destination_id", "category"], [F.asc("id")], 2**31 - 1)
-    three = q.where("not near_transport and category is not null").join(plain.select("destination_id", "category", "id", F.col("rank").alias("ord")), ["destination_id", "category"]).select("query_id", "id", F.lit(1).alias("branch"), "ord")
+    # Only cities that are asked for take part.
+    asked = q.select("destination_id").distinct()
+    places, hubs = places.join(asked, "destination_id", "left_semi"), hubs.join(asked, "destination_id", "left_semi")
+    hit = lambda branch, reason: ("query_id", "id", F.lit(branch).alias("branch"), "ord", reason.alias("reason"))
+    liked = preferred_places(places, affinity, top_k).select("destination_id", "archetype", "id", F.col("rank").alias("ord"))
+    one = q.join(liked, ["destination_id", "archetype"]).select(*hit(0, F.format_string("preferred by %s travelers", F.col("archetype"))))
+    near = nearest_hub(places, hubs, hub_km)
+    by_hub = q.where("near_transport and category is not null").join(near, ["destination_id", "category"])
+    two = top(by_hub, ["query_id"], [F.asc("nearest_hub_km"), F.asc("id")], 2**31 - 1).withColumnRenamed("rank", "ord").select(*hit(1, F.concat(F.col("nearest_hub_km").cast("string"), F.lit("km from nearest transport hub"))))
+    of_category = q.where("not near_transport and category is not null").join(places.select("destination_id", "category", "id"), ["destination_id", "category"])
+    three = top(of_category, ["query_id"], [F.asc("id")], 2**31 - 1).withColumnRenamed("rank", "ord").select(*hit(1, F.concat(F.lit("category match: "), F.col("category"))))
     found = one.unionByName(two).unionByName(three)
-    popular = top(places, ["destination_id"], [F.desc("popularity"), F.asc("id")], 2**31 - 1)
-    rest = q.join(found.select("query_id").distinct(), "query_id", "left_anti").join(popular.select("destination_id", "id", F.col("rank").alias("ord")), "destination_id").select("query_id", "id", F.lit(2).alias("branch"), "ord")
-    first = top(found.unionByName(rest), ["query_id", "id"], [F.asc("branch"), F.asc("ord")], 1).drop("rank")
+    popular = top(places, ["destination_id"], [F.desc("popularity"), F.asc("id")], top_k).select("destination_id", "id", F.col("rank").alias("ord"))
+    rest = q.join(found.select("query_id").distinct(), "query_id", "left_anti").join(popular, "destination_id").select(*hit(2, F.lit("top-rated in city")))
+    first = found.unionByName(rest).groupBy("query_id", "id").agg(F.min(F.struct("branch", "ord", "reason")).alias("f")).select("query_id", "id", "f.*")
     counts = first.groupBy("query_id").agg(F.count("*").alias("n"))
     ranked = top(first, ["query_id"], [F.asc("branch"), F.asc("ord"), F.asc("id")], top_k)
-    return ranked.join(counts, "query_id").select("query_id", F.col("id").alias("doc_id"), "branch", F.col("rank"), F.round(F.lit(1.0) - (F.col("rank") - 1) / F.col("n"), 6).alias("score"))
+    return ranked.join(counts, "query_id").select("query_id", F.col("id").alias("doc_id"), "branch", "reason", F.col("rank"), F.round(F.lit(1.0) - (F.col("rank") - 1) / F.col("n"), 6).alias("score"))
+
+
+def edge_counts(**relations: DataFrame) -> DataFrame:
+    """relation, n of each table of edges."""
+    return node_counts(**relations).withColumnRenamed("type", "relation")
 
 
 def node_counts(**tables: DataFrame) -> DataFrame:

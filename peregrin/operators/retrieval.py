@@ -21,20 +21,26 @@ LIST_ORDER = {"semantic": 0, "keyword": 1, "graph": 2}
 CONFIGS = {"fusion": ("semantic", "keyword", "graph"), "hybrid": ("semantic", "keyword"), "standard": ()}
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, term, tf, dl: one row per document and term."""
-    words = docs.select(F.col(id_col).alias("doc"), tokenize(F.col(text_col)).alias("words"))
-    rows = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
+    """term, df, total: document frequencies, in one pass over the texts; the row of the null term has the number of documents and of words."""
+    words = docs.select(tokenize(F.col(text_col)).alias("words"))
+    rows = words.select(F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+
+
+def corpus_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
+    """term, df, idf over the whole corpus, and the mean number of words; a negative idf becomes a quarter of the mean idf of all terms."""
+    counts = cut(vocabulary(docs, text_col))
+    whole = counts.where("term is null").first()
+    n, mean_dl = (whole["df"], whole["total"] / whole["df"]) if whole else (0, 0.0)
+    raw = counts.where("term is not null").select("term", "df", (F.log(F.lit(n) - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf")), mean_dl
 
 
 def idf_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, df, idf over the whole corpus; a negative idf becomes a quarter of the mean idf of all terms."""
-    n = docs.select(F.count("*").alias("n"))
-    df = postings(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """term, df, idf over the whole corpus."""
+    return corpus_statistics(docs, text_col)[0]
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_col: str | None = None, top_k: int = 10) -> DataFrame:
@@ -42,12 +48,17 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_co
 
     queries: query_id, query and, with filter_col, its wanted value (null: any),
     which is applied after scoring, so that the statistics stay those of the
-    whole corpus. A query's repeated words count again. Ties go by doc_id.
+    whole corpus. A query's repeated words count again. Ties go by doc_id. Only
+    the queries' words are counted by document, so only they are shuffled.
     """
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    size = docs.select(F.size(tokenize(F.col(text_col))).alias("dl")).agg(F.avg("dl").alias("mean_dl"))
-    hits = postings(docs, id_col, text_col).join(terms, "term").join(idf_table(docs, id_col, text_col).select("term", "idf"), "term").join(F.broadcast(size))
-    norm = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("mean_dl"))
+    terms = cut(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    asked = terms.select("term").distinct()
+    idf, mean_dl = corpus_statistics(docs, text_col)
+    words = docs.select(F.col(id_col).alias("doc"), tokenize(F.col(text_col)).alias("words"))
+    rows = words.select("doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    hits = rows.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hits = hits.join(terms, "term").join(idf.join(asked, "term", "left_semi").select("term", "idf"), "term")
+    norm = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean_dl or 1.0))
     scores = hits.groupBy("query_id", "doc").agg(F.sum(F.col("times") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / norm).alias("score"))
     scores = scores.where(F.col("score") > 0)
     if filter_col:
@@ -69,9 +80,9 @@ def bm25_many(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("doc"), tokenize(F.col(text_col)).alias("words"))
-    mean_dl = words.agg(F.avg(F.size("words"))).first()[0]
+    idf, mean_dl = corpus_statistics(docs, text_col)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(idf_table(docs, id_col, text_col), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
+    weighed = asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
     each = cut(weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w")))
 
     def scan(part: list) -> DataFrame:

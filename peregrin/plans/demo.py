@@ -85,3 +85,11 @@ HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt((pow(sin(radians({b}lat - {a}lat) /
 
 def km(a: str, b: str) -> str:
     return HAVERSINE.format(a=a, b=b)
+
+
+def half_even(x: str, digits: int) -> str:
+    """SQL that rounds a double as its binary value does, ties to even; x is named more than once, so it should be a column."""
+    scale = f"{10**digits}.0::DOUBLE"
+    high = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    over = f"(({x} * {scale} - floor({x} * {scale}) - 0.5::DOUBLE) + (({high} * {scale} - {x} * {scale}) + ({x} - {high}) * {scale}))"
+    return f"((floor({x} * {scale}) + CASE WHEN {over} > 0 OR ({over} = 0 AND floor({x} * {scale}) % 2 <> 0) THEN 1 ELSE 0 END) / {scale})"

@@ -191,8 +191,8 @@ SQL = {
       SELECT destination_id, id, category, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY destination_id ORDER BY turn, seen, id) AS rank FROM t) WHERE rank <= 15""",
     "fame_percentile": f"""WITH {D.PLACES}, o AS (SELECT o_custkey AS id, count(*) AS links FROM orders GROUP BY 1),
       f AS (SELECT p.id, destination_id, round(0.6::DOUBLE * ln(1 + greatest(trunc(popularity * 10), 0)::DOUBLE) + 0.8::DOUBLE * ln(1 + coalesce(links, 0)::DOUBLE), 9) AS fame FROM places p LEFT JOIN o USING (id))
-      SELECT id, round(fame, 6) AS fame, round(2.5::DOUBLE + 2.5::DOUBLE * cume_dist() OVER (PARTITION BY destination_id ORDER BY fame), 2) AS popularity FROM f""",
-    "sitelink_popularity": "SELECT p_partkey, CASE WHEN p_partkey % 60 > 0 THEN round(least(4.9::DOUBLE, 3.9::DOUBLE + 0.15::DOUBLE * ln(1 + (p_partkey % 60)::DOUBLE)), 1) ELSE 4.0 END::DOUBLE AS popularity FROM part",
+      SELECT id, round(fame, 6) AS fame, {D.half_even('x', 2)} AS popularity FROM (SELECT *, 2.5::DOUBLE + 2.5::DOUBLE * cume_dist() OVER (PARTITION BY destination_id ORDER BY fame) AS x FROM f)""",
+    "sitelink_popularity": f"SELECT p_partkey, CASE WHEN p_partkey % 60 > 0 THEN {D.half_even('x', 1)} ELSE 4.0 END::DOUBLE AS popularity FROM (SELECT p_partkey, least(4.9::DOUBLE, 3.9::DOUBLE + 0.15::DOUBLE * ln(1 + (p_partkey % 60)::DOUBLE)) AS x FROM part)",
     "place_gate": f"""WITH {D.PLACES}, {D.HUBS}, r AS (SELECT CASE WHEN id % 4 <> 0 THEN id % 90 + 1 END AS key, id, lat, lon FROM places),
       bad AS (SELECT DISTINCT r.key FROM r LEFT JOIN hubs h ON h.id = r.key AND h.id % 5 <> 0 WHERE r.key IS NOT NULL AND (h.id IS NULL OR {D.km('r.', 'h.')} > 20.0))
       SELECT id, key FROM r WHERE key IS NULL OR key NOT IN (SELECT key FROM bad)""",

@@ -71,10 +71,6 @@ def rrf_hybrid(spark, d):
     return R.reciprocal_rank_fusion(_lists(spark, d), K, "hybrid").drop("payload", "sources")
 
 
-def rrf_standard(spark, d):
-    return R.reciprocal_rank_fusion(_lists(spark, d), K, "standard").drop("payload", "sources")
-
-
 def rrf_provenance(spark, d):
     lists = _lists(spark, d).withColumn("payload", F.concat_ws("#", "retriever", F.col("doc_id").cast("string")))
     return R.reciprocal_rank_fusion(lists, K, "fusion").select("query_id", "doc_id", "sources", "payload")
@@ -139,6 +135,12 @@ def graph_node_stats(spark, d):
     return G.node_counts(City=D.cities(spark, d), POI=D.places(spark, d), Transport=D.hubs(spark, d), ArchetypeProfile=G.affinity_table(spark).select("archetype").distinct())
 
 
+def graph_edge_stats(spark, d):
+    places, cities = D.places(spark, d), D.cities(spark, d)
+    prefers = places.join(F.broadcast(G.affinity_table(spark)), "category")
+    return G.edge_counts(HAS_POI=G.contains_edges(cities, places, "HAS_POI"), HAS_TRANSPORT=G.contains_edges(cities, D.hubs(spark, d), "HAS_TRANSPORT"), NEAR=G.near_edges(places), PREFERS=prefers)
+
+
 def graph_near_edges(spark, d):
     return G.near_edges(D.places(spark, d)).select("src", "dst", F.col("distance_km"))
 
@@ -170,7 +172,7 @@ def graph_search_routed(spark, d):
     return G.graph_search(q, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark), 20)
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, corpus_union, place_documents, bm25_idf, bm25_topk, cosine_topk, cosine_topk_by_label, rrf_fusion, rrf_hybrid, rrf_standard, rrf_provenance, fused_narrative, bm25_topk_corpus, rrf_fusion_corpus, rrf_hybrid_corpus, rrf_provenance_corpus, fused_narrative_corpus, keyword_router, keyword_router_documents, graph_has_poi, graph_node_stats, graph_near_edges, nearby_topk, graph_same_category, graph_prefers, archetype_preferred, nearest_hub, graph_search_routed)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, corpus_union, place_documents, bm25_idf, bm25_topk, cosine_topk, cosine_topk_by_label, rrf_fusion, rrf_hybrid, rrf_provenance, fused_narrative, bm25_topk_corpus, rrf_fusion_corpus, rrf_hybrid_corpus, rrf_provenance_corpus, fused_narrative_corpus, keyword_router, keyword_router_documents, graph_has_poi, graph_node_stats, graph_edge_stats, graph_near_edges, nearby_topk, graph_same_category, graph_prefers, archetype_preferred, nearest_hub, graph_search_routed)}
 
 # ------------------------------------------------------------------------ SQL
 
@@ -206,7 +208,7 @@ ROUTE = lambda q: (
 )
 LIKED = """liked AS (SELECT archetype, destination_id, id, weight, popularity, row_number() OVER (PARTITION BY archetype, destination_id ORDER BY weight DESC, popularity DESC, ord, id) AS rank
   FROM places JOIN affinity USING (category))"""
-NEAR = f"near AS (SELECT a.id AS src, b.id AS dst, round({D.km('a.', 'b.')}, 3) AS distance_km FROM places a JOIN places b ON a.destination_id = b.destination_id AND a.id <> b.id AND {D.km('a.', 'b.')} <= 2.0)"
+NEAR = f"near AS (SELECT a_ AS src, b_ AS dst, {D.half_even('km', 3)} AS distance_km FROM (SELECT a.id AS a_, b.id AS b_, {D.km('a.', 'b.')} AS km FROM places a JOIN places b ON a.destination_id = b.destination_id AND a.id <> b.id) WHERE km <= 2.0)"
 HUB = f"hub AS (SELECT p.id, p.destination_id, p.category, min({D.km('p.', 'h.')}) AS km FROM places p JOIN hubs h ON p.destination_id = h.destination_id GROUP BY 1, 2, 3)"
 
 SQL = {
@@ -219,27 +221,28 @@ SQL = {
     "cosine_topk_by_label": f"WITH {COSINE.format(where='q.vec_id % 100 = 0 AND q.label = v.label')} SELECT query_id, vec_id, score, rank::INT AS rank FROM semantic WHERE rank <= {K}",
     "rrf_fusion": RRF.format(lo=2) + f"SELECT query_id, doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= {K}",
     "rrf_hybrid": RRF.format(lo=1) + f"SELECT query_id, doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= {K}",
-    "rrf_standard": "SELECT 1::BIGINT AS query_id, 1::BIGINT AS doc_id, 1.0::DOUBLE AS score, 1::INT AS rank WHERE false",
     "rrf_provenance": RRF.format(lo=2) + f"SELECT query_id, doc_id, sources, payload FROM ranked WHERE rank <= {K}",
     "fused_narrative": RRF.format(lo=2) + "SELECT query_id, string_agg('- ' || payload, chr(10) ORDER BY rank) AS narrative FROM ranked WHERE rank <= 6 GROUP BY query_id",
     "keyword_router": f"SELECT conv_id, turn, {ROUTE('q')} FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations)",
     "keyword_router_documents": f"SELECT doc_id, {ROUTE('q')} FROM (SELECT doc_id, lower(coalesce(text, '')) AS q FROM documents)",
     "graph_has_poi": f"WITH {D.PLACES}, {D.HUBS} SELECT destination_id AS src, id AS dst, 'HAS_POI' AS relation FROM places JOIN nation ON destination_id = n_nationkey UNION ALL SELECT destination_id, id, 'HAS_TRANSPORT' FROM hubs JOIN nation ON destination_id = n_nationkey",
     "graph_node_stats": "SELECT 'City' AS type, count(*) AS n FROM nation UNION ALL SELECT 'POI', count(*) FROM customer UNION ALL SELECT 'Transport', count(*) FROM supplier UNION ALL SELECT 'ArchetypeProfile', 7",
+    "graph_edge_stats": f"""WITH {D.PLACES}, {AFFINITY}, {NEAR} SELECT 'HAS_POI' AS relation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'HAS_TRANSPORT', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+      UNION ALL SELECT 'NEAR', count(*) FROM near UNION ALL SELECT 'PREFERS', count(*) FROM places JOIN affinity USING (category)""",
     "graph_near_edges": f"WITH {D.PLACES}, {NEAR} SELECT * FROM near",
     "nearby_topk": f"WITH {D.PLACES}, {NEAR} SELECT src, dst, distance_km, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance_km, dst) AS rank FROM near WHERE distance_km <= 1.5) WHERE rank <= 5",
     "graph_same_category": f"WITH {D.HUBS} SELECT a.id AS src, b.id AS dst, a.category FROM hubs a JOIN hubs b ON a.destination_id = b.destination_id AND a.category = b.category AND a.id <> b.id",
     "graph_prefers": f"WITH {D.PLACES}, {AFFINITY} SELECT archetype, category, count(*) AS n, max(weight)::DOUBLE AS weight FROM places JOIN affinity USING (category) GROUP BY 1, 2",
     "archetype_preferred": f"WITH {D.PLACES}, {AFFINITY}, {LIKED} SELECT archetype, destination_id, id, weight::DOUBLE AS weight, popularity, rank::INT AS rank FROM liked WHERE rank <= 5",
-    "nearest_hub": f"WITH {D.PLACES}, {D.HUBS}, {HUB} SELECT id, destination_id, category, round(km, 2) AS nearest_hub_km FROM hub WHERE km <= 3.0",
+    "nearest_hub": f"WITH {D.PLACES}, {D.HUBS}, {HUB} SELECT id, destination_id, category, {D.half_even('km', 2)} AS nearest_hub_km FROM hub WHERE km <= 3.0",
     "graph_search_routed": f"""WITH {D.PLACES}, {D.HUBS}, {AFFINITY}, {LIKED}, {HUB},
 q0(query_id, destination_id, given, query) AS (VALUES {_values(GRAPH_QUERIES)}),
 q AS (SELECT query_id, destination_id, coalesce(given, archetype) AS archetype, category, near_transport FROM (SELECT *, {ROUTE('query')} FROM q0) WHERE destination_id IS NOT NULL),
-found AS (SELECT query_id, id, 0 AS branch, rank AS ord FROM q JOIN liked l ON q.destination_id = l.destination_id AND q.archetype = l.archetype AND l.rank <= 20
-  UNION ALL SELECT query_id, h.id, 1, row_number() OVER (PARTITION BY query_id ORDER BY round(km, 2), h.id) FROM q JOIN hub h ON q.destination_id = h.destination_id AND q.category = h.category AND near_transport AND km <= 3.0
-  UNION ALL SELECT query_id, p.id, 1, row_number() OVER (PARTITION BY query_id ORDER BY p.id) FROM q JOIN places p ON q.destination_id = p.destination_id AND q.category = p.category AND NOT near_transport),
-every AS (SELECT * FROM found UNION ALL SELECT query_id, p.id, 2, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, p.id) FROM q JOIN places p ON q.destination_id = p.destination_id WHERE query_id NOT IN (SELECT query_id FROM found)),
+found AS (SELECT query_id, id, 0 AS branch, rank AS ord, 'preferred by ' || l.archetype || ' travelers' AS reason FROM q JOIN liked l ON q.destination_id = l.destination_id AND q.archetype = l.archetype AND l.rank <= 20
+  UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY hub_km, id), hub_km || 'km from nearest transport hub' FROM (SELECT query_id, h.id, {D.half_even('km', 2)} AS hub_km FROM q JOIN hub h ON q.destination_id = h.destination_id AND q.category = h.category AND near_transport AND km <= 3.0)
+  UNION ALL SELECT query_id, p.id, 1, row_number() OVER (PARTITION BY query_id ORDER BY p.id), 'category match: ' || q.category FROM q JOIN places p ON q.destination_id = p.destination_id AND q.category = p.category AND NOT near_transport),
+every AS (SELECT * FROM found UNION ALL SELECT * FROM (SELECT query_id, p.id, 2, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, p.id) AS ord, 'top-rated in city' FROM q JOIN places p ON q.destination_id = p.destination_id WHERE query_id NOT IN (SELECT query_id FROM found)) WHERE ord <= 20),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY branch, ord) AS r FROM every) WHERE r = 1),
-ranked AS (SELECT query_id, id, branch, row_number() OVER (PARTITION BY query_id ORDER BY branch, ord, id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM firsts)
-SELECT query_id::BIGINT AS query_id, id AS doc_id, branch, rank::INT AS rank, round(1.0::DOUBLE - (rank - 1)::DOUBLE / n, 6) AS score FROM ranked WHERE rank <= 20""",
+ranked AS (SELECT query_id, id, branch, reason, row_number() OVER (PARTITION BY query_id ORDER BY branch, ord, id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM firsts)
+SELECT query_id::BIGINT AS query_id, id AS doc_id, branch, reason, rank::INT AS rank, round(1.0::DOUBLE - (rank - 1)::DOUBLE / n, 6) AS score FROM ranked WHERE rank <= 20""",
 }

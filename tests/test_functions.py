@@ -165,3 +165,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < out.count() <= 10 and out.where("n <> 4").count() == 0
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    from peregrin.functions.scoring import popularity_of_share, round_half_even
+
+    rng = random.Random(1)
+    values = [k / 1000 for k in range(0, 6000, 5)] + [k / 8 for k in range(200)] + [rng.uniform(0, 50) for _ in range(500)] + [-1.5, -2.675]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").select("x", *(round_half_even(F.col("x"), d).alias(f"r{d}") for d in (1, 2, 3)))
+    for r in df.collect():
+        assert [r.r1, r.r2, r.r3] == [None if r.x is None else round(r.x, d) for d in (1, 2, 3)]
+    assert spark.range(1).select(popularity_of_share(F.lit(0.05)).alias("p")).first().p == 2.62
+
+
+def test_the_fallback_counts_only_what_it_keeps(spark):
+    from peregrin.operators import graph as G
+
+    places = spark.createDataFrame([(i, 1, "beach", 40.0, 2.0, float(i)) for i in range(50)], "id long, destination_id int, category string, lat double, lon double, popularity double")
+    hubs = places.limit(0)
+    q = spark.createDataFrame([(1, 1, None, None, False)], "query_id long, destination_id int, archetype string, category string, near_transport boolean")
+    got = G.graph_search(q, places, hubs, G.affinity_table(spark), 10).orderBy("rank").collect()
+    assert [r.score for r in got] == [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1] and {r.reason for r in got} == {"top-rated in city"} and got[0].doc_id == 49
+    liked = spark.createDataFrame([(2, 1, "Beach & Relax", None, False)], q.schema)
+    assert G.graph_search(liked, places, hubs, G.affinity_table(spark), 48).count() == 48
+
+
+def test_standard_retrieves_nothing(spark):
+    from peregrin.operators import retrieval as R
+
+    lists = spark.createDataFrame([(1, "keyword", 5, 1)], "query_id long, retriever string, doc_id long, rank int")
+    assert R.reciprocal_rank_fusion(lists, 5, "standard").count() == 0
+    with pytest.raises(ValueError):
+        R.reciprocal_rank_fusion(lists, 5, "other")
