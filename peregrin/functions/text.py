@@ -135,3 +135,15 @@ def document_text(name: Column, category: Column, city: Column, description: Col
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def context_line(name: Column, category: Column, description: Column, reason: Column) -> Column:
+    """A retrieved place as a line of context: `name (category): description [graph: reason]`."""
+    return F.concat(name, F.lit(" ("), category, F.lit("): "), F.coalesce(description, F.lit("")), F.when(reason.isNotNull(), F.concat(F.lit(" [graph: "), reason, F.lit("]"))).otherwise(F.lit("")))
+
+
+def dedent(text: Column) -> Column:
+    """A template without the blanks that all its lines with text begin with, and without blank ends."""
+    lines = F.split(text, "\n")
+    deep = F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x))))
+    return F.regexp_replace(F.concat_ws("\n", F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(F.substring(x, F.coalesce(deep, F.lit(0)) + 1, F.length(x))))), r"^\s+|\s+$", "")

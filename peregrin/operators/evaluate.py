@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .prep import fuzzy_matches
+
 
 def recall(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     """by..., n_gold, n_hit, recall: the share of the gold set (query_id, doc_id) found; null where it is empty.
@@ -41,3 +43,15 @@ def summarize(results: DataFrame, metrics: list[str], order: list[str], digits:
     """config, ord and the mean of each metric, nulls left out, configurations in the given order."""
     place = F.coalesce(*(F.when(F.col("config") == c, F.lit(i)) for i, c in enumerate(order)))
     return results.groupBy("config").agg(*(F.round(F.avg(m), digits).alias(m) for m in metrics)).withColumn("ord", place)
+
+
+def grounding_probe(answers: DataFrame, names: DataFrame) -> DataFrame:
+    """destination_id, named, matched: lines of stored answers (destination_id, text), and those that fit a known place's name.
+
+    A line's bullets and blank ends don't count, blank lines neither; a name
+    fits if either lies in the other, without regard to case.
+    """
+    lines = answers.select("destination_id", F.posexplode(F.split("text", r"\R")).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^[-* ]+|[-* ]+$", ""))
+    lines = lines.where(F.trim("line") != "").withColumn("line_id", F.struct("destination_id", "at"))
+    found = fuzzy_matches(lines.select("line_id", "line"), names)
+    return found.groupBy(F.col("line_id.destination_id").alias("destination_id")).agg(F.count("*").alias("named"), F.count(F.when(F.col("matched"), 1)).alias("matched"))

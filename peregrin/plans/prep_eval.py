@@ -66,7 +66,7 @@ def provenance_counts(spark, d):
 
 
 def dedupe_upgrade(spark, d):
-    p = D.table(spark, d, "part").select("p_brand", F.substring("p_name", 1, 12).alias("name"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 3 == 0).alias("known"))
+    p = D.table(spark, d, "part").select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 3 == 0).alias("known"))
     return P.dedupe_named(p, ["p_brand"], "name", F.col("known"), "ord").select("p_brand", F.lower(F.trim("name")).alias("name"), "ord", "position", "known")
 
 
@@ -185,7 +185,7 @@ SQL = {
     "fee_price": f"WITH {FEE} SELECT * FROM fees",
     "provenance_counts": f"WITH {FEE} SELECT source, count(*) AS n FROM fees GROUP BY 1",
     "category_defaults": f"WITH {D.PLACES} SELECT id, {DEFAULT(0)} AS visit, {DEFAULT(1)} AS price, {DEFAULT(2)} AS open, {DEFAULT(3)} AS close FROM places",
-    "dedupe_upgrade": """WITH p AS (SELECT p_brand, lower(trim(substring(p_name, 1, 12))) AS name, p_partkey AS ord, p_partkey % 3 = 0 AS known FROM part),
+    "dedupe_upgrade": """WITH p AS (SELECT p_brand, lower(trim(p_name)) AS name, p_partkey AS ord, p_partkey % 3 = 0 AS known FROM part),
       r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, name ORDER BY known DESC, ord) AS rn, min(ord) OVER (PARTITION BY p_brand, name) AS position FROM p) SELECT p_brand, name, ord, position, known FROM r WHERE rn = 1""",
     "diversify_round_robin": f"""WITH {D.PLACES}, t AS (SELECT *, row_number() OVER (PARTITION BY destination_id, category ORDER BY popularity DESC, id) AS turn, min(id) OVER (PARTITION BY destination_id, category) AS seen FROM places)
       SELECT destination_id, id, category, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY destination_id ORDER BY turn, seen, id) AS rank FROM t) WHERE rank <= 15""",

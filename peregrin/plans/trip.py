@@ -21,15 +21,17 @@ def choose_destination(requests: DataFrame, destinations: DataFrame, forecasts:
     """trip_id, destination_id: the one asked for, else the best by tags, budget and crowding in the travel month.
 
     destinations: destination_id, budget_level, tags, ord. forecasts: key, month,
-    crowding_level. A month beyond the horizon means the first one.
+    crowding_level of the months to come. A month beyond the horizon means the first one.
     """
     pinned = requests.where(F.col("destination_id").isNotNull()).select("trip_id", "destination_id")
     free = requests.where(F.col("destination_id").isNull()).select("trip_id", "preferences", "travel_month")
-    pairs = free.join(F.broadcast(destinations)).join(forecasts.withColumnRenamed("key", "destination_id"), "destination_id")
-    hit = F.coalesce(F.date_format("month", "yyyy-MM") == F.col("travel_month"), F.lit(False))
-    month = R.top(pairs.withColumn("hit", hit), ["trip_id", "destination_id"], [F.desc("hit"), F.asc("month")], 1).drop("rank")
-    score = S.destination_score(S.tag_affinity(F.col("preferences"), F.col("tags")), S.budget_fit(F.col("budget_level"), F.col("preferences")["budget"]), S.crowd_penalty(F.col("crowding_level")))
-    best = R.top(month.withColumn("score", score), ["trip_id"], [F.desc_nulls_last("score"), F.asc("ord")], 1)
+    months = forecasts.select(F.col("key").alias("destination_id"), F.date_format("month", "yyyy-MM").alias("travel_month"), F.col("month"), "crowding_level")
+    first = months.groupBy("destination_id").agg(F.min_by("crowding_level", "month").alias("first_level"))
+    # A trip meets each city once: with its level in the wanted month, or else in the first one.
+    pairs = free.join(F.broadcast(destinations.join(first, "destination_id"))).join(months.drop("month"), ["destination_id", "travel_month"], "left")
+    level = F.coalesce("crowding_level", "first_level")
+    score = S.destination_score(S.tag_affinity(F.col("preferences"), F.col("tags")), S.budget_fit(F.col("budget_level"), F.col("preferences")["budget"]), S.crowd_penalty(level))
+    best = R.top(pairs.withColumn("score", score), ["trip_id"], [F.desc_nulls_last("score"), F.asc("ord")], 1)
     return pinned.unionByName(best.select("trip_id", "destination_id"))
 
 
@@ -69,22 +71,35 @@ def within_budget(candidates: DataFrame, most_price: str = "most_price") -> Data
     return candidates.join(any_ok, "trip_id").where(ok | (F.coalesce("any_ok", F.lit(0)) == 0)).drop("any_ok")
 
 
-def narrative(days: DataFrame, names: DataFrame, requests: DataFrame) -> DataFrame:
-    """trip_id, text: one line per day with its stops and times."""
+def narrative(days: DataFrame, names: DataFrame, requests: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """trip_id, text: whom the trip is for, the forecast, what was retrieved, and a line per day with its stops and times.
+
+    requests: trip_id, archetype and, where known, city, month, crowding_level.
+    context: trip_id, id, rank of the places that the plan was made from.
+    """
     stops = days.join(names.select("id", "name"), "id")
     line = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("seq", "name", "arrival"))), lambda s: F.concat(s["name"], F.lit(" ("), T.clock(s["arrival"]), F.lit(")"))))
     per_day = stops.groupBy("trip_id", "day").agg(line.alias("line"))
     whole = per_day.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("day", "line"))).alias("d"))
     text = F.concat_ws("\n", F.transform("d", lambda x: F.concat(F.lit("Day "), x["day"].cast("string"), F.lit(": "), x["line"])))
-    head = F.format_string("A trip for a %s traveler.", F.col("archetype"))
-    return requests.join(whole, "trip_id", "left").select("trip_id", F.concat_ws("\n", head, text).alias("text"))
+    parts = [F.format_string("A trip for a %s traveler.", F.col("archetype"))]
+    if {"city", "month", "crowding_level"} <= set(requests.columns):
+        parts[0] = F.format_string("A trip for a %s traveler to %s.", F.col("archetype"), F.col("city"))
+        parts.append(F.format_string("Forecast: %s crowding in %s.", F.coalesce("crowding_level", F.lit("unknown")), F.col("month")))
+    out = requests.join(whole, "trip_id", "left")
+    if context is not None:
+        known = context.where("rank <= 6").join(names.select("id", "name", "category"), "id").withColumn("line", T.context_line(F.col("name"), F.col("category"), F.lit(None).cast("string"), F.col("reason") if "reason" in context.columns else F.lit(None).cast("string")))
+        out = out.join(known.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("c")), "trip_id", "left")
+        parts.append(F.concat(F.lit("Retrieved context:\n"), F.concat_ws("\n", F.transform("c", lambda x: F.concat(F.lit("- "), x["line"])))))
+    return out.select("trip_id", F.concat_ws("\n", *parts, text).alias("text"))
 
 
-def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: str = "fusion", mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
-    """Two tables: the itineraries and the requests with archetype and destination.
+def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: str = "fusion", mode: str = "hybrid") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: the itineraries, the requests with archetype and destination, and what was retrieved (trip_id, id, rank).
 
     requests: trip_id, preferences (a map), destination_id or null, travel_month
-    (yyyy-MM) or null, days.
+    (yyyy-MM) or null, days. Days start from the city's centre where
+    destinations has lat and lon.
     """
     requests = cut(requests)
     named = cut(classify_requests(requests, profiles))
@@ -93,13 +108,18 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
     ids = cut(candidate_places(full, places, hubs, affinity, documents, vectors, query_vectors, config))
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
     priced = full.select("trip_id", "days", F.bround(F.coalesce(F.col("preferences")["budget"], F.lit(0.5)) * 2 + 1).cast("int").alias("most_price"))
+    centre = destinations.select("destination_id", *((F.col(c) if c in destinations.columns else F.lit(None).cast("double")).alias(f"hub_{c}") for c in ("lat", "lon")))
     sights = cut(within_budget(ids.join(detail, "id").join(priced, "trip_id")).withColumn("role", F.lit("sight")))
     # Any food place of the city may serve a meal; one that was retrieved is a sight already, which itineraries can turn into a meal.
     food = full.select("trip_id", "destination_id", "days").join(places.where(F.col("category") == RT.FOOD), "destination_id").join(sights.select("trip_id", "id"), ["trip_id", "id"], "left_anti").withColumn("role", F.lit("meal"))
     columns = ["trip_id", "id", "lat", "lon", "visit", "open", "close", "category", "role", "days"]
-    return RT.itineraries(sights.select(*columns).unionByName(food.select(*columns)), mode=mode, meals_per_day=2), full
+    start = full.select("trip_id", "destination_id").join(centre, "destination_id").drop("destination_id")
+    stops = sights.select(*columns).unionByName(food.select(*columns)).join(start, "trip_id")
+    return RT.itineraries(stops, mode=mode, meals_per_day=2), full, ids
 
 
+#: Months to come that decide between destinations.
+FORECAST_MONTHS = 6
 PROFILES = {
     "Culture Enthusiast": [0.5, 0.95, 0.3, 0.3, 0.4, 0.3], "Beach & Relax": [0.5, 0.3, 0.6, 0.3, 0.95, 0.3], "Budget Backpacker": [0.1, 0.5, 0.5, 0.6, 0.3, 0.7],
     "Luxury Traveler": [0.95, 0.6, 0.3, 0.4, 0.7, 0.2], "Nightlife Seeker": [0.6, 0.3, 0.2, 0.95, 0.3, 0.4], "Nature & Adventure": [0.3, 0.3, 0.95, 0.2, 0.3, 0.95], "Family Traveler": [0.5, 0.6, 0.6, 0.1, 0.6, 0.3],
@@ -112,16 +132,18 @@ def demo_requests(spark: SparkSession, d: str) -> DataFrame:
     ev = D.table(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("trip_id"))
     spread = lambda i: F.coalesce(F.avg(F.when(F.crc32("event_type") % 6 == i, F.lit(0.9)).otherwise(F.lit(0.2))), F.lit(0.5))
     prefs = ev.agg(*(F.round(spread(i), 3).alias(k) for i, k in enumerate(kinds)))
-    return prefs.select("trip_id", F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k)))).alias("preferences"), F.lit(None).cast("int").alias("destination_id"), F.lit("2001-06").alias("travel_month"), F.lit(3).alias("days"))
+    return prefs.select("trip_id", F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k)))).alias("preferences"), F.lit(None).cast("int").alias("destination_id"), F.lit("2001-11").alias("travel_month"), F.lit(3).alias("days"))
 
 
 def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables that plan_trips takes besides the requests."""
     profiles = spark.createDataFrame(list(PROFILES.items()), "label string, centroid array<double>")
     tags = F.array(F.element_at(F.array(*(F.lit(t) for t in S.TAG_PREFERENCE)), (F.col("destination_id") % len(S.TAG_PREFERENCE) + 1).cast("int")), F.lit("culture"))
-    destinations = D.cities(spark, d).select("destination_id", (F.col("destination_id") % 3 + 1).alias("budget_level"), tags.alias("tags"), F.col("destination_id").alias("ord"))
+    lat, lon = D.coordinates("destination_id")
+    destinations = D.cities(spark, d).select("destination_id", "city", lat.alias("lat"), lon.alias("lon"), (F.col("destination_id") % 3 + 1).alias("budget_level"), tags.alias("tags"), F.col("destination_id").alias("ord"))
     series = D.demand(spark, d)
-    forecasts = FC.crowding(series, FC.history_stats(series)).where(F.col("month") >= F.lit("2001-01-01").cast("date")).select("key", "month", "crowding_level")
+    filled = FC.month_spine(series).select("key", "month", F.coalesce("value", F.lit(0)).cast("double").alias("value"))
+    forecasts = cut(FC.crowding(FC.forecast_fixed(filled, FORECAST_MONTHS), FC.history_stats(series), "forecast").select("key", "month", "crowding_level"))
     p = D.places(spark, d)
     k = F.col("id")
     places = p.select("*", (F.lit(30) + k % 4 * 15).cast("int").alias("visit"), F.lit(9).alias("open"), (F.lit(18) + k % 4).cast("int").alias("close"), (k % 4).cast("int").alias("price_level"))
@@ -130,10 +152,10 @@ def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"documents": D.place_texts(spark, d), "vectors": D.place_vectors(spark, d), "query_vectors": of_archetype, "profiles": profiles, "destinations": destinations, "forecasts": forecasts, "places": places, "hubs": D.hubs(spark, d), "affinity": G.affinity_table(spark)}
 
 
-def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def demo_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Itineraries, requests, retrieved places and the tables that they come from."""
     tables = demo_tables(spark, d)
-    days, full = plan_trips(demo_requests(spark, d), **tables)
-    return days, full, tables["places"]
+    return *plan_trips(demo_requests(spark, d), **tables), tables
 
 
 def plan_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -144,9 +166,17 @@ def plan_trip_requests(spark: SparkSession, d: str) -> DataFrame:
     return demo_plan(spark, d)[1].select("trip_id", "archetype", "destination_id")
 
 
+def forecast_of(requests: DataFrame, destinations: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """requests with city, month and crowding_level: those of the travel month, or else of the first month to come."""
+    wanted = requests.join(forecasts.withColumnRenamed("key", "destination_id"), "destination_id", "left")
+    hit = F.coalesce(F.date_format("month", "yyyy-MM") == F.col("travel_month"), F.lit(False))
+    one = R.top(wanted.withColumn("hit", hit), ["trip_id"], [F.desc("hit"), F.asc("month")], 1).drop("hit", "rank")
+    return one.withColumn("month", F.date_format("month", "yyyy-MM")).join(destinations.select("destination_id", "city"), "destination_id")
+
+
 def plan_trip_narrative(spark: SparkSession, d: str) -> DataFrame:
-    days, full, places = demo_plan(spark, d)
-    return narrative(days, places, full)
+    days, full, ids, tables = demo_plan(spark, d)
+    return narrative(days, tables["places"], forecast_of(full, tables["destinations"], tables["forecasts"]), ids)
 
 
 QUERIES = {f.__name__: f for f in (plan_trip, plan_trip_requests, plan_trip_narrative)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import normalize_qid, squeeze
 from .tables import OSM_ELEMENT
 
 
@@ -45,6 +45,47 @@ def summaries(raw: DataFrame) -> DataFrame:
     return raw.select("title", F.when(text != "", text).alias("summary"))
 
 
+def entity_answers(raw: DataFrame) -> DataFrame:
+    """Saved answers about entities (body: bindings of item, sitelinks and, maybe, itemDescription and articleName) -> qid, description, sitelinks, title.
+
+    An entity that several answers name counts once, by its last row of all;
+    answers that hold nothing give no rows.
+    """
+    cell = "struct<value:string>"
+    body = F.from_json("body", f"results struct<bindings:array<struct<item:{cell},itemDescription:{cell},sitelinks:{cell},articleName:{cell}>>>")
+    rows = raw.select(F.posexplode(body["results"]["bindings"]).alias("at", "b"), F.md5("body").alias("answer"))
+    rows = rows.select("answer", "at", F.element_at(F.split("b.item.value", "/"), -1).alias("qid"), F.col("b.itemDescription.value").alias("description"), F.col("b.sitelinks.value").cast("int").alias("sitelinks"), F.col("b.articleName.value").alias("title"))
+    return rows.where("qid is not null").groupBy("qid").agg(F.max_by(F.struct("description", "sitelinks", "title"), F.struct("answer", "at")).alias("r")).select("qid", "r.*")
+
+
+def entity_chunks(keys: DataFrame, size: int = 400) -> DataFrame:
+    """chunk, qids: the distinct valid entities of a column `qid`, in order, as many at a time as one query asks for.
+
+    Chunks come from ranges of the sorted entities, each cut on its own, so no
+    task sees them all; the last chunk of a range may be short.
+    """
+    ids = keys.select(normalize_qid(F.col("qid")).alias("qid")).where("qid is not null").distinct()
+    ranged = ids.repartitionByRange("qid").sortWithinPartitions("qid").withColumn("n", F.monotonically_increasing_id())
+    # The id's upper part is the range, its lower 33 bits the place there.
+    place = F.col("n").bitwiseAND((1 << 33) - 1)
+    return ranged.groupBy(F.shiftright("n", 33).alias("part"), F.floor(place / size).alias("k")).agg(F.array_sort(F.collect_list("qid")).alias("qids")).select(F.concat_ws("-", "part", "k").alias("chunk"), "qids")
+
+
+def request_states(attempts: DataFrame, most: int = 4, first_wait: float = 5.0) -> DataFrame:
+    """key, state, wait of each request in a log of attempts (key, at, status, body); status is null where no answer came.
+
+    state: `answered` once any attempt has a readable JSON answer; `absent` if
+    the last one says that there is none (a client error but 429), which isn't
+    asked again; `given up` after `most` attempts; else `retry`, after `wait`
+    seconds, twice as long with each attempt.
+    """
+    ok = F.coalesce((F.col("status") < 400) & F.try_parse_json("body").isNotNull(), F.lit(False))
+    per = attempts.groupBy("key").agg(F.max(ok).alias("ok"), F.max_by("status", "at").alias("last"), F.count("*").alias("n"))
+    absent = F.coalesce(F.col("last").between(400, 499) & (F.col("last") != 429), F.lit(False))
+    state = F.when(F.col("ok"), "answered").when(absent, "absent").when(F.col("n") >= most, "given up").otherwise("retry")
+    return per.select("key", state.alias("state"), F.when(state == "retry", F.lit(first_wait) * F.pow(F.lit(2.0), F.col("n") - 1)).alias("wait"))
+
+
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """path (file), body: saved responses as they lie in a folder."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))

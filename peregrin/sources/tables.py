@@ -44,6 +44,12 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("relation").parquet(path)
 
 
+def read_edges(spark: SparkSession, path: str, *relations: str) -> DataFrame:
+    """The edges that write_edges wrote, of the relations named or of all."""
+    edges = spark.read.parquet(path)
+    return edges.where(F.col("relation").isin(*relations)) if relations else edges
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Parquet, CSV with a header, or text (one string column)."""
     writer = df.write.mode("overwrite")

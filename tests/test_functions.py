@@ -199,3 +199,44 @@ def test_standard_retrieves_nothing(spark):
     assert R.reciprocal_rank_fusion(lists, 5, "standard").count() == 0
     with pytest.raises(ValueError):
         R.reciprocal_rank_fusion(lists, 5, "other")
+
+
+def test_entity_answers(spark):
+    import json
+
+    def item(q, n, **more):
+        return {"item": {"value": f"http://x/entity/{q}"}, "sitelinks": {"value": str(n)}} | {k: {"value": v} for k, v in more.items()}
+
+    bodies = [json.dumps({"results": {"bindings": [item("Q1", 5, itemDescription="a tower", articleName="Tower"), item("Q2", 0)]}}), json.dumps({"results": {"bindings": []}}), "nothing", None]
+    got = {r.qid: (r.description, r.sitelinks, r.title) for r in landed.entity_answers(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()}
+    assert got == {"Q1": ("a tower", 5, "Tower"), "Q2": (None, 0, None)}
+    keys = spark.createDataFrame([(f"Q{i}",) for i in range(1000)] + [("Q5",), (None,), ("x",), ("Q7; Q8",)], "qid string")
+    chunks = [r.qids for r in landed.entity_chunks(keys).collect()]
+    assert sorted(q for c in chunks for q in c) == sorted(f"Q{i}" for i in range(1000)) and max(map(len, chunks)) <= 400
+
+
+def test_request_states(spark):
+    log = [("a", 1, 500, None), ("a", 2, 200, '{"x": 1}'), ("b", 1, 404, None), ("c", 1, 429, None), ("c", 2, None, None), ("d", 1, 503, None), ("d", 2, 503, None), ("d", 3, 503, None), ("d", 4, 503, None), ("e", 1, 200, "{broken")]
+    got = {r.key: (r.state, r.wait) for r in landed.request_states(spark.createDataFrame(log, "key string, at int, status int, body string")).collect()}
+    assert got == {"a": ("answered", None), "b": ("absent", None), "c": ("retry", 10.0), "d": ("given up", None), "e": ("retry", 5.0)}
+
+
+def test_edges_are_read_back(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, "NEAR"), (3, 4, "HAS_POI")], "src int, dst int, relation string")
+    tables.write_edges(edges, str(tmp_path / "e"))
+    assert tables.read_edges(spark, str(tmp_path / "e")).count() == 2 and [r.src for r in tables.read_edges(spark, str(tmp_path / "e"), "NEAR").collect()] == [1]
+
+
+def test_templates_and_context(spark):
+    import textwrap
+
+    for text in ("\n    a\n      b\n\n    c\n  ", "a", "", "  x\n y\n   \n"):
+        assert one(spark, T.dedent(F.lit(text))) == textwrap.dedent(text).strip()
+    line = lambda why: one(spark, T.context_line(F.lit("Tower"), F.lit("landmark"), F.lit("high"), F.lit(why).cast("string")))
+    assert line("near a hub") == "Tower (landmark): high [graph: near a hub]" and line(None) == "Tower (landmark): high"
+
+
+def test_grounding_probe(spark):
+    answers = spark.createDataFrame([("R", "- Old Tower\n* the Great Museum of Art\n\nNowhere"), ("S", ""), ("T", "tower")], "destination_id string, text string")
+    names = spark.createDataFrame([("Old Tower",), ("Great Museum",)], "name string")
+    assert {r.destination_id: (r.named, r.matched) for r in E.grounding_probe(answers, names).collect()} == {"R": (3, 2), "T": (1, 1)}

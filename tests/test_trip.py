@@ -10,9 +10,9 @@ DATA = "/root/testdata/sf0.001"
 
 def test_every_user_gets_a_trip(spark):
     users = {r.user_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().collect()}
-    days, full, places = trip.demo_plan(spark, DATA)
+    days, full, ids, tables = trip.demo_plan(spark, DATA)
     assert {r.trip_id for r in full.collect()} == users and len(users) > 10
-    assert {r.trip_id for r in trip.narrative(days, places, full).collect()} == users
+    assert {r.trip_id for r in trip.narrative(days, tables["places"], full).collect()} == users
 
 
 def test_long_trips_get_all_their_candidates(spark):
@@ -28,8 +28,8 @@ def test_trips_have_the_days_they_ask_for(spark):
     d = "/root/testdata/sf0.01"
     asked = {1: 1, 2: 5, 3: 10}
     likes = dict(zip(trip.S.PREFERENCES, trip.PROFILES["Budget Backpacker"], strict=True))
-    requests = spark.createDataFrame([(t, likes, 3, "2001-06", n) for t, n in asked.items()], "trip_id long, preferences map<string,double>, destination_id int, travel_month string, days int")
-    days, full = trip.plan_trips(requests, **trip.demo_tables(spark, d))
+    requests = spark.createDataFrame([(t, likes, 3, "2001-11", n) for t, n in asked.items()], "trip_id long, preferences map<string,double>, destination_id int, travel_month string, days int")
+    days, full, _ = trip.plan_trips(requests, **trip.demo_tables(spark, d))
     assert {r.archetype for r in full.collect()} == {"Budget Backpacker"}
     rows = days.collect()
     assert {t: len({r.day for r in rows if r.trip_id == t}) for t in asked} == asked
@@ -58,3 +58,15 @@ def test_the_comparison_has_all_requests_and_retrievers(spark):
     rows = compare.comparative_analysis(spark, DATA).collect()
     assert {(r.config, r.query_id) for r in rows} == {(c, q) for c in compare.CONFIGS for q in range(1, 19)}
     assert all(r.grounded == 1.0 for r in rows if r.config == "hybrid")
+
+
+def test_the_text_has_forecast_context_and_days(spark):
+    rows = trip.plan_trip_narrative(spark, DATA).collect()
+    assert rows and all(" traveler to " in r.text and "Forecast: " in r.text and "crowding in 2001-" in r.text and "Retrieved context:\n- " in r.text and "\nDay 1: " in r.text for r in rows)
+
+
+def test_the_destination_follows_the_forecast_of_the_month(spark):
+    d = spark.createDataFrame([(1, 2, ["culture"], 0), (2, 2, ["culture"], 1)], "destination_id int, budget_level int, tags array<string>, ord int")
+    f = spark.createDataFrame([(1, "2001-09-01", "low"), (1, "2001-10-01", "high"), (2, "2001-09-01", "high"), (2, "2001-10-01", "low")], "key int, month string, crowding_level string").withColumn("month", trip.F.col("month").cast("date"))
+    r = spark.createDataFrame([(1, {"culture": 0.5}, None, "2001-09"), (2, {"culture": 0.5}, None, "2001-10"), (3, {"culture": 0.5}, None, "2030-01"), (4, {"culture": 0.5}, None, None), (5, {}, 7, None)], "trip_id long, preferences map<string,double>, destination_id int, travel_month string")
+    assert {x.trip_id: x.destination_id for x in trip.choose_destination(r, d, f).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 7}
