@@ -72,7 +72,8 @@ def prefixes(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     """t, w, items: each window with its rarest token (of equally rare ones the smaller) and its items."""
     items = windows.groupBy("w").agg(F.collect_list("item").alias("items"))
     tokens = windows.select("w").distinct().select("w", F.explode(F.split(F.col("w").cast("string"), " ")).alias("t")).withColumn("t", F.col("t").cast("binary"))
-    rarest = tokens.join(frequency, "t", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t")).alias("p"))
+    # As many rows as the block has tokens, at most.
+    rarest = tokens.join(F.broadcast(frequency), "t", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t")).alias("p"))
     return items.join(rarest, "w").select(F.col("p.t").alias("t"), "w", "items")
 
 

@@ -13,10 +13,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peregrin.llm import decontaminate, language, lines, minhash, packing, quality, queries, substrings, toxicity, urls, warc
+from peregrin.llm import common, decontaminate, language, lines, minhash, packing, quality, queries, substrings, toxicity, urls, warc
 
 DATA = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, v string, h string, k0 string, _gone string, _version string, rep string, `text_` string, grp string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, v string, h string, k0 string, _gone string, _version string, rep string, `text_` string, grp string, _text string, _removed string, removed string, version string, gone string, id string, k1 string, h_ string, g1 string, block string, w string, n_words string, score string"
 PROSE = "the of and to in a is that for it was on are as with be by this at from or an not river stone green house walked under small bridge morning people".split()
 
 
@@ -26,7 +26,7 @@ def prose(rng, n):
 
 def make(spark, rows):
     """rows: (doc_id, text[, source]); other columns have names that operators use themselves."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else f"s{i % 3}", len(r[1] or ""), *(["x"] * 8)) for i, r in enumerate(rows)]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else f"s{i % 3}", len(r[1] or ""), *(["x"] * 21)) for i, r in enumerate(rows)]
     return spark.createDataFrame(full, DOCS)
 
 
@@ -72,6 +72,45 @@ def test_filters_keep_the_columns(spark, rows, name):
     assert out.columns == docs.columns and out.count() <= len(rows)
 
 
+@pytest.mark.parametrize("name", ["minhash", "substrings", "quality", "language", "packing", "contamination", "drop lines"])
+def test_a_text_of_megabytes(spark, name):
+    """One text of 5 MB beside null, empty and equal ones is a row like any other."""
+    long = prose(random.Random(12), 1_000_000)
+    docs = make(spark, [(1, long), (2, None), (3, ""), (4, "a b"), (4, "a b")])
+    out = reports(spark, docs)[name]().collect()
+    assert {r.doc_id for r in out} >= {1, 2, 3, 4}
+    if name == "packing":
+        assert sum(r.length for r in out if r.doc_id == 1) == next(r.doc_tokens for r in out if r.doc_id == 1) > 1_000_000
+    if name == "quality":
+        assert next(r.n_words for r in out if r.doc_id == 1) == len(long.split())
+
+
+def test_samples_have_hard_bounds(spark):
+    """Equal texts of many ids, of one id and of none: never more rows than stated, whatever the hash."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 10_000, F.col("id")).when(F.col("id") < 20_000, F.lit(7)).alias("id"), F.lit("same").alias("text"), F.when(F.col("id") % 100 == 0, "a").otherwise("b").alias("lang"))
+    got = {r["lang"]: r["count"] for r in common.fixed_sample(rows, ["id", "text"], {"a": (50, 300), "b": (200, 29_700)}, "lang", 1).groupBy("lang").count().collect()}
+    assert got == {"a": 50, "b": 200} or all(got.get(k, 0) <= v for k, v in (("a", 50), ("b", 200)))
+    alone = spark.range(30_000).select(F.col("id"), F.lit("same").alias("text"), F.lit("a").alias("lang"))
+    assert common.fixed_sample(alone, ["id", "text"], {"a": (500, 30_000)}, "lang", 1).count() == 500
+
+
+def test_settings_of_the_session_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "777")
+    lines.line_report(make(spark, [(1, "a")])).collect()
+    assert spark.conf.get(key) == "777"
+    spark.conf.unset(key)
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    left = spark.range(20_000).select((F.col("id") % 2 * F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("k % 3 = 0")
+    for how in ("inner", "left"):
+        got = common.join_hot(left, right, ["k"], "n", 20_000, how)
+        want = left.join(right.drop("n"), "k", how)
+        assert got.count() == want.count() and got.select("k", "id", "first").exceptAll(want.select("k", "id", "first")).count() == 0
+
+
 # ------------------------------------------------------------------- minhash
 
 

@@ -9,6 +9,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peregrin.llm import quality, queries
 from peregrin.llm.common import materialise
@@ -86,3 +87,21 @@ def test_empty_documents(spark, tables, tmp_path):
     for table in ("documents", "benchmark"):
         spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and repeated rows, ties, and columns with names that operators use."""
+    import random
+
+    from test_operators import make, prose
+
+    rng = random.Random(3)
+    good = prose(rng, 300)
+    rows = [(1, good), (1, good), (2, good), (None, good), (3, None), (4, ""), (5, "x"), (6, prose(rng, 200)), (7, prose(rng, 200) + "\n" + "Same line here " * 3)]
+    docs = make(spark, rows)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") == 6, None).otherwise(F.col("lang")))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, DATA), name.replace(" ", "-"))
+        if name != "packing":
+            assert docs.columns == make(spark, rows[:1]).columns
+    assert {r.doc_id for r in docs.collect()} >= {1, 6, 7} and not {2, 3, 4, 5} & {r.doc_id for r in docs.collect()}
