@@ -95,8 +95,8 @@ def graph_search(queries: DataFrame, places: DataFrame, hubs: DataFrame, affinit
     the cut to top_k. The reason is that of the first branch with a place.
     """
     q = queries.where(F.col("destination_id").isNotNull())
-    # Only cities that are asked for take part.
-    asked = q.select("destination_id").distinct()
+    # Only cities that are asked for take part; they are no more than the table of cities has.
+    asked = F.broadcast(q.select("destination_id").distinct())
     places, hubs = places.join(asked, "destination_id", "left_semi"), hubs.join(asked, "destination_id", "left_semi")
     hit = lambda branch, reason: ("query_id", "id", F.lit(branch).alias("branch"), "ord", reason.alias("reason"))
     liked = preferred_places(places, affinity, top_k).select("destination_id", "archetype", "id", F.col("rank").alias("ord"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokenize
-from ..session import cut
+from ..session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -23,7 +23,7 @@ CONFIGS = {"fusion": ("semantic", "keyword", "graph"), "hybrid": ("semantic", "k
 
 def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
     """term, df, total: document frequencies, in one pass over the texts; the row of the null term has the number of documents and of words."""
-    words = docs.select(tokenize(F.col(text_col)).alias("words"))
+    words = spread(docs.select(text_col)).select(tokenize(F.col(text_col)).alias("words"))
     rows = words.select(F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words"))).alias("term"))
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
 
@@ -54,7 +54,7 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_co
     terms = cut(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
     asked = terms.select("term").distinct()
     idf, mean_dl = corpus_statistics(docs, text_col)
-    words = docs.select(F.col(id_col).alias("doc"), tokenize(F.col(text_col)).alias("words"))
+    words = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), tokenize(F.col(text_col)).alias("words"))
     rows = words.select("doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
     hits = rows.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     hits = hits.join(terms, "term").join(idf.join(asked, "term", "left_semi").select("term", "idf"), "term")

@@ -23,6 +23,12 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where its few files would keep most of them idle; large inputs stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df by a checkpoint, so that what follows neither plans nor runs its lineage again.
 
