@@ -67,6 +67,11 @@ def route_query(text: Column, archetype: Column) -> Column:
     )
 
 
+def _of(key: Column, values: dict) -> Column:
+    """The value of a key, null if it has none; one constant map, so that key is computed once."""
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key]
+
+
 def classify_tags(tags: Column) -> Column:
     """Category of a map of tags by the first rule that fits; null if none does."""
     fits = lambda k, v: tags[k].isNotNull() if v is None else tags[k] == v
@@ -106,12 +111,12 @@ def describe(name: Column, city: Column, category: Column, known: Column) -> Col
     article = F.when(F.lower(F.substring(known, 1, 1)).isin(*"aeiou"), F.lit("an")).otherwise(F.lit("a"))
     named = F.lower(F.replace(known, F.lit("İ"), F.lit("I"))).contains(F.lower(city))
     tail = F.when(named, F.lit(".")).otherwise(F.concat(F.lit(", in "), city, F.lit(".")))
-    start = F.coalesce(*(F.when(category == k, F.lit(v)) for k, v in TEMPLATES.items()), F.lit(ANY_TEMPLATE))
+    start = F.coalesce(_of(category, TEMPLATES), F.lit(ANY_TEMPLATE))
     return F.when(F.coalesce(F.length(known), F.lit(0)) > 0, F.concat(name, F.lit(" is "), article, F.lit(" "), known, tail)).otherwise(F.concat(start, city, F.lit(".")))
 
 
 def category_default(category: Column, place: int) -> Column:
-    return F.coalesce(*(F.when(category == k, F.lit(v[place])) for k, v in CATEGORY_DEFAULTS.items()))
+    return _of(category, {k: v[place] for k, v in CATEGORY_DEFAULTS.items()})
 
 
 def price_from_fee(fee: Column, charge: Column, default: Column) -> Column:

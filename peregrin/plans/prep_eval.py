@@ -171,7 +171,6 @@ sizes AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
 res AS (SELECT config, h.query_id, coalesce(any_value(n_gold), 0) AS n_gold, count(g.doc_id) AS n_hit, round(count(g.doc_id)::DOUBLE / nullif(any_value(n_gold), 0), 6) AS recall,
   round(coalesce(avg(CASE WHEN v.label = q.label THEN 1.0 ELSE 0.0 END), 0.0)::DOUBLE, 3) AS precision, max(CASE WHEN v.vec_id IS NULL THEN 0.0 ELSE 1.0 END)::DOUBLE AS grounded
   FROM hits h LEFT JOIN gold g ON g.query_id = h.query_id AND g.doc_id = h.doc_id LEFT JOIN sizes s ON s.query_id = h.query_id JOIN embeddings q ON q.vec_id = h.query_id LEFT JOIN embeddings v ON v.vec_id = h.doc_id GROUP BY 1, 2)"""
-SENTENCES = r"string_split_regex(t, '(?<=[.!?]) ')"
 KNOWN = _at(["old tower", "İstanbul gate", "market of ALGERIA", None, "", "Iron bridge"], "c_custkey")
 
 SQL = {
@@ -179,6 +178,12 @@ SQL = {
     "opening_hours_parse": f"""WITH h AS (SELECT p_partkey, {_at(HOURS, 'p_partkey')} AS r FROM part), x AS (SELECT p_partkey, try_cast(regexp_extract(r, '{PATTERN}', 1) AS INT) AS a, try_cast(regexp_extract(r, '{PATTERN}', 2) AS INT) AS b FROM h)
       SELECT p_partkey, CASE WHEN a BETWEEN 0 AND 24 AND b BETWEEN 0 AND 24 THEN a END AS open, CASE WHEN a BETWEEN 0 AND 24 AND b BETWEEN 0 AND 24 THEN b END AS close FROM x""",
     "qid_normalize": f"SELECT p_partkey, list_filter(string_split_regex({_at(QIDS, 'p_partkey')}, '[;,\\s]+'), lambda x: regexp_full_match(x, 'Q[0-9]+'))[1] AS qid FROM part",
+    "trim_description": f"""WITH t AS (SELECT item_id, repeat({_lit(LONG)}, (item_id % 7)::INT) || translate(text, chr(10), ' ') AS t FROM benchmark),
+      s AS (SELECT item_id, t, string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS s FROM t),
+      p AS (SELECT item_id, t, i, array_to_string(s[1:i], ' ') AS p FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM s)),
+      k AS (SELECT item_id, t, trim(arg_max(p, i)) AS kept FROM p WHERE i = 1 OR length(p) <= {T.DESCRIPTION_CHARS} GROUP BY 1, 2),
+      r AS (SELECT item_id, CASE WHEN length(t) <= {T.DESCRIPTION_CHARS} THEN t ELSE kept END AS r FROM k)
+      SELECT item_id, length(r)::BIGINT AS n, md5(r) AS digest FROM r""",
     "describe_template": f"""WITH c AS (SELECT c_custkey, c_name, n_name, {KNOWN} AS k, {_at([*T.TEMPLATES, 'other'], 'c_custkey')} AS cat FROM customer JOIN nation ON c_nationkey = n_nationkey)
       SELECT c_custkey, CASE WHEN coalesce(k, '') <> '' THEN c_name || ' is ' || CASE WHEN lower(k[1]) IN ('a', 'e', 'i', 'o', 'u') AND k[1] <> 'İ' THEN 'an' ELSE 'a' END || ' ' || k || CASE WHEN contains(lower(replace(k, 'İ', 'I')), lower(n_name)) THEN '.' ELSE ', in ' || n_name || '.' END
       ELSE CASE cat {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.TEMPLATES.items())} ELSE '{T.ANY_TEMPLATE}' END || n_name || '.' END AS text FROM c""",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A local session in UTC with AQE; a cluster brings its own session instead."""
@@ -34,7 +38,33 @@ def cut(df: DataFrame) -> DataFrame:
 
     It lies in the folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="peregrin-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="peregrin-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path beside the checkpoints for a table that is written and read again; deleted when the driver ends."""
+    path = f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            return

@@ -58,17 +58,27 @@ def entity_answers(raw: DataFrame) -> DataFrame:
     return rows.where("qid is not null").groupBy("qid").agg(F.max_by(F.struct("description", "sitelinks", "title"), F.struct("answer", "at")).alias("r")).select("qid", "r.*")
 
 
-def entity_chunks(keys: DataFrame, size: int = 400) -> DataFrame:
-    """chunk, qids: the distinct valid entities of a column `qid`, in order, as many at a time as one query asks for.
+def batches(keys: DataFrame, column: str, size: int) -> DataFrame:
+    """chunk, keys: the distinct values of a column, in order, as many at a time as one request asks for.
 
-    Chunks come from ranges of the sorted entities, each cut on its own, so no
-    task sees them all; the last chunk of a range may be short.
+    Chunks come from ranges of the sorted values, each cut on its own, so no
+    task sees them all; the last chunk of a range may be short. Nulls ask for nothing.
     """
-    ids = keys.select(normalize_qid(F.col("qid")).alias("qid")).where("qid is not null").distinct()
-    ranged = ids.repartitionByRange("qid").sortWithinPartitions("qid").withColumn("n", F.monotonically_increasing_id())
+    ids = keys.select(F.col(column).alias("key")).where("key is not null").distinct()
+    ranged = ids.repartitionByRange("key").sortWithinPartitions("key").withColumn("n", F.monotonically_increasing_id())
     # The id's upper part is the range, its lower 33 bits the place there.
     place = F.col("n").bitwiseAND((1 << 33) - 1)
-    return ranged.groupBy(F.shiftright("n", 33).alias("part"), F.floor(place / size).alias("k")).agg(F.array_sort(F.collect_list("qid")).alias("qids")).select(F.concat_ws("-", "part", "k").alias("chunk"), "qids")
+    return ranged.groupBy(F.shiftright("n", 33).alias("part"), F.floor(place / size).alias("k")).agg(F.array_sort(F.collect_list("key")).alias("keys")).select(F.concat_ws("-", "part", "k").alias("chunk"), "keys")
+
+
+def entity_chunks(keys: DataFrame, size: int = 400) -> DataFrame:
+    """chunk, qids: the valid entities of a column `qid`, 400 to a query."""
+    return batches(keys.select(normalize_qid(F.col("qid")).alias("qid")), "qid", size).withColumnRenamed("keys", "qids")
+
+
+def title_chunks(titles: DataFrame, size: int = 50) -> DataFrame:
+    """chunk, titles: the article titles of a column `title`, 50 to a query."""
+    return batches(titles, "title", size).withColumnRenamed("keys", "titles")
 
 
 def request_states(attempts: DataFrame, most: int = 4, first_wait: float = 5.0) -> DataFrame:

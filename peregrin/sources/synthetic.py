@@ -24,8 +24,15 @@ def scattered_places(cities: DataFrame, per_city: int = 150, spread: float = 0.0
     return rows.select(F.concat_ws("-", "destination_id", F.col("i").cast("string")).alias("poi_id"), "destination_id", F.concat_ws(" ", "city", "category", F.col("i").cast("string")).alias("name"), "category", (F.col("y") + F.randn(seed) * spread).alias("lat"), (F.col("x") + F.randn(seed + 1) * spread).alias("lon"), value(0).alias("avg_visit_minutes"), value(1).alias("price_level"), F.round(F.rand(seed + 2) * 2.5 + 2.5, 2).alias("popularity_score"), value(2).alias("open_hour"), value(3).alias("close_hour"))
 
 
+#: Fixed values: (first month, last month, share of the demand that is left).
+SHOCKS = [("2020-03-01", "2021-05-01", 0.08), ("2021-06-01", "2022-06-01", 0.5)]
+
+
 def demand(spark: SparkSession, cities: DataFrame, months: int = 89, seed: int = 42) -> DataFrame:
-    """destination_id, month, visitors: trend, season and noise."""
+    """destination_id, month, visitors: trend, season, shocks and noise."""
     rows = cities.select("destination_id", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("t"))
+    rows = rows.withColumn("month", F.add_months(F.lit("2019-01-01").cast("date"), F.col("t")))
     season = F.lit(1.0) + F.lit(0.35) * F.sin(F.col("t") * 2 * 3.141592653589793 / 12)
-    return rows.select("destination_id", F.add_months(F.lit("2019-01-01").cast("date"), F.col("t")).alias("month"), F.greatest(F.lit(0), ((F.lit(100000) + F.col("t") * 500) * season * (F.lit(1.0) + F.randn(seed) * 0.05)).cast("long")).alias("visitors"))
+    left = F.coalesce(*(F.when(F.col("month").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(x)) for a, b, x in SHOCKS), F.lit(1.0))
+    visitors = (F.lit(100000) + F.col("t") * 500) * season * left * (F.lit(1.0) + F.randn(seed) * 0.05)
+    return rows.select("destination_id", "month", F.greatest(F.lit(0), visitors.cast("long")).alias("visitors"))
