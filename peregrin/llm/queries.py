@@ -128,5 +128,35 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM t WHERE octet_length(b) >= 400),
+windows AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS fresh FROM windows JOIN twice USING (h)),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 399 AS z
+  FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits) GROUP BY doc_id, run),
+removed AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS z FROM runs GROUP BY doc_id),
+parts AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS s, a - 1 AS e FROM runs
+  UNION ALL SELECT doc_id, z + 1, octet_length(b) FROM removed JOIN t USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(hex(b[s:e]), '' ORDER BY s) AS k FROM parts JOIN t USING (doc_id) WHERE s <= e GROUP BY doc_id)
+SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  (octet_length(b) - coalesce(n_removed, 0))::BIGINT AS n_kept, n_spans IS NOT NULL AS has_repeats,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(k, ''))) END AS kept_sha256
+FROM t LEFT JOIN removed r ON r.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+base32 AS (
+  SELECT *, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || h[i // 4 * 5 + 1:i // 4 * 5 + 5] AS BIGINT) >> (15 - i % 4 * 5)) % 32 + 1 AS BIGINT), 1)), '') AS digest FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM base32
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substrings": OP4_SQL, "op7_warc": OP7_SQL, "op10_decontamination": OP10_SQL}
