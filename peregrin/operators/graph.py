@@ -98,21 +98,23 @@ def graph_search(queries: DataFrame, places: DataFrame, hubs: DataFrame, affinit
     # Only cities that are asked for take part; they are no more than the table of cities has.
     asked = F.broadcast(q.select("destination_id").distinct())
     places, hubs = places.join(asked, "destination_id", "left_semi"), hubs.join(asked, "destination_id", "left_semi")
-    hit = lambda branch, reason: ("query_id", "id", F.lit(branch).alias("branch"), "ord", reason.alias("reason"))
-    liked = preferred_places(places, affinity, top_k).select("destination_id", "archetype", "id", F.col("rank").alias("ord"))
-    one = q.join(liked, ["destination_id", "archetype"]).select(*hit(0, F.format_string("preferred by %s travelers", F.col("archetype"))))
-    near = nearest_hub(places, hubs, hub_km)
-    by_hub = q.where("near_transport and category is not null").join(near, ["destination_id", "category"])
-    two = top(by_hub, ["query_id"], [F.asc("nearest_hub_km"), F.asc("id")], 2**31 - 1).withColumnRenamed("rank", "ord").select(*hit(1, F.concat(F.col("nearest_hub_km").cast("string"), F.lit("km from nearest transport hub"))))
-    of_category = q.where("not near_transport and category is not null").join(places.select("destination_id", "category", "id"), ["destination_id", "category"])
-    three = top(of_category, ["query_id"], [F.asc("id")], 2**31 - 1).withColumnRenamed("rank", "ord").select(*hit(1, F.concat(F.lit("category match: "), F.col("category"))))
-    found = one.unionByName(two).unionByName(three)
-    popular = top(places, ["destination_id"], [F.desc("popularity"), F.asc("id")], top_k).select("destination_id", "id", F.col("rank").alias("ord"))
-    rest = q.join(found.select("query_id").distinct(), "query_id", "left_anti").join(popular, "destination_id").select(*hit(2, F.lit("top-rated in city")))
-    first = found.unionByName(rest).groupBy("query_id", "id").agg(F.min(F.struct("branch", "ord", "reason")).alias("f")).select("query_id", "id", "f.*")
-    counts = first.groupBy("query_id").agg(F.count("*").alias("n"))
+    hit = lambda branch, ord_, reason: ("query_id", "id", F.lit(branch).alias("branch"), ord_.cast("double").alias("ord"), reason.alias("reason"))
+    wanted = affinity.join(F.broadcast(q.select("archetype").distinct()), "archetype", "left_semi")
+    liked = preferred_places(places, wanted, top_k).select("destination_id", "archetype", "id", "rank")
+    one = q.join(liked, ["destination_id", "archetype"]).select(*hit(0, F.col("rank"), F.format_string("preferred by %s travelers", F.col("archetype"))))
+    by_category = q.where("category is not null")
+    by_hub = by_category.where("near_transport").join(nearest_hub(places, hubs, hub_km), ["destination_id", "category"])
+    two = by_hub.select(*hit(1, F.col("nearest_hub_km"), F.concat(F.col("nearest_hub_km").cast("string"), F.lit("km from nearest transport hub"))))
+    of_category = by_category.where("not near_transport").join(places.select("destination_id", "category", "id"), ["destination_id", "category"])
+    three = of_category.select(*hit(1, F.lit(0), F.concat(F.lit("category match: "), F.col("category"))))
+    popular = top(places, ["destination_id"], [F.desc("popularity"), F.asc("id")], top_k).select("destination_id", "id", "rank")
+    last = q.join(popular, "destination_id").select(*hit(2, F.col("rank"), F.lit("top-rated in city")))
+    first = one.unionByName(two).unionByName(three).unionByName(last).groupBy("query_id", "id").agg(F.min(F.struct("branch", "ord", "reason")).alias("f")).select("query_id", "id", "f.*")
+    # The city's popular places go where another branch has found one; both uses read the same shuffle.
+    counts = first.groupBy("query_id").agg(F.min("branch").alias("least"), F.count("*").alias("all"), F.count_if(F.col("branch") < 2).alias("n"))
+    counts = counts.select("query_id", F.when(F.col("least") < 2, F.col("n")).otherwise(F.col("all")).alias("n"))
     ranked = top(first, ["query_id"], [F.asc("branch"), F.asc("ord"), F.asc("id")], top_k)
-    return ranked.join(counts, "query_id").select("query_id", F.col("id").alias("doc_id"), "branch", "reason", F.col("rank"), F.round(F.lit(1.0) - (F.col("rank") - 1) / F.col("n"), 6).alias("score"))
+    return ranked.join(counts, "query_id").where(F.col("rank") <= F.col("n")).select("query_id", F.col("id").alias("doc_id"), "branch", "reason", "rank", F.round(F.lit(1.0) - (F.col("rank") - 1) / F.col("n"), 6).alias("score"))
 
 
 def edge_counts(**relations: DataFrame) -> DataFrame:
