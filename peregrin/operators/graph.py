@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.scoring import round_half_even
+from ..session import small_table
 from .retrieval import top
 
 # How much an archetype likes a category.
@@ -26,7 +27,7 @@ KM_PER_DEGREE = 111.19
 def affinity_table(spark: SparkSession) -> DataFrame:
     """archetype, category, weight, ord (the table's own order)."""
     rows = [(a, c, w, i) for i, (a, c, w) in enumerate((a, c, w) for a, cs in AFFINITY.items() for c, w in cs.items())]
-    return spark.createDataFrame(rows, "archetype string, category string, weight double, ord int")
+    return small_table(spark, rows, "archetype string, category string, weight double, ord int")
 
 
 def contains_edges(cities: DataFrame, places: DataFrame, relation: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as E, graph as G, retrieval as R, routing as RT
-from ..session import cut
+from ..session import cut, small_table
 from . import demo as D
 
 CONFIGS = ("fusion", "hybrid", "standard")
@@ -51,7 +51,7 @@ def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, doc
     for config in CONFIGS[:2]:
         part = R.reciprocal_rank_fusion(lists, top_k, config).select(F.lit(config).alias("config"), "query_id", "doc_id", "rank")
         found = part if found is None else found.unionByName(part)
-    every = requests.select("query_id", "destination_id").join(F.broadcast(requests.sparkSession.createDataFrame([(c,) for c in CONFIGS], "config string")))
+    every = requests.select("query_id", "destination_id").join(F.broadcast(small_table(requests.sparkSession, [(c,) for c in CONFIGS], "config string")))
     lost = every.join(found.select("config", "query_id").distinct(), ["config", "query_id"], "left_anti")
     first = R.top(places.select("destination_id", F.col("id").alias("doc_id")), ["destination_id"], [F.asc("doc_id")], top_k)
     fallback = lost.join(first, "destination_id").select("config", "query_id", "doc_id", "rank")
@@ -72,7 +72,7 @@ def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, doc
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     rows = [(i, CITIES[city], *rest) for i, (city, *rest) in enumerate(REQUESTS, 1)]
-    requests = spark.createDataFrame(rows, "query_id long, destination_id int, archetype string, category string, query string")
+    requests = small_table(spark, rows, "query_id long, destination_id int, archetype string, category string, query string")
     return requests.join(D.query_vectors(spark, d).withColumnRenamed("vec_id", "query_id"), "query_id", "left")
 
 

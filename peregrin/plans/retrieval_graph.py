@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import graph as G, retrieval as R
+from ..session import small_table
 from . import demo as D
 
 #: (id, query, language wanted or none)
@@ -15,7 +16,7 @@ K = 10
 
 
 def text_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERIES_TEXT, "query_id long, query string, lang string")
+    return small_table(spark, QUERIES_TEXT, "query_id long, query string, lang string")
 
 
 def tokenize_stats(spark, d):
@@ -167,7 +168,7 @@ def nearest_hub(spark, d):
 
 
 def graph_search_routed(spark, d):
-    q = spark.createDataFrame(GRAPH_QUERIES, "query_id long, destination_id int, given string, query string")
+    q = small_table(spark, GRAPH_QUERIES, "query_id long, destination_id int, given string, query string")
     q = q.withColumn("r", T.route_query(F.col("query"), F.col("given"))).select("query_id", "destination_id", "r.*")
     return G.graph_search(q, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark), 20)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as T
 from ..operators import cluster as C, forecast as FC, graph as G, retrieval as R, routing as RT
-from ..session import cut
+from ..session import cut, small_table
 from . import demo as D
 
 
@@ -137,7 +137,7 @@ def demo_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables that plan_trips takes besides the requests."""
-    profiles = spark.createDataFrame(list(PROFILES.items()), "label string, centroid array<double>")
+    profiles = small_table(spark, list(PROFILES.items()), "label string, centroid array<double>")
     tags = F.array(F.element_at(F.array(*(F.lit(t) for t in S.TAG_PREFERENCE)), (F.col("destination_id") % len(S.TAG_PREFERENCE) + 1).cast("int")), F.lit("culture"))
     lat, lon = D.coordinates("destination_id")
     destinations = D.cities(spark, d).select("destination_id", "city", lat.alias("lat"), lon.alias("lon"), (F.col("destination_id") % 3 + 1).alias("budget_level"), tags.alias("tags"), F.col("destination_id").alias("ord"))
@@ -147,7 +147,7 @@ def demo_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     p = D.places(spark, d)
     k = F.col("id")
     places = p.select("*", (F.lit(30) + k % 4 * 15).cast("int").alias("visit"), F.lit(9).alias("open"), (F.lit(18) + k % 4).cast("int").alias("close"), (k % 4).cast("int").alias("price_level"))
-    order = spark.createDataFrame(list(enumerate(PROFILES, 1)), "vec_id long, archetype string")
+    order = small_table(spark, list(enumerate(PROFILES, 1)), "vec_id long, archetype string")
     of_archetype = D.query_vectors(spark, d).join(F.broadcast(order), "vec_id").select("archetype", "vector")
     return {"documents": D.place_texts(spark, d), "vectors": D.place_vectors(spark, d), "query_vectors": of_archetype, "profiles": profiles, "destinations": destinations, "forecasts": forecasts, "places": places, "hubs": D.hubs(spark, d), "affinity": G.affinity_table(spark)}
 

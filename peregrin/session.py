@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -27,6 +30,12 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g
     )
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a constant as a table that the plan holds itself, so that no Python worker has to read it."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out over all cores where its few files would keep most of them idle; large inputs stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
