@@ -12,6 +12,9 @@ from .retrieval import top
 SEASON = 12
 #: Smoothing of level, trend and season, and damping, where no fit is asked for.
 FIXED = (0.3, 0.1, 0.2, 0.98)
+#: Most changes of slope, the part of the history that may have them, and the spreads of the priors.
+CHANGES, CHANGE_RANGE = 25, 0.8
+CHANGE_SPREAD, TREND_SPREAD, SEASON_SPREAD = 0.05, 5.0, 10.0
 
 
 def month_spine(series: DataFrame) -> DataFrame:
@@ -100,10 +103,38 @@ def fit_forecast(values: list[float], horizon: int) -> tuple[np.ndarray, tuple]:
     return level[0] + damp * trend[0] + season[0, (len(y) + h - 1) % SEASON], tuple(centre)
 
 
+def fit_changepoints(values: list[float], horizon: int, rounds: int = 50) -> np.ndarray:
+    """Forecast of a trend whose slope may change, plus a season: the most probable parameters.
+
+    Slopes change at up to CHANGES months, evenly over the first CHANGE_RANGE of
+    the history, under a Laplace prior that keeps most changes at nothing; slope,
+    offset and the season's six Fourier pairs (months have no higher ones) have
+    normal priors. The prior on changes enters as weights of least squares,
+    renewed from the last solution, as does the noise.
+    """
+    y = np.array(values, float)
+    n, scale = len(y), np.abs(y).max() or 1.0
+    t = np.arange(n + horizon) / max(1, n - 1)
+    early = int(n * CHANGE_RANGE)
+    at = np.unique(np.linspace(0, early - 1, min(CHANGES, early - 1) + 1).round().astype(int)[1:])
+    waves = [f(2 * np.pi * k * np.arange(n + horizon) / SEASON) for k in range(1, SEASON // 2 + 1) for f in (np.sin, np.cos)]
+    x = np.column_stack([np.ones(n + horizon), t, np.maximum(0, t[:, None] - t[at]), *waves])
+    known, target = x[:n], y / scale
+    change = slice(2, 2 + len(at))
+    weight = np.full(x.shape[1], 1 / SEASON_SPREAD**2)
+    weight[:2] = 1 / TREND_SPREAD**2
+    size, noise = np.full(len(at), CHANGE_SPREAD), 0.01
+    for _ in range(rounds):
+        weight[change] = 1 / (CHANGE_SPREAD * np.maximum(size, 1e-6))
+        found = np.linalg.solve(known.T @ known / noise + np.diag(weight), known.T @ target / noise)
+        size, noise = np.abs(found[change]), max(1e-8, float(((target - known @ found) ** 2).mean()))
+    return x[n:] @ found * scale
+
+
 def forecast_fitted(series: DataFrame, horizon: int = 12, model: str = "holt_winters") -> DataFrame:
     """key, month, forecast: each series fitted in one Python group; series under 24 months or with gaps have no rows.
 
-    model: holt_winters, or `trend_season`, least squares on a line and two Fourier pairs.
+    model: holt_winters, or `trend_season`, a trend with changes of slope and a yearly season.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,9 +147,7 @@ def forecast_fitted(series: DataFrame, horizon: int = 12, model: str = "holt_win
         if model == "holt_winters":
             out, _ = fit_forecast(y.tolist(), horizon)
         else:
-            t = np.arange(len(y) + horizon)
-            x = np.stack([np.ones(len(t)), t, *(f(2 * np.pi * k * t / SEASON) for k in (1, 2) for f in (np.sin, np.cos))], axis=1)
-            out = x[len(y) :] @ np.linalg.lstsq(x[: len(y)], y, rcond=None)[0]
+            out = fit_changepoints(y.tolist(), horizon)
         return pd.DataFrame({"key": pdf["key"].iloc[0], "month": months.date, "forecast": out})
 
     key = series.schema["key"].dataType.simpleString()

@@ -35,25 +35,31 @@ def contains_edges(cities: DataFrame, places: DataFrame, relation: str) -> DataF
     return places.join(cities.select("destination_id"), "destination_id").select(F.col("destination_id").alias("src"), F.col("id").alias("dst"), F.lit(relation).alias("relation"))
 
 
-def near_edges(places: DataFrame, max_km: float = NEAR_KM) -> DataFrame:
-    """src, dst, distance_km (3 places): pairs of a city within max_km, both ways.
+def near_pairs(a: DataFrame, b: DataFrame, max_km: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """src (id of a), dst (id of b), destination_id, km and the columns of b named in keep: pairs of a city at most max_km apart.
 
-    Places fall into cells a little over max_km wide; each meets only those of
+    Places fall into cells a little over max_km wide; each of a meets only those of
     its own and the eight cells around, so the join's work follows the number of
-    near pairs and not the square of a city.
+    near pairs and not the square of a city. a is dealt out nine times, so it
+    should be the smaller side.
     """
     step = max_km / KM_PER_DEGREE * 1.001
     # A row's cells are wide enough for max_km wherever in the row or beside it a place lies.
-    cells = places.select("id", "destination_id", "lat", "lon", F.floor(F.col("lat") / F.lit(step)).alias("y"))
+    y = F.floor(F.col("lat") / F.lit(step))
     shift = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
-    left = cells.select("*", shift.alias("dy")).withColumn("row", F.col("y") + F.col("dy"))
-    right = cells.withColumn("row", F.col("y"))
+    left = a.select("id", "destination_id", "lat", "lon", shift.alias("dy")).withColumn("row", y + F.col("dy"))
+    right = b.select("id", "destination_id", "lat", "lon", *keep, y.alias("row"))
     pole = F.greatest(F.abs(F.col("row") * step), F.abs((F.col("row") + 1) * step))
     width = F.lit(step) / F.greatest(F.cos(F.radians(F.least(pole + step, F.lit(89.9)))), F.lit(1e-3))
     left = left.withColumn("x", F.floor(F.col("lon") / width)).select(F.col("id").alias("src"), "destination_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "row", "x", shift.alias("dx")).withColumn("col", F.col("x") + F.col("dx"))
-    right = right.withColumn("col", F.floor(F.col("lon") / width)).select(F.col("id").alias("dst"), "destination_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", "col")
+    right = right.withColumn("col", F.floor(F.col("lon") / width)).select(F.col("id").alias("dst"), "destination_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", "col", *keep)
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return left.join(right, ["destination_id", "row", "col"]).where((F.col("src") != F.col("dst")) & (km <= max_km)).select("src", "dst", "destination_id", round_half_even(km, 3).alias("distance_km"))
+    return left.join(right, ["destination_id", "row", "col"]).where(km <= max_km).select("src", "dst", "destination_id", km.alias("km"), *keep)
+
+
+def near_edges(places: DataFrame, max_km: float = NEAR_KM) -> DataFrame:
+    """src, dst, distance_km (3 places): pairs of a city within max_km, both ways."""
+    return near_pairs(places, places, max_km).where("src <> dst").select("src", "dst", "destination_id", round_half_even(F.col("km"), 3).alias("distance_km"))
 
 
 def nearby(edges: DataFrame, max_km: float = NEAR_KM) -> DataFrame:
@@ -79,10 +85,8 @@ def nearest_hub(places: DataFrame, hubs: DataFrame, max_km: float) -> DataFrame:
 
     The unrounded distance is filtered, the rounded one reported; cities without hubs have no rows.
     """
-    h = hubs.select("destination_id", F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("hub_lat"), F.col("hub_lon"))
-    rows = places.join(h, "destination_id").select("id", "destination_id", "category", km.alias("km"))
-    return rows.groupBy("id", "destination_id", "category").agg(F.min("km").alias("km")).where(F.col("km") <= max_km).select("id", "destination_id", "category", round_half_even(F.col("km"), 2).alias("nearest_hub_km"))
+    near = near_pairs(hubs, places, max_km, ("category",)).groupBy(F.col("dst").alias("id"), "destination_id", "category").agg(F.min("km").alias("km"))
+    return near.select("id", "destination_id", "category", round_half_even(F.col("km"), 2).alias("nearest_hub_km"))
 
 
 def graph_search(queries: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, top_k: int, hub_km: float = 3.0) -> DataFrame:

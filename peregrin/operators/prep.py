@@ -93,8 +93,17 @@ def build_places(elements: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with poi_id POI0001, POI0002, ... in the given order; the catalogue is small, as one sequence needs one order."""
-    return rows.withColumn("poi_id", F.format_string("POI%04d", F.row_number().over(W.orderBy(*order))))
+    """rows with poi_id POI0001, POI0002, ... in the given order.
+
+    Rows are numbered within each value of the order's first column, and only
+    the counts of these values (one row each) are summed up in one task.
+    """
+    first, *rest = order
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(F.col(first).alias("_first")).agg(F.count("*").alias("_n")).select("_first", before.alias("_before"))
+    within = rows.withColumn("_at", F.row_number().over(W.partitionBy(first).orderBy(*(rest or [first]))))
+    joined = within.join(starts, F.col(first).eqNullSafe(F.col("_first")))
+    return joined.withColumn("poi_id", F.format_string("POI%04d", F.col("_before") + F.col("_at"))).drop("_first", "_before", "_at")
 
 
 def refresh_places(elements: DataFrame, info: DataFrame, coordinates: DataFrame, per_city: int = 150) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geo, scoring as S, text as T
 from ..operators import cluster as C, forecast as FC, retrieval as R, routing as RT
 from . import demo as D
+from .trip import within_budget
 
 PREFERENCES = {"budget": 0.1, "culture": 0.2, "nature": 0.9, "nightlife": 0.1, "relax": 0.3, "adventure": 0.9}
 TAGS = [["culture", "history", "food"], ["beach", "romance", "unknown"], ["nightlife", "luxury"], [], ["nature", "music", "art"]]
@@ -55,6 +56,13 @@ def best_months(spark, d):
     return FC.best_months(rows, FC.history_stats(series), 3).select("key", F.date_format("month", "yyyy-MM").alias("month"), "crowding_z", "crowding_level", "rank")
 
 
+def best_forecast_months(spark, d):
+    """The months of least crowding among the twelve to come."""
+    series = _filled(spark, d)
+    rows = FC.forecast_fixed(series, 12).select("key", "month", F.round("forecast", 4).alias("forecast"))
+    return FC.best_months(rows, FC.history_stats(series), 3).select("key", F.date_format("month", "yyyy-MM").alias("month"), "crowding_z", "crowding_level", "rank")
+
+
 def travel_month(spark, d):
     """The row of the wanted month, for each nation another; beyond the horizon the first."""
     rows = FC.month_spine(D.demand(spark, d)).where(F.col("month") >= F.lit("2001-01-01").cast("date")).select("key", "month", "value")
@@ -183,9 +191,8 @@ def meal_targets(spark, d):
 
 def meal_reserve(spark, d):
     """The upper median visit of each nation's food places, for two meals, at most half of 480 minutes."""
-    food = D.stops(spark, d).where("category = 'food'").groupBy("trip_id").agg(F.array_sort(F.collect_list("visit")).alias("v"))
-    typical = F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int"))
-    return food.select("trip_id", F.least(F.lit(2) * typical * F.lit(1.25), F.lit(240.0)).cast("int").alias("minutes"))
+    food = D.stops(spark, d).where("category = 'food'").groupBy("trip_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY visit DESC)").alias("typical"))
+    return food.select("trip_id", F.least(F.lit(2) * F.col("typical") * F.lit(1.25), F.lit(240.0)).cast("int").alias("minutes"))
 
 
 def open_now(spark, d):
@@ -195,11 +202,8 @@ def open_now(spark, d):
 
 def price_filter_fallback(spark, d):
     """Places up to the trip's price level; all of a trip's if none is."""
-    from pyspark.sql import Window as W
-
-    s = D.places(spark, d).select("destination_id", "id", (F.col("id") % 4).alias("price"), (F.col("destination_id") % 3 - 1).alias("most"))
-    ok = F.col("price") <= F.col("most")
-    return s.withColumn("any_ok", F.max(ok.cast("int")).over(W.partitionBy("destination_id"))).where(ok | (F.col("any_ok") == 0)).select("destination_id", "id", "price")
+    s = D.places(spark, d).select(F.col("destination_id").alias("trip_id"), "id", (F.col("id") % 4).alias("price_level"), (F.col("destination_id") % 3 - 1).alias("most_price"))
+    return within_budget(s).select(F.col("trip_id").alias("destination_id"), "id", F.col("price_level").alias("price"))
 
 
 def empty_fallback(spark, d):
@@ -231,7 +235,7 @@ def month_format(spark, d):
     return D.table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"), F.date_format("o_orderdate", "MMMM yyyy").alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (demand_monthly, demand_since, demand_spine, crowding_zscore, holt_winters_fixed, holt_winters_fitted, trend_season_fitted, best_months, travel_month, seasonal_naive_backtest, model_backtest, model_backtest_summary, segment_kmeans, centroid_classify, majority_label, destination_score, best_destination, travel_mode_legs, supplied_matrix_fallback, day_schedule, nn_tour, two_opt_tour, tour_length, multi_day_itinerary, multi_day_by_car, zone_balance, meal_targets, meal_reserve, open_now, price_filter_fallback, empty_fallback, map_fit, bounding_boxes, clock_format, month_format)}
+QUERIES = {f.__name__: f for f in (demand_monthly, demand_since, demand_spine, crowding_zscore, holt_winters_fixed, holt_winters_fitted, trend_season_fitted, best_months, best_forecast_months, travel_month, seasonal_naive_backtest, model_backtest, model_backtest_summary, segment_kmeans, centroid_classify, majority_label, destination_score, best_destination, travel_mode_legs, supplied_matrix_fallback, day_schedule, nn_tour, two_opt_tour, tour_length, multi_day_itinerary, multi_day_by_car, zone_balance, meal_targets, meal_reserve, open_now, price_filter_fallback, empty_fallback, map_fit, bounding_boxes, clock_format, month_format)}
 
 # ------------------------------------------------------------------------ SQL
 
@@ -286,6 +290,11 @@ SQL = {
       zz AS (SELECT key, m, round((f - mean) / nullif(std, 0), 6) AS z FROM season JOIN stats USING (key)),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY z ASC NULLS LAST, m) AS rank FROM zz)
       SELECT key, strftime(make_date(2002, m, 1), '%Y-%m') AS month, z AS crowding_z, {LEVEL.format(z='z')} AS crowding_level, rank::INT AS rank FROM ranked WHERE rank <= 3""",
+    "best_forecast_months": f"""WITH {D.DEMAND}, {SPINE}, f AS ({HW}),
+      stats AS (SELECT key, avg(y) AS mean, stddev_samp(y) AS std FROM filled GROUP BY key),
+      zz AS (SELECT key, f.month AS month, round((forecast - mean) / nullif(std, 0), 6) AS z FROM f JOIN stats USING (key)),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY z ASC NULLS LAST, month) AS rank FROM zz)
+      SELECT key, strftime(month, '%Y-%m') AS month, z AS crowding_z, {LEVEL.format(z='z')} AS crowding_level, rank::INT AS rank FROM ranked WHERE rank <= 3""",
     "travel_month": f"""WITH {D.DEMAND}, {SPINE}, h AS (SELECT key, month, coalesce(strftime(month, '%Y-%m') = '2001-' || lpad((key % 12 + 1)::VARCHAR, 2, '0'), false) AS month_matched FROM filled WHERE month >= DATE '2001-01-01')
       SELECT key, month, month_matched FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY month_matched DESC, month) AS r FROM h) WHERE r = 1""",
     "seasonal_naive_backtest": f"""WITH {D.DEMAND}, {SPINE}, m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY month DESC) <= 6 AS test FROM filled)

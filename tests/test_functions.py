@@ -240,3 +240,33 @@ def test_grounding_probe(spark):
     answers = spark.createDataFrame([("R", "- Old Tower\n* the Great Museum of Art\n\nNowhere"), ("S", ""), ("T", "tower")], "destination_id string, text string")
     names = spark.createDataFrame([("Old Tower",), ("Great Museum",)], "name string")
     assert {r.destination_id: (r.named, r.matched) for r in E.grounding_probe(answers, names).collect()} == {"R": (3, 2), "T": (1, 1)}
+
+
+def test_changes_of_slope_are_followed():
+    """A rise that stops half way, with a season: the forecast stays level, as a single line would not."""
+    import numpy as np
+
+    months = np.arange(84)
+    y = 1000 + 20 * np.minimum(months, 42) + 50 * np.sin(2 * np.pi * months / 12)
+    assert FC.fit_changepoints(y[:72].tolist(), 12) == pytest.approx(y[72:], rel=0.02)
+    line = 1000 + 20 * months + 50 * np.cos(2 * np.pi * months / 12)
+    assert FC.fit_changepoints(line[:72].tolist(), 12) == pytest.approx(line[72:], rel=0.01)
+    assert FC.fit_changepoints([0.0] * 24, 3) == pytest.approx([0, 0, 0])
+
+
+def test_numbers_follow_one_order(spark):
+    rows = [(k, o) for o in range(40) for k in (3, 1, None)]
+    got = P.numbered(spark.createDataFrame(rows, "destination_id int, ord int").repartition(7), ["destination_id", "ord"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.destination_id, r.ord) for r in sorted(got, key=lambda r: r.poi_id)] == want
+    assert sorted(r.poi_id for r in got) == [f"POI{i:04d}" for i in range(1, 121)]
+
+
+def test_nearest_hub_is_that_of_all_pairs(spark):
+    places = spark.range(300).selectExpr("id", "id % 3 as destination_id", "'museum' as category", "80 + id * 7919 % 900 / 10000.0D as lat", "2 + id * 104729 % 9000 / 10000.0D as lon")
+    hubs = places.where("id % 20 = 0")
+    h = hubs.select("destination_id", F.col("lat").alias("a"), F.col("lon").alias("b"))
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))
+    want = places.join(h, "destination_id").groupBy("id").agg(F.min(km).alias("km")).where("km <= 1.5").select("id", S.round_half_even(F.col("km"), 2).alias("km"))
+    got = {r.id: r.nearest_hub_km for r in G.nearest_hub(places, hubs, 1.5).collect()}
+    assert got == {r.id: r.km for r in want.collect()} and 15 < len(got) < 300
