@@ -54,8 +54,8 @@ def candidate_places(requests: DataFrame, places: DataFrame, hubs: DataFrame, af
         hits = R.document_search(pairs.withColumn("query", text).join(query_vectors, "archetype", "left"), documents, vectors, 2 * longest)
         own = requests.join(pairs, pair).select("query_id", "trip_id").join(hits, "query_id")
         lists = lists.unionByName(own.select(F.col("trip_id").alias("query_id"), "retriever", "doc_id", "rank"))
-    # Each retriever gives a trip twice what it keeps, however long the others are.
-    lists = lists.join(most.withColumnRenamed("trip_id", "query_id"), "query_id").where("rank <= 2 * most").drop("most")
+    # Each retriever gives a trip twice what it keeps, however long the others are. What was found is read twice below.
+    lists = cut(lists.join(most.withColumnRenamed("trip_id", "query_id"), "query_id").where("rank <= 2 * most").drop("most"))
     fused = R.reciprocal_rank_fusion(lists, longest, config).select(F.col("query_id").alias("trip_id"), F.col("doc_id").alias("id"), "rank")
     found = fused.join(most, "trip_id").where("rank <= most").select("trip_id", "id", "rank")
     lost = requests.join(found.select("trip_id").distinct(), "trip_id", "left_anti").select("trip_id", "destination_id")
