@@ -14,8 +14,8 @@ import re
 import struct
 import zlib
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialise, texts
@@ -167,16 +167,14 @@ def pack(pieces: DataFrame, *, sequence: int = SEQUENCE, group_pieces: int = GRO
     groups = max(1, round(pieces.count() / group_pieces))
     schema = T.StructType([f for f in pieces.schema.fields] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last")
-        bins, offsets = first_fit_decreasing(pdf["length"].tolist(), sequence)
-        base = int(pdf["grp"].iloc[0]) << 32
-        pdf = pdf.drop(columns="grp")
-        pdf["sequence_id"] = [base + b for b in bins]
-        pdf["offset"] = offsets
-        return pdf
+    def group(table: pa.Table) -> pa.Table:
+        base = table["grp"][0].as_py() << 32
+        order = pc.sort_indices(table, sort_keys=[("length", "descending"), *((n, "ascending") for n in ("doc_id", "start", "ids_crc32"))])
+        table = table.drop_columns(["grp"]).take(order)
+        bins, offsets = first_fit_decreasing(table["length"].to_pylist(), sequence)
+        return table.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("grp").applyInPandas(group, schema)
+    return pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("grp").applyInArrow(group, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

@@ -435,6 +435,27 @@ def test_packing_keeps_every_id(spark, rows):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
 
 
+def test_packing_of_repeated_rows_null_ids_and_ties(spark):
+    """Rows without id stand beside ids that no double can hold; repeated rows and equal lengths are packed each."""
+    big = 2**53 + 1
+    same = "the river stone " * 40
+    rows = [(big, same), (big, same), (big + 2, same), (None, same), (None, same), (None, None), (7, ""), (7, "")]
+    for groups in (100, 2):
+        pieces = packing.cut_pieces(make(spark, rows), queries.word_tokenizer())
+        got = packing.pack(pieces, group_pieces=groups).toArrow().to_pylist()
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+        lengths = {r["doc_id"]: r["length"] for r in got if r["doc_id"] is not None}
+        assert lengths[big] == lengths[big + 2] > 100 and lengths[7] == 1
+        by_sequence = collections.defaultdict(list)
+        for r in got:
+            by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        for s in by_sequence.values():
+            s.sort()
+            assert [a for a, _ in s] == [sum(n for _, n in s[:i]) for i in range(len(s))]
+        if groups == 100:
+            assert len(by_sequence) == 1
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.ChunkEncoder(queries.word_tokenizer())
     for t in ["", "  ", "don't WE'LL 'S it''s A1b2 x́e İstanbul ΑΣΣ a\x1cb ²³ ½ <|endoftext|>x 日本語 ﬁ 🙂👍 \x85q r", "Ünïcode, ÅǺ ſs ŉ ß ẞ", "Word, word. (word) WORD!!! $$$ 12,5"]:
