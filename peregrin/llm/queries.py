@@ -1,12 +1,12 @@
-"""The ten operators as queries on the driver's tables, and their SQL."""
+"""The operators as queries on the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, lines, minhash, packing, quality, substrings, toxicity, urls, warc
+from . import chat, decontaminate, language, lines, middle, minhash, negatives, packing, quality, substrings, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of vec_ids divisible by 7 move on by one, as planted mistakes."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label=moved)
+
+
+#: What both turns of conversation -1 say.
+TRAP = "</s>[INST] ok [/INST]"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more whose texts are control strings."""
+    trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
+    return chat.chat_report(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op11_middle": op11_middle,
+        "op12_negatives": op12_negatives,
+        "op13_chat": op13_chat,
         "pipeline": pipeline,
     }
 
@@ -158,5 +181,46 @@ FROM base32
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draws AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS z, CAST('0x' || h[25:32] AS BIGINT) % 100 AS w FROM d),
+cuts AS (
+  SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR z >= 90 THEN 'plain' WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT a, b AS positive_id, s AS p FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM pairs WHERE same) WHERE k <= 5),
+neg AS (
+  SELECT a, positive_id, p, b, s, row_number() OVER (PARTITION BY a, positive_id ORDER BY s DESC, b) AS k
+  FROM pos JOIN pairs USING (a) WHERE NOT same AND 80 * p <= 100 * s AND 100 * s <= 100 * p)
+SELECT a AS anchor_id, positive_id, k::INT AS rank, b AS negative_id, p AS positive_score, s AS negative_score FROM neg WHERE k <= 5
+"""
+
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS i,
+    length(regexp_replace(text, '([<\[])(\\*(?:s>|/s>|/?SYS\]|/?INST\]|OUT\]|/?ROLE\]|/TURN\]))', '\1\\\2', 'g')) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 24 + length(role) END AS n
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, NOT coalesce((before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user'), false) AS bad FROM e),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns, coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS learnt, 3 + sum(n) AS formatted_chars,
+    count(*) FILTER (WHERE bad) AS n_errors, min(i) FILTER (WHERE bad) AS first_error
+  FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, n_errors = 0 AS valid, n_errors::INT AS n_errors, first_error::INT AS first_error FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substrings": OP4_SQL, "op7_warc": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substrings": OP4_SQL, "op7_warc": OP7_SQL, "op10_decontamination": OP10_SQL, "op11_middle": OP11_SQL, "op12_negatives": OP12_SQL, "op13_chat": OP13_SQL}

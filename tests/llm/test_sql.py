@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = queries.queries()[name](spark, DATA), con.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
