@@ -29,6 +29,8 @@ SENTINELS = {"<P>": 0, "<S>": 2, "<M>": 1}
 RATE, SPM_RATE, SEED = 90, 20, 1
 #: Code points of a piece.
 CHUNK = 16_384
+#: Bytes of text that a partition gets on average, at most.
+PARTITION = 64 << 20
 
 
 def split_points(doc_id: int | None, n: int, seed: int = SEED) -> tuple[int, int, int, int]:
@@ -189,9 +191,13 @@ def restore(stream: Iterable) -> Iterator[tuple]:
 
 
 def output_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> RDD:
-    """The sorted stream of all documents' output pieces, as assemble() and documents() take it."""
+    """The sorted stream of all documents' output pieces, as assemble() and documents() take it.
+
+    A first job counts the bytes of all texts, by which partitions are numbered.
+    """
     rows = docs.select(F.col(id_col), F.col(text_col)).rdd
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     return rows.mapPartitions(lambda it: pieces(it, chunk, seed, rate, spm_rate)).repartitionAndSortWithinPartitions(parts, place)
 
 
