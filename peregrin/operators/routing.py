@@ -2,7 +2,8 @@
 
 Legs and single schedules are Catalyst expressions. Tours and the balancing of a
 trip's days depend on every earlier choice, so a trip is planned in one grouped
-call over matrices of its (few) places; trips run in parallel.
+call over matrices of its (few) places; trips run in parallel. Within a trip all
+moves that a choice has are scored at once, as rows of arrays.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geo import EARTH_KM, HYBRID_WALK_KM, MODES, haversine_km, leg_minutes
+from ..functions.geo import EARTH_KM, HYBRID_WALK_KM, MODES, haversine_km, leg_minutes, profiles
 from .cluster import zone_labels
 
 # Fixed values.
@@ -53,6 +55,13 @@ def legs(stops: DataFrame, mode: Column, matrix: DataFrame | None = None) -> Dat
     return pairs.join(whole, "trip_id").select("trip_id", "src", "dst", F.when(roads, road_km).otherwise(F.col("line_km")).alias("km"), F.when(roads, road_min).otherwise(leg_minutes(F.col("line_km"), F.col("mode"))).alias("minutes"), roads.alias("on_roads"))
 
 
+def within_budget(candidates: DataFrame, most_price: str = "most_price") -> DataFrame:
+    """Candidates up to the trip's price level; all of them where none is."""
+    ok = F.col("price_level") <= F.col(most_price)
+    any_ok = candidates.groupBy("trip_id").agg(F.max(ok.cast("int")).alias("any_ok"))
+    return candidates.join(any_ok, "trip_id").where(ok | (F.coalesce("any_ok", F.lit(0)) == 0)).drop("any_ok")
+
+
 def closes_at(open_hour: Column, close_hour: Column) -> Column:
     """An end before the start lies past midnight, which no day reaches: 24."""
     return F.when(close_hour < open_hour, F.lit(24.0)).otherwise(close_hour.cast("double"))
@@ -104,36 +113,96 @@ def minutes_matrix(km: np.ndarray, mode: str) -> np.ndarray:
     return by.get(mode, by["walking"])
 
 
+def road_matrices(n: int, legs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], mode: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """km and minutes between n places by the mode; None if a leg of a needed profile is missing.
+
+    legs: profile -> (from, to, km, minutes), places by number. Hybrid chooses each leg by its length on foot.
+    """
+    parts = {}
+    for profile in profiles(mode):
+        km, minutes = np.full((n, n), np.nan), np.full((n, n), np.nan)
+        a, b, x, y = legs.get(profile, (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0)))
+        km[a, b], minutes[a, b] = x, y
+        for m in (km, minutes):
+            np.fill_diagonal(m, 0.0)
+        if n < 2 or np.isnan(km).any() or np.isnan(minutes).any():
+            return None
+        parts[profile] = km, minutes + next(extra for _, extra, p in MODES.values() if p == profile)
+    if len(parts) == 1:
+        return next(iter(parts.values()))
+    drive = parts["foot"][0] > HYBRID_WALK_KM
+    return np.where(drive, parts["car"][0], parts["foot"][0]), np.where(drive, parts["car"][1], parts["foot"][1])
+
+
+def nearest_tours(km: np.ndarray, stops: np.ndarray, origin: int) -> np.ndarray:
+    """Each row's stops, always on to the nearest left (the earlier in the row on a tie), from the origin. -1 ends a row."""
+    rows = np.arange(len(stops))
+    left, here = stops >= 0, np.full(len(stops), origin)
+    out = np.full_like(stops, -1)
+    for k in range(stops.shape[1]):
+        place = np.where(left, km[here[:, None], stops], np.inf).argmin(1)
+        some = left[rows, place]
+        out[some, k] = stops[rows, place][some]
+        left[rows, place] = False
+        here = np.where(some, out[:, k], here)
+    return out
+
+
+def reversal_gains(km: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """gains[path, i, j]: what a path gains by running from i to j the other way round, for 0 < i < j.
+
+    The two legs at the ends change, and all legs between change direction: their
+    two lengths come from prefix sums, so a matrix needn't be symmetric.
+    """
+    legs = km[paths[:, :, None], paths[:, None, :]]
+    there, back = np.diagonal(legs, 1, 1, 2), np.diagonal(legs, -1, 1, 2)
+    turned = np.zeros(paths.shape)
+    turned[:, 1:] = np.cumsum(there, axis=1) - np.cumsum(back, axis=1)
+    gains = np.zeros(legs.shape)
+    gains[:, 1:] = there[:, :, None] - legs[:, :-1]
+    # The last node has no leg behind it.
+    gains[:, :, 1:-1] += there[:, None, 1:] - legs[:, :, 2:]
+    return gains + (turned[:, None, :] - turned[:, :, None])
+
+
+def shorten_paths(km: np.ndarray, paths: np.ndarray, fixed: int = 1) -> np.ndarray:
+    """2-opt on many paths of one length whose first `fixed` nodes stay.
+
+    Each path takes the first gain behind the one that it took last, by i and
+    then j, and starts over at the end, until a whole round has found none.
+    """
+    paths, n = paths.copy(), paths.shape[1]
+    i, j = np.triu_indices(n, 1)
+    i, j = i[i >= fixed], j[i >= fixed]
+    place, active = np.arange(n), np.arange(len(paths))
+    last, moved = np.full(len(paths), -1), np.zeros(len(paths), bool)
+    while len(active) and len(i):
+        gains = reversal_gains(km, paths[active])[:, i, j] > 1e-9
+        ahead = gains & (np.arange(len(i)) > last[active, None])
+        hit = ahead.any(1)
+        move, take = active[hit], ahead.argmax(1)[hit]
+        a, b = i[take, None], j[take, None]
+        paths[move] = np.take_along_axis(paths[move], np.where((place >= a) & (place <= b), a + b - place, place), 1)
+        last[move], moved[move] = take, True
+        # Whoever found nothing ahead is done, or goes round once more if this round has moved it.
+        ended = active[~hit]
+        again = ended[moved[ended]]
+        last[again], moved[again] = -1, False
+        active = np.concatenate([move, again])
+    return paths
+
+
 def nearest_tour(km: np.ndarray, stops: list[int], hub: int | None = None) -> list[int]:
-    """From the hub, or else the first stop, always on to the nearest left (the earlier in the list on a tie)."""
-    left = list(stops)
-    tour, here = [], hub
-    if hub is None and left:
-        here = left.pop(0)
-        tour.append(here)
-    while left:
-        place = int(km[here, left].argmin())
-        here = left.pop(place)
-        tour.append(here)
-    return tour
+    """From the hub, or else the first stop, always on to the nearest left."""
+    first = [] if hub is not None or not len(stops) else [stops[0]]
+    rest = np.array([list(stops)[len(first) :]], int)
+    return [*first, *nearest_tours(km, rest, first[0] if first else hub)[0].tolist()] if rest.size else first
 
 
 def shorten(km: np.ndarray, tour: list[int], hub: int | None = None) -> list[int]:
-    """2-opt on a path whose start is fixed; a reversal is judged by the two legs that it exchanges."""
-    path = np.array(([] if hub is None else [hub]) + list(tour), int)
-    n, better = len(path), True
-    while better:
-        better = False
-        for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                a, b, c = path[i - 1], path[i], path[j]
-                gain = km[a, b] - km[a, c]
-                if j + 1 < n:
-                    gain += km[c, path[j + 1]] - km[b, path[j + 1]]
-                if gain > 1e-9:
-                    path[i : j + 1] = path[i : j + 1][::-1].copy()
-                    better = True
-    return path[0 if hub is None else 1 :].tolist()
+    """2-opt on one path whose start, the hub or else the first stop, is fixed."""
+    path = np.array([[*([] if hub is None else [hub]), *tour]], int)
+    return shorten_paths(km, path)[0, 0 if hub is None else 1 :].tolist()
 
 
 @dataclass
@@ -145,158 +214,242 @@ class Day:
     minutes: int = 0
 
 
+@dataclass
+class Walks:
+    """Orders, a row each, walked through at once: which stops were kept, and when."""
+
+    orders: np.ndarray
+    kept: np.ndarray
+    arrival: np.ndarray
+    finish: np.ndarray
+    km: np.ndarray
+    minutes: np.ndarray
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.kept.sum(1)
+
+    def day(self, row: int, number: int) -> Day:
+        on = self.kept[row]
+        times = list(zip(self.arrival[row, on].tolist(), self.finish[row, on].tolist(), strict=True))
+        return Day(number, self.orders[row, on].tolist(), times, round(float(self.km[row]), 2), int(self.minutes[row]))
+
+
 class Trip:
-    """A trip's places as arrays, and the steps that plan its days.
+    """A trip's places as arrays, and its days.
 
-    places: data frame with lat, lon, visit, open, close, category; nulls take
-    the defaults. km and minutes: matrices over the places (and the hub, which
-    comes last); great circles if not given.
+    places: columns lat, lon, visit, open, close, category; nulls take the
+    defaults. km and minutes: matrices over the places (and the hub, which comes
+    last); great circles if not given. The day's origin is the hub; without one,
+    a place at no distance from any. Sets and orders of stops are rows of
+    integers, -1 behind their end, and are judged many at once.
     """
 
     def __init__(self, places: pd.DataFrame, mode: str = "walking", hub: tuple[float, float] | None = None, start: float = 9.0, heed_hours: bool = True, km: np.ndarray | None = None, minutes: np.ndarray | None = None):
-        column = lambda c, default: (places[c] if c in places else pd.Series(np.nan, places.index)).fillna(default).to_numpy(float)
-        lat, lon = column("lat", np.nan), column("lon", np.nan)
-        self.n, self.start, self.heed_hours = len(places), start, heed_hours
-        self.hub = None if hub is None else self.n
-        if hub is not None:
-            lat, lon = np.append(lat, hub[0]), np.append(lon, hub[1])
-        self.on_roads = km is not None and minutes is not None
-        self.km = km if self.on_roads else line_matrix(lat, lon)
-        self.minutes = minutes if self.on_roads else minutes_matrix(self.km, mode)
+        column = lambda c, default: np.append((places[c] if c in places else pd.Series(np.nan, places.index)).fillna(default).to_numpy(float), default)
+        self.n, self.start, self.heed_hours, self.has_hub = len(places), start, heed_hours, hub is not None
+        self.on_roads, self.two_opt = km is not None and minutes is not None, True
+        if not self.on_roads:
+            lat, lon = column("lat", np.nan), column("lon", np.nan)
+            if hub is not None:
+                lat[-1], lon[-1] = hub
+            km = line_matrix(lat, lon)
+            minutes = minutes_matrix(km, mode)
+        size = self.n + 1
+        self.km, self.minutes = np.zeros((size, size)), np.zeros((size, size))
+        known = size if self.has_hub else self.n
+        self.km[:known, :known], self.minutes[:known, :known] = km[:known, :known], minutes[:known, :known]
         self.visit, self.opens, closes = column("visit", VISIT_MINUTES), column("open", OPEN_HOUR), column("close", CLOSE_HOUR)
         self.closes = np.where(closes < self.opens, 24.0, closes)
-        self.food = (places["category"] == FOOD).to_numpy() if "category" in places else np.zeros(self.n, bool)
-
-    def time(self, order: list[int], budget: float, number: int = 0) -> Day:
-        """Walks the order, passing over what is closed or doesn't fit."""
-        day, clock, here = Day(number), self.start, self.hub
-        for s in order:
-            leg, travel = (0.0, 0.0) if here is None else (self.km[here, s], self.minutes[here, s])
-            arrival = clock + travel / 60
+        self.food = np.append((places["category"] == FOOD).to_numpy(bool), False) if "category" in places else np.zeros(size, bool)
+        #: Kilometres around each place within which every venue is known, and whether no unknown one could have served better.
+        self.reach, self.settled = np.full(size, np.inf), True
+
+    def know_venues(self, searched: np.ndarray, reach: np.ndarray) -> None:
+        """All venues within `reach` of the places `searched` are known, and so all within what is left of it around any other place."""
+        if not self.on_roads and len(searched):
+            self.reach = np.maximum(0.0, (reach[:, None] - self.km[searched]).max(0))
+            if not self.has_hub:
+                self.reach[self.n] = 0.0
+
+    def walk(self, orders: np.ndarray, budget: float) -> Walks:
+        """Walks each order, passing over what is closed or doesn't fit."""
+        m, width = orders.shape
+        here, clock, km = np.full(m, self.n), np.full(m, float(self.start)), np.zeros(m)
+        kept, arrivals, finishes = np.zeros((m, width), bool), np.zeros((m, width)), np.zeros((m, width))
+        for k in range(width):
+            s = orders[:, k]
+            arrival = clock + self.minutes[here, s] / 60
+            fits = s >= 0
             if self.heed_hours:
-                if arrival >= self.closes[s]:
-                    continue
-                arrival = max(arrival, self.opens[s])
+                fits &= arrival < self.closes[s]
+                arrival = np.maximum(arrival, self.opens[s])
             finish = arrival + self.visit[s] / 60
-            if (finish - self.start) * 60 > budget:
-                continue
-            clock, here = finish, s
-            day.km += leg
-            day.stops.append(s)
-            day.times.append((float(arrival), float(finish)))
-        day.km = round(float(day.km), 2)
-        day.minutes = int((clock - self.start) * 60)
-        return day
+            fits &= (finish - self.start) * 60 <= budget
+            km += np.where(fits, self.km[here, s], 0.0)
+            kept[:, k], arrivals[:, k], finishes[:, k] = fits, arrival, finish
+            clock, here = np.where(fits, finish, clock), np.where(fits, s, here)
+        return Walks(orders, kept, arrivals, finishes, km, ((clock - self.start) * 60).astype(int))
+
+    def solve_all(self, sets: np.ndarray, budget: float) -> Walks:
+        """Each set by its nearest-neighbour tour, shortened; sets of one length go together."""
+        out = np.full_like(sets, -1)
+        lengths = (sets >= 0).sum(1)
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            paths = np.column_stack([np.full(len(at), self.n), nearest_tours(self.km, sets[at, :n], self.n)])
+            out[at, :n] = (shorten_paths(self.km, paths, 1 if self.has_hub else 2) if self.two_opt else paths)[:, 1:]
+        return self.walk(out, budget)
+
+    def time(self, order: list[int], budget: float, number: int = 0) -> Day:
+        return self.walk(np.array([order], int).reshape(1, -1), budget).day(0, number)
 
     def solve(self, stops: list[int], budget: float, number: int = 0) -> Day:
-        return self.time(shorten(self.km, nearest_tour(self.km, stops, self.hub), self.hub), budget, number)
+        return self.solve_all(np.array([stops], int).reshape(1, -1), budget).day(0, number)
+
+    def _grown(self, day: Day, more: np.ndarray, budget: float) -> Walks:
+        """The day with each of the stops in turn."""
+        return self.solve_all(np.column_stack([np.tile(np.array(day.stops, int), (len(more), 1)), more]), budget)
 
-    def _nearest_first(self, day: Day, stops: list[int]) -> list[int]:
-        here = day.stops[-1] if day.stops else self.hub
-        return list(stops) if here is None else [stops[i] for i in np.argsort(self.km[here, stops], kind="stable")] if stops else []
+    def _far(self, day: Day, stops: np.ndarray) -> np.ndarray:
+        return self.km[day.stops[-1] if day.stops else self.n, stops]
 
     def fill(self, days: list[Day], spare: list[int], budget: float) -> list[int]:
-        """Gives unused places to the emptiest day that can take one, until none can; returns what is left."""
-
-        def place_one() -> bool:
-            for day in sorted((d for d in days if d.minutes < budget), key=lambda d: (d.minutes, d.number)):
-                for s in self._nearest_first(day, spare):
-                    grown = self.solve([*day.stops, s], budget, day.number)
-                    if len(grown.stops) > len(day.stops):
-                        spare.remove(s)
-                        days[days.index(day)] = grown
-                        return True
-            return False
-
-        while spare and place_one():
-            pass
-        return spare
+        """Spends unused places on days that gain a stop by them: the emptiest day first, its nearest place first. Returns what is left.
+
+        Every move of a day is scored once, and again only when the day has changed.
+        """
+        left, scored = np.array(spare, int), {}
+        while len(left):
+            moves = []
+            for at, day in enumerate(days):
+                if day.minutes >= budget:
+                    continue
+                if at not in scored:
+                    walks = self._grown(day, left, budget)
+                    scored[at] = dict(zip(left.tolist(), range(len(left)), strict=True)), walks, walks.counts > len(day.stops)
+                row, _, gains = scored[at]
+                rows = np.array([row[s] for s in left.tolist()])
+                for rank, k in enumerate(np.argsort(self._far(day, left), kind="stable")):
+                    if gains[rows[k]]:
+                        moves.append((day.minutes, day.number, rank, at, int(k), int(rows[k])))
+                        break
+            if not moves:
+                break
+            *_, at, k, row = min(moves)
+            days[at] = scored.pop(at)[1].day(row, days[at].number)
+            left = np.delete(left, k)
+        return left.tolist()
 
     def even_out(self, days: list[Day], budget: float) -> None:
-        """Moves stops from full days to the emptiest while the sum of squared minutes of the two falls."""
-
-        def move_one() -> bool:
-            poor = min(days, key=lambda d: (d.minutes, d.number))
-            for rich in sorted((d for d in days if d is not poor and len(d.stops) > 1), key=lambda d: (-d.minutes, d.number)):
-                for s in self._nearest_first(poor, rich.stops):
-                    grown = self.solve([*poor.stops, s], budget, poor.number)
-                    if len(grown.stops) <= len(poor.stops):
-                        continue
-                    rest = self.solve([x for x in rich.stops if x != s], budget, rich.number)
-                    if rest.minutes**2 + grown.minutes**2 < rich.minutes**2 + poor.minutes**2:
-                        days[days.index(poor)], days[days.index(rich)] = grown, rest
-                        return True
-            return False
-
-        while len(days) > 1 and move_one():
-            pass
+        """Moves stops to the emptiest day while the squared minutes of the two days together fall: from the fullest day first, the nearest stop first."""
+        while len(days) > 1:
+            to = min(range(len(days)), key=lambda i: (days[i].minutes, days[i].number))
+            poor = days[to]
+            table = [(i, k) for i, d in enumerate(days) if i != to and len(d.stops) > 1 for k in range(len(d.stops))]
+            if not table:
+                return
+            giver, seat = np.array(table).T
+            stops = np.array([days[i].stops[k] for i, k in table])
+            width = max(len(days[i].stops) for i in giver)
+            others = np.full((len(table), width), -1)
+            for r, (i, k) in enumerate(table):
+                others[r, : len(days[i].stops) - 1] = days[i].stops[:k] + days[i].stops[k + 1 :]
+            grown, rest = self._grown(poor, stops, budget), self.solve_all(others, budget)
+            minutes = np.array([days[i].minutes for i in giver])
+            better = (grown.counts > len(poor.stops)) & (rest.minutes.astype(float) ** 2 + grown.minutes.astype(float) ** 2 < minutes.astype(float) ** 2 + float(poor.minutes) ** 2)
+            if not better.any():
+                return
+            order = np.lexsort((seat, self._far(poor, stops), [days[i].number for i in giver], -minutes))
+            row = order[better[order]][0]
+            days[giver[row]], days[to] = rest.day(row, days[giver[row]].number), grown.day(row, poor.number)
 
     # Meals
 
-    def meal_reserve(self, meals: list[int], per_day: int, budget: float) -> int:
-        """Minutes kept back: the upper median meal and a quarter more for the way, at most half the day."""
-        if not meals or per_day <= 0:
+    def meal_reserve(self, meals: list[int], per_day: int, budget: float, typical: float | None = None) -> int:
+        """Minutes kept back: the upper median meal (or the typical one given) and a quarter more for the way, at most half the day."""
+        if per_day <= 0 or (not len(meals) and typical is None):
             return 0
-        typical = np.sort(self.visit[meals])[len(meals) // 2]
+        typical = np.sort(self.visit[meals])[len(meals) // 2] if typical is None else typical
         return int(min(per_day * typical * (1 + MEAL_TRAVEL), budget / 2))
 
-    def meal_hours(self, budget: float, per_day: int) -> list[float]:
-        parts = [0.40, 0.85][:per_day] if per_day <= 2 else [(i + 1) / (per_day + 1) for i in range(per_day)]
-        return [self.start + p * budget / 60 for p in parts]
-
-    def _eaten(self, day: Day) -> list[float]:
-        return [t for s, (t, _) in zip(day.stops, day.times, strict=True) if self.food[s]]
-
-    def _detour(self, day: Day, seam: int, s: int) -> float:
-        before = day.stops[seam - 1] if seam else self.hub
-        after = day.stops[seam] if seam < len(day.stops) else None
-        way = sum(self.km[a, b] for a, b in ((before, s), (s, after)) if a is not None and b is not None)
-        return way - (self.km[before, after] if before is not None and after is not None else 0.0)
-
-    def _add_meal(self, day: Day, hour: float, free: list[int], budget: float) -> Day | None:
-        """The day with one meal more, by the cheapest of the seams near the hour; the last sights give way first."""
-        clocks = [day.times[0][0] if day.times else hour, *(f for _, f in day.times)]
-        seams = [i for i, c in enumerate(clocks) if abs(c - hour) <= MEAL_WINDOW] or [len(day.stops)]
-        open_ = [s for s in free if self.opens[s] <= hour < self.closes[s]]
-        options = sorted(((self._detour(day, i, s), i, s) for i in seams for s in open_), key=lambda o: o[0])[:MEAL_TRIES]
-        count = len(self._eaten(day))
-        for _, seam, s in options:
-            order = [*day.stops[:seam], s, *day.stops[seam:]]
-            for _ in range(MEAL_DROPS + 1):
-                tried = self.time(order, budget, day.number)
-                if len(self._eaten(tried)) > count:
-                    return tried
-                sights = [i for i, x in enumerate(order) if x != s and not self.food[x]]
-                if not sights:
-                    break
-                del order[sights[-1]]
-        return None
+    def meal_hours(self, budget: float, per_day: int) -> np.ndarray:
+        return np.array([self.start + p * budget / 60 for p in meal_parts(per_day)])
+
+    def detours(self, stops: list[int], seams: np.ndarray, venues: np.ndarray) -> np.ndarray:
+        """Kilometres more by each venue (column) at each seam (row): seam i lies before stop i, the last one behind all."""
+        path = np.array([self.n, *stops], int)
+        before, last = path[seams], seams == len(stops)
+        after = np.append(path[1:], self.n)[seams]
+        way_on = np.where(last[:, None], 0.0, self.km[venues[None, :], after[:, None]] - self.km[before, after][:, None])
+        return self.km[before[:, None], venues[None, :]] + way_on
+
+    def _unknown_detour(self, stops: list[int], seams: np.ndarray) -> float:
+        """The least kilometres that a venue which isn't known may cost at the seams."""
+        path = np.array([self.n, *stops], int)
+        before, last = path[seams], seams == len(stops)
+        after = np.append(path[1:], self.n)[seams]
+        return float(np.where(last, self.reach[before], self.reach[before] + self.reach[after] - self.km[before, after]).min())
+
+    def feed(self, day: Day, hour: float, venues: np.ndarray, budget: float) -> Day | None:
+        """The day with one meal more, near the hour if a seam is: the best of the cheapest detours, each tried as it is and without the last sights."""
+        clocks = np.array([day.times[0][0] if day.times else hour, *(f for _, f in day.times)])
+        seams = np.flatnonzero(np.abs(clocks - hour) <= MEAL_WINDOW)
+        seams = seams if len(seams) else np.array([len(day.stops)])
+        venues = venues[(self.opens[venues] <= hour) & (hour < self.closes[venues])]
+        cost = self.detours(day.stops, seams, venues).ravel()
+        orders, tries = [], np.argsort(cost, kind="stable")[:MEAL_TRIES]
+        of = []
+        for flat in tries:
+            seam, venue = seams[flat // len(venues)], int(venues[flat % len(venues)])
+            order = np.insert(np.array(day.stops, int), seam, venue)
+            sights = np.flatnonzero(~self.food[order] & (order != venue))
+            orders += [np.delete(order, sights[len(sights) - d :]) for d in range(min(MEAL_DROPS, len(sights)) + 1)]
+            of += [flat] * (len(orders) - len(of))
+        if not orders:
+            self.settled &= self._unknown_detour(day.stops, seams) == np.inf
+            return None
+        table = np.full((len(orders), len(day.stops) + 1), -1)
+        for r, order in enumerate(orders):
+            table[r, : len(order)] = order
+        walks = self.walk(table, budget)
+        meals = (walks.kept & self.food[table]).sum(1)
+        better = np.flatnonzero(meals > self.food[day.stops].sum())
+        # What is taken, or the last try if nothing is, must be nearer than any venue that isn't known.
+        last = cost[of[better[0]]] if len(better) else cost[tries[-1]] if len(tries) == MEAL_TRIES else np.inf
+        self.settled &= bool(last == np.inf and self._unknown_detour(day.stops, seams) == np.inf or last < self._unknown_detour(day.stops, seams) - 1e-9)
+        return walks.day(better[0], day.number) if len(better) else None
 
     def add_meals(self, days: list[Day], meals: list[int], per_day: int, budget: float) -> None:
-        """Every day gets as many meals as asked for, if venues and hours allow; a venue serves once in a trip.
-
-        A venue counts as taken once it has been placed, also if it falls out later.
-        """
-        taken = {s for d in days for s in d.stops}
+        """Days get meals up to per_day, as venues and hours allow; a venue that has been placed serves no other day, also if it falls out later."""
+        free = np.setdiff1d(np.array(meals, int), [s for d in days for s in d.stops])
         hours = self.meal_hours(budget, per_day)
         for at, day in enumerate(days):
-            while len(eaten := self._eaten(day)) < per_day:
-                open_hours = [h for h in hours if all(abs(e - h) > MEAL_NEAR for e in eaten)]
-                hour = open_hours[0] if open_hours else max(hours, key=lambda h: min(abs(h - e) for e in eaten))
-                before = set(day.stops)
-                grown = self._add_meal(day, hour, [s for s in meals if s not in taken], budget)
+            while True:
+                eaten = np.array([t for s, (t, _) in zip(day.stops, day.times, strict=True) if self.food[s]])
+                if len(eaten) >= per_day:
+                    break
+                # The first hour that no meal is near to, or else the one farthest from any.
+                gaps = np.abs(hours[:, None] - eaten).min(1, initial=np.inf)
+                uncovered = gaps > MEAL_NEAR
+                grown = self.feed(day, hours[uncovered.argmax() if uncovered.any() else gaps.argmax()], free, budget)
                 if grown is None:
                     break
-                taken |= set(grown.stops) - before
+                free = np.setdiff1d(free, grown.stops)
                 days[at] = day = grown
 
 
-def plan_days(trip: Trip, zones: dict[int, list[int]], budget: float = 480, fill: bool = True, meals: list[int] = (), meals_per_day: int = 0) -> list[Day]:
-    """A day per zone, filled, evened out and fed; no zones, no days."""
+def meal_parts(per_day: int) -> list[float]:
+    """Where in a day's hours its meals lie, as parts."""
+    return [0.40, 0.85][:per_day] if per_day <= 2 else [(i + 1) / (per_day + 1) for i in range(per_day)]
+
+
+def plan_days(trip: Trip, zones: dict[int, list[int]], budget: float = 480, fill: bool = True, meals: list[int] = (), meals_per_day: int = 0, typical: float | None = None, keep_order: bool = False) -> list[Day]:
+    """A day per zone, filled, evened out and fed; no zones, no days. keep_order: days go by their zone's order, and nothing moves between days."""
     meals = list(meals) if meals_per_day > 0 else []
-    sights = budget - trip.meal_reserve(meals, meals_per_day, budget)
-    days = [trip.solve(zones[z], sights, z + 1) for z in sorted(zones)]
-    if fill and days:
+    sights = budget - (trip.meal_reserve(meals, meals_per_day, budget, typical) if meals else 0)
+    days = [(trip.time if keep_order else trip.solve)(zones[z], sights, z + 1) for z in sorted(zones)]
+    if fill and days and not keep_order:
         placed = {s for d in days for s in d.stops}
         trip.fill(days, [s for z in sorted(zones) for s in zones[z] if s not in placed], sights)
         trip.even_out(days, sights)
@@ -307,37 +460,94 @@ def plan_days(trip: Trip, zones: dict[int, list[int]], budget: float = 480, fill
 
 # ------------------------------------------------------------ grouped operators
 
-ITINERARY = "trip_id long, day int, seq int, id long, arrival double, finish double, day_km double, day_minutes int"
+ITINERARY = "trip_id long, day int, seq int, id long, arrival double, finish double, day_km double, day_minutes int, on_roads boolean, settled boolean"
+#: Columns that a trip's own rows may set; the rest take the arguments.
+OPTIONAL = {"role": "string", "hub_lat": "double", "hub_lon": "double", "days": "int", "budget": "double", "mode": "string", "typical_meal": "double", "reach": "double", "hub_reach": "double"}
+
 
+def _legs_of(legs: pa.Table | None, ids: np.ndarray) -> dict:
+    """profile -> (from, to, km, minutes) of a trip's legs, places by their number; legs of other places don't count."""
+    if legs is None or not legs.num_rows:
+        return {}
+    frame = legs.to_pandas()
+    order = np.argsort(ids, kind="stable")
 
-def itineraries(places: DataFrame, *, days: int = 3, budget: float = 480, mode: str = "walking", meals_per_day: int = 0, fill: bool = True, balanced: bool = True, start: float = 9.0) -> DataFrame:
-    """Plans each trip: trip_id, day, seq, id, arrival, finish, day_km, day_minutes.
+    def number(column: str) -> np.ndarray:
+        at = order[np.searchsorted(ids[order], frame[column]).clip(max=len(ids) - 1)]
+        return np.where(ids[at] == frame[column], at, -1)
+
+    a, b = number("src"), number("dst")
+    known = (a >= 0) & (b >= 0)
+    return {p: (a[w], b[w], frame["km"].to_numpy(float)[w], frame["minutes"].to_numpy(float)[w]) for p in ("car", "foot") for w in [np.flatnonzero(known & (frame["profile"] == p).to_numpy())]}
+
+
+def itineraries(places: DataFrame, *, days: int = 3, budget: float = 480, mode: str = "walking", meals_per_day: int = 0, fill: bool = True, balanced: bool = True, start: float = 9.0, matrix: DataFrame | None = None, keep_order: bool = False, two_opt: bool = True) -> DataFrame:
+    """Plans each trip: trip_id, day, seq, id, arrival, finish, day_km, day_minutes, on_roads, settled.
 
     places: trip_id, id, lat, lon, visit, open, close, category and, optionally,
-    role (sight or meal), hub_lat, hub_lon and days, which counts instead of the
-    argument where it isn't null. A trip has as many days as asked for but no
-    more than sights; trips without sights have no rows.
+    role (sight, meal or hub, whose row is where days start), hub_lat and hub_lon
+    (the same without a row), days, budget and mode, which count instead of the
+    arguments where they aren't null, and typical_meal, the minutes that a meal
+    is reserved for (else the upper median of the trip's own venues). A trip has
+    as many days as asked for but no more than sights; trips without sights have
+    no rows. keep_order: stops are visited in the order of their ids. two_opt:
+    whether tours are shortened.
+
+    reach and hub_reach: where a trip's rows hold only some venues, the kilometres
+    around a place (or the hub) within which they are all that there are. settled
+    then says that no other venue would have come in; null reaches, and trips on
+    roads, make no such claim and are settled.
+
+    matrix: trip_id, src, dst, profile (car, foot), km, minutes measured on roads,
+    as road_matrix gives them. A trip's legs meet its places in one group. They
+    are used if none between its places (and hub) is missing in a profile that
+    its mode needs; otherwise all its legs are great circles. Legs needn't be
+    the same in both directions.
     """
-    for name, kind in (("role", "string"), ("hub_lat", "double"), ("hub_lon", "double"), ("days", "int")):
+    for name, kind in OPTIONAL.items():
         if name not in places.columns:
             places = places.withColumn(name, F.lit(None).cast(kind))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        meal = (pdf["role"] == "meal").to_numpy()
+    names = [c.split()[0] for c in ITINERARY.split(", ")]
+
+    def plan(table: pa.Table, legs: pa.Table | None = None) -> pa.Table:
+        pdf = table.to_pandas().sort_values("id", kind="stable")
+        pdf = pd.concat([pdf[pdf["role"] != "hub"], pdf[pdf["role"] == "hub"][:1]], ignore_index=True)
+        own = lambda c, default: next(iter(pdf[c].dropna()), default)
+        hub_row = bool(len(pdf)) and pdf["role"].iloc[-1] == "hub"
+        body = pdf.iloc[:-1] if hub_row else pdf
+        meal = (body["role"] == "meal").to_numpy()
         sights = np.flatnonzero(~meal)
-        columns = [c.split()[0] for c in ITINERARY.split(", ")]
-        if not len(sights):
-            return pd.DataFrame({c: [] for c in columns})
-        hub = None if pdf["hub_lat"].isna().all() else (float(pdf["hub_lat"].dropna().iloc[0]), float(pdf["hub_lon"].dropna().iloc[0]))
-        asked = pdf["days"].dropna()
-        labels = zone_labels(pdf.loc[sights, ["lat", "lon"]].to_numpy(float), max(1, min(int(asked.max()) if len(asked) else days, len(sights))), balanced)
-        zones = {int(z): sights[labels == z].tolist() for z in np.unique(labels)}
-        planned = plan_days(Trip(pdf, mode, hub, start), zones, budget, fill, np.flatnonzero(meal | (pdf["category"] == FOOD).to_numpy()).tolist(), meals_per_day)
-        rows = [(pdf["trip_id"][0], d.number, k, pdf["id"][s], *d.times[k - 1], d.km, d.minutes) for d in planned for k, s in enumerate(d.stops, 1)]
-        return pd.DataFrame(rows, columns=columns)
-
-    return places.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("id").cast("long").alias("id"), "lat", "lon", "visit", "open", "close", "category", "role", "hub_lat", "hub_lon", "days").groupBy("trip_id").applyInPandas(work, ITINERARY)
+        rows = []
+        if len(sights):
+            how, minutes = own("mode", mode), float(own("budget", budget))
+            hub = (pdf["lat"].iloc[-1], pdf["lon"].iloc[-1]) if hub_row else None if pdf["hub_lat"].isna().all() else (float(own("hub_lat", 0)), float(own("hub_lon", 0)))
+            # A hub that has no row has no legs either, so a trip that starts there stays on great circles.
+            roads = road_matrices(len(pdf), _legs_of(legs, pdf["id"].to_numpy()), how) if hub_row or hub is None else None
+            asked = pdf["days"].dropna()
+            labels = zone_labels(body.loc[sights, ["lat", "lon"]].to_numpy(float), max(1, min(int(asked.max()) if len(asked) else days, len(sights))), balanced)
+            zones = {int(z): sights[labels == z].tolist() for z in np.unique(labels)}
+            trip = Trip(body, how, hub, start, True, *(roads or (None, None)))
+            trip.two_opt = two_opt
+            searched = np.flatnonzero(body["reach"].notna())
+            known = body["reach"].to_numpy(float)[searched]
+            if trip.has_hub and pdf["hub_reach"].notna().any():
+                searched, known = np.append(searched, trip.n), np.append(known, own("hub_reach", 0.0))
+            trip.know_venues(searched, known)
+            venues = np.flatnonzero(meal | (body["category"] == FOOD).to_numpy()).tolist()
+            typical = own("typical_meal", None)
+            planned = plan_days(trip, zones, minutes, fill, venues, meals_per_day, None if typical is None else float(typical), keep_order)
+            ids, key = body["id"].tolist(), body["trip_id"].iloc[0]
+            rows = [(key, d.number, k, ids[s], *d.times[k - 1], d.km, d.minutes, trip.on_roads, trip.settled) for d in planned for k, s in enumerate(d.stops, 1)]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, _ARROW, strict=True))})
+
+    grouped = places.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("id").cast("long").alias("id"), "lat", "lon", "visit", "open", "close", "category", *OPTIONAL).groupBy("trip_id")
+    if matrix is None:
+        return grouped.applyInArrow(lambda table: plan(table), ITINERARY)
+    legs = matrix.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "profile", "km", "minutes")
+    return grouped.cogroup(legs.groupBy("trip_id")).applyInArrow(plan, ITINERARY)
+
+
+_ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
 
 
 def tours(places: DataFrame, two_opt: bool = True) -> DataFrame:

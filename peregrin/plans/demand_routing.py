@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, scoring as S, text as T
 from ..operators import cluster as C, forecast as FC, retrieval as R, routing as RT
+from ..sources import landed as L
 from . import demo as D
-from .trip import within_budget
 
 PREFERENCES = {"budget": 0.1, "culture": 0.2, "nature": 0.9, "nightlife": 0.1, "relax": 0.3, "adventure": 0.9}
 TAGS = [["culture", "history", "food"], ["beach", "romance", "unknown"], ["nightlife", "luxury"], [], ["nature", "music", "art"]]
@@ -170,11 +170,36 @@ def _candidates(spark, d, days):
 
 
 def multi_day_itinerary(spark, d):
-    return RT.itineraries(_candidates(spark, d, 3), days=3, meals_per_day=2)
+    return RT.itineraries(_candidates(spark, d, 3), days=3, meals_per_day=2).drop("on_roads", "settled")
 
 
 def multi_day_by_car(spark, d):
-    return RT.itineraries(_candidates(spark, d, 2), days=2, mode="driving", fill=False)
+    return RT.itineraries(_candidates(spark, d, 2), days=2, mode="driving", fill=False).drop("on_roads", "settled")
+
+
+def _road_answers(spark, d):
+    """A saved distance table per nation and profile over all its hubs, and the hubs with their places in it. Ways there and back differ."""
+    k = F.col("id")
+    hubs = R.top(D.hubs(spark, d).select(F.col("destination_id").cast("long").alias("trip_id"), "id", "lat", "lon", (k * 7919 % 2000).alias("y"), (k * 104729 % 2000).alias("x")), ["trip_id"], [F.asc("id")], 2**31 - 1)
+    hubs = hubs.withColumn("place", F.col("rank") - 1).drop("rank")
+    a, b = hubs.alias("a"), hubs.alias("b")
+    line = F.abs(F.col("a.y") - F.col("b.y")) * 11 + F.abs(F.col("a.x") - F.col("b.x")) * 8
+    foot = F.when(F.col("a.id") == F.col("b.id"), 0).otherwise(line + (F.col("a.id") * 31 + F.col("b.id") * 17) % 7 * 50 + 40)
+    car = F.when(F.col("a.id") == F.col("b.id"), 0).otherwise(line + (F.col("a.id") * 13 + F.col("b.id") * 29) % 11 * 60 + 300)
+    pairs = a.join(b, F.col("a.trip_id") == F.col("b.trip_id")).select(F.col("a.trip_id").alias("trip_id"), F.col("a.place").alias("i"), F.col("b.place").alias("j"), F.explode(F.create_map(F.lit("foot"), F.struct(foot.alias("m"), F.floor(foot * 4 / 5).alias("s")), F.lit("car"), F.struct(car.alias("m"), F.floor(car / 7).alias("s")))).alias("profile", "v"))
+    rows = pairs.groupBy("trip_id", "profile", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))
+    whole = rows.groupBy("trip_id", "profile").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("rows"))
+    table = lambda c: F.transform("rows", lambda r: F.transform(r["row"], lambda x: x["v"][c]))
+    return whole.select("trip_id", "profile", F.to_json(F.struct(F.lit("Ok").alias("code"), table("m").alias("distances"), table("s").alias("durations"))).alias("body")), hubs
+
+
+def road_itinerary(spark, d):
+    """A day over all hubs of each nation by the road tables saved for it: on to the nearest by road, on foot up to 1.2 km, else by car."""
+    raw, hubs = _road_answers(spark, d)
+    k = F.col("id")
+    stops = hubs.select("trip_id", "id", "lat", "lon", (F.lit(10) + k % 4 * 5).cast("int").alias("visit"), (F.lit(8) + k % 5).cast("int").alias("open"), F.when(k % 7 == 0, 2).otherwise(F.lit(17) + k % 5).cast("int").alias("close"), F.lit("landmark").alias("category"))
+    days = RT.itineraries(stops, days=1, mode="hybrid", fill=False, two_opt=False, matrix=L.road_matrix(raw, hubs.select("trip_id", "place", "id")))
+    return days.select("trip_id", "seq", "id", F.round("arrival", 6).alias("arrival"), F.round("finish", 6).alias("finish"), "day_km", "day_minutes", "on_roads")
 
 
 def zone_balance(spark, d):
@@ -203,7 +228,7 @@ def open_now(spark, d):
 def price_filter_fallback(spark, d):
     """Places up to the trip's price level; all of a trip's if none is."""
     s = D.places(spark, d).select(F.col("destination_id").alias("trip_id"), "id", (F.col("id") % 4).alias("price_level"), (F.col("destination_id") % 3 - 1).alias("most_price"))
-    return within_budget(s).select(F.col("trip_id").alias("destination_id"), "id", F.col("price_level").alias("price"))
+    return RT.within_budget(s).select(F.col("trip_id").alias("destination_id"), "id", F.col("price_level").alias("price"))
 
 
 def empty_fallback(spark, d):
@@ -235,7 +260,7 @@ def month_format(spark, d):
     return D.table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"), F.date_format("o_orderdate", "MMMM yyyy").alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (demand_monthly, demand_since, demand_spine, crowding_zscore, holt_winters_fixed, holt_winters_fitted, trend_season_fitted, best_months, best_forecast_months, travel_month, seasonal_naive_backtest, model_backtest, model_backtest_summary, segment_kmeans, centroid_classify, majority_label, destination_score, best_destination, travel_mode_legs, supplied_matrix_fallback, day_schedule, nn_tour, two_opt_tour, tour_length, multi_day_itinerary, multi_day_by_car, zone_balance, meal_targets, meal_reserve, open_now, price_filter_fallback, empty_fallback, map_fit, bounding_boxes, clock_format, month_format)}
+QUERIES = {f.__name__: f for f in (demand_monthly, demand_since, demand_spine, crowding_zscore, holt_winters_fixed, holt_winters_fitted, trend_season_fitted, best_months, best_forecast_months, travel_month, seasonal_naive_backtest, model_backtest, model_backtest_summary, segment_kmeans, centroid_classify, majority_label, destination_score, best_destination, travel_mode_legs, supplied_matrix_fallback, day_schedule, nn_tour, two_opt_tour, tour_length, multi_day_itinerary, multi_day_by_car, road_itinerary, zone_balance, meal_targets, meal_reserve, open_now, price_filter_fallback, empty_fallback, map_fit, bounding_boxes, clock_format, month_format)}
 
 # ------------------------------------------------------------------------ SQL
 
@@ -259,6 +284,9 @@ scored AS (SELECT key, round(a, 6) AS affinity, round(f, 6) AS fit, p AS penalty
 LEG = "CASE WHEN {m} = 'driving' OR ({m} = 'hybrid' AND {km} > 1.2) THEN {km} / 25.0::DOUBLE * 60 + 8 ELSE {km} / 4.5::DOUBLE * 60 END"
 PAIRS = f"pairs AS (SELECT a.destination_id::BIGINT AS trip_id, a.id AS src, b.id AS dst, {D.km('a.', 'b.')} AS km FROM hubs a JOIN hubs b ON a.destination_id = b.destination_id AND a.id <> b.id)"
 HW_STEP = "0.3::DOUBLE * (y - season[1]) + 0.7::DOUBLE * (l + 0.98::DOUBLE * b)"
+#: A month's forecast from the last state, as it is; HW rounds it.
+HW_RAW = "l + b * 0.98::DOUBLE * (1 - pow(0.98::DOUBLE, h)) / (1 - 0.98::DOUBLE) + season[h]"
+HW_FORECAST = f"round({HW_RAW}, 4)"
 HW = f"""WITH RECURSIVE {D.DEMAND}, {SPINE},
 num AS (SELECT key, month, y, row_number() OVER (PARTITION BY key ORDER BY month) AS t, count(*) OVER (PARTITION BY key) AS n FROM filled),
 st AS (SELECT key, avg(y) AS l FROM num WHERE t <= 12 AND n >= 12 GROUP BY key),
@@ -267,7 +295,7 @@ run(key, t, l, b, season) AS (SELECT key, 12::BIGINT, l, 0.0::DOUBLE, season FRO
   UNION ALL SELECT key, t, nl, 0.1::DOUBLE * (nl - l) + 0.9::DOUBLE * 0.98::DOUBLE * b, list_append(season[2:12], 0.2::DOUBLE * (y - nl) + 0.8::DOUBLE * season[1])
   FROM (SELECT r.key, num.t, r.l, r.b, r.season, num.y, 0.3::DOUBLE * (num.y - r.season[1]) + 0.7::DOUBLE * (r.l + 0.98::DOUBLE * r.b) AS nl FROM run r JOIN num ON num.key = r.key AND num.t = r.t + 1)),
 last AS (SELECT r.*, e.b AS month FROM run r JOIN (SELECT key, max(t) AS t FROM num GROUP BY key) m ON r.key = m.key AND r.t = m.t JOIN ends e ON e.key = r.key)
-SELECT key, (month + to_months(h::INT))::DATE AS month, round(l + b * 0.98::DOUBLE * (1 - pow(0.98::DOUBLE, h)) / (1 - 0.98::DOUBLE) + season[h], 4) AS forecast FROM last, (SELECT unnest(generate_series(1, 12)) AS h)"""
+SELECT key, (month + to_months(h::INT))::DATE AS month, {HW_FORECAST} AS forecast FROM last, (SELECT unnest(generate_series(1, 12)) AS h)"""
 DAY = f"""WITH RECURSIVE {STOPS},
 o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY id) AS r FROM stops),
 walk AS (SELECT trip_id, 0::BIGINT AS r, 9.0::DOUBLE AS clock, 0.0::DOUBLE AS km, NULL::DOUBLE AS lat, NULL::DOUBLE AS lon, []::BIGINT[] AS ids FROM o GROUP BY trip_id
@@ -278,7 +306,25 @@ walk AS (SELECT trip_id, 0::BIGINT AS r, 9.0::DOUBLE AS clock, 0.0::DOUBLE AS km
         FROM (SELECT w.trip_id, o.r, w.clock, w.km, w.lat, w.lon, w.ids, o.id, o.lat AS lat2, o.lon AS lon2, o.visit, o.open, o.close, coalesce({D.km('w.', 'o.')}, 0.0::DOUBLE) AS leg FROM walk w JOIN o ON o.trip_id = w.trip_id AND o.r = w.r + 1)))))
 SELECT trip_id, len(ids)::BIGINT AS n, round(km, 4) AS km, floor((clock - 9.0) * 60 + 1e-9)::BIGINT AS minutes, array_to_string(ids, ',') AS ids FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY r DESC) AS back FROM walk) WHERE back = 1"""
 
+ROADS = f"""WITH RECURSIVE {D.HUBS}, h AS (SELECT destination_id::BIGINT AS trip_id, id, id * 7919 % 2000 AS y, id * 104729 % 2000 AS x, 10 + id % 4 * 5 AS visit, 8 + id % 5 AS open, CASE WHEN id % 7 = 0 THEN 24 ELSE 17 + id % 5 END AS close FROM hubs),
+line AS (SELECT a.trip_id, a.id AS src, b.id AS dst, abs(a.y - b.y) * 11 + abs(a.x - b.x) * 8 AS m FROM h a JOIN h b ON a.trip_id = b.trip_id AND a.id <> b.id),
+metres AS (SELECT trip_id, src, dst, m + (src * 31 + dst * 17) % 7 * 50 + 40 AS foot, m + (src * 13 + dst * 29) % 11 * 60 + 300 AS car FROM line),
+legs AS (SELECT trip_id, src, dst, CASE WHEN foot / 1000.0::DOUBLE <= 1.2::DOUBLE THEN foot / 1000.0::DOUBLE ELSE car / 1000.0::DOUBLE END AS km,
+  CASE WHEN foot / 1000.0::DOUBLE <= 1.2::DOUBLE THEN (foot * 4 // 5) / 60.0::DOUBLE ELSE (car // 7) / 60.0::DOUBLE + 8.0::DOUBLE END AS minutes FROM metres),
+tour AS (SELECT trip_id, 1::BIGINT AS r, min(id) AS id, [min(id)] AS ids FROM h GROUP BY trip_id
+  UNION ALL SELECT trip_id, r + 1, dst, list_append(ids, dst) FROM (SELECT t.trip_id, t.r, t.ids, l.dst, row_number() OVER (PARTITION BY t.trip_id ORDER BY l.km, l.dst) AS k
+    FROM tour t JOIN legs l ON l.trip_id = t.trip_id AND l.src = t.id AND NOT list_contains(t.ids, l.dst)) WHERE k = 1),
+walk AS (SELECT trip_id, 0::BIGINT AS r, NULL::BIGINT AS here, 9.0::DOUBLE AS clock, 0.0::DOUBLE AS km, 0::BIGINT AS seq, NULL::BIGINT AS id, NULL::DOUBLE AS arrival FROM h GROUP BY trip_id
+  UNION ALL SELECT trip_id, r, CASE WHEN fits THEN nid ELSE here END, CASE WHEN fits THEN finish ELSE clock END, CASE WHEN fits THEN km + leg ELSE km END, CASE WHEN fits THEN seq + 1 ELSE seq END, CASE WHEN fits THEN nid END, CASE WHEN fits THEN arrival END
+  FROM (SELECT *, there < close AND (finish - 9.0::DOUBLE) * 60 <= 480 AS fits FROM (SELECT *, greatest(there, open::DOUBLE) AS arrival, greatest(there, open::DOUBLE) + visit / 60.0::DOUBLE AS finish
+    FROM (SELECT w.trip_id, t.r, w.here, w.clock, w.km, w.seq, t.id AS nid, coalesce(l.km, 0.0::DOUBLE) AS leg, w.clock + coalesce(l.minutes, 0.0::DOUBLE) / 60.0::DOUBLE AS there, h.visit, h.open, h.close
+      FROM walk w JOIN tour t ON t.trip_id = w.trip_id AND t.r = w.r + 1 JOIN h ON h.trip_id = t.trip_id AND h.id = t.id LEFT JOIN legs l ON l.trip_id = w.trip_id AND l.src = w.here AND l.dst = t.id)))),
+ends AS (SELECT trip_id, max(km) AS km, max(clock) AS clock FROM walk GROUP BY trip_id)
+SELECT w.trip_id, seq::INT AS seq, id, round(arrival, 6) AS arrival, round(w.clock, 6) AS finish, {D.half_even('e.km', 2)} AS day_km, trunc((e.clock - 9.0::DOUBLE) * 60)::INT AS day_minutes,
+  w.trip_id IN (SELECT trip_id FROM h GROUP BY trip_id HAVING count(*) > 1) AS on_roads FROM walk w JOIN ends e ON e.trip_id = w.trip_id WHERE id IS NOT NULL"""
+
 SQL = {
+    "road_itinerary": ROADS,
     "demand_monthly": f"WITH {D.DEMAND} SELECT * FROM demand",
     "demand_since": f"WITH {D.DEMAND} SELECT key, strftime(month, '%Y-%m') AS month, value FROM demand WHERE month >= DATE '1998-07-01'",
     "demand_spine": f"WITH {D.DEMAND}, {SPINE} SELECT key, month, value FROM filled",

@@ -44,6 +44,14 @@ def place_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "destination_id", T.document_text(F.col("name"), F.col("category"), F.col("city"), F.lit("")).alias("text"))
 
 
+def trip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, type, destination_id, text: places, and a guide for each city, whose number is negative."""
+    places = place_texts(spark, sf_dir).withColumn("type", F.lit("poi"))
+    key = F.col("destination_id").cast("long")
+    guides = cities(spark, sf_dir).select((-key - 1).alias("doc_id"), F.lit("guide").alias("type"), "destination_id", F.concat(F.lit("A guide to "), "city", F.lit(": the best points of interest and experiences for every traveler")).alias("text"))
+    return places.unionByName(guides)
+
+
 def place_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, destination_id, embedding: the vector of a place is that of its id; a place without one is found by other means only."""
     own = places(spark, sf_dir).select(F.col("id").alias("vec_id"), "destination_id")

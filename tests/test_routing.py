@@ -142,3 +142,164 @@ def test_itineraries_plan_all_trips(spark):
     got = RT.itineraries(df, days=3, meals_per_day=2).toPandas()
     assert set(got.trip_id) == {1, 2} and set(got.day) == {1, 2, 3} and (got.day_minutes <= 480).all()
     assert (got[got.id >= 100].groupby(["trip_id", "day"]).size() >= 2).all() and not got.duplicated(["trip_id", "id"]).any()
+
+
+# ------------------------------------------- what the rules say of a finished plan, by brute force
+
+
+def random_trip(rng, n=14, food=10, hub=True, mode="walking", km=None):
+    m = n + food
+    places = pd.DataFrame({"lat": 48 + rng.random(m) / 12, "lon": 16 + rng.random(m) / 12, "visit": rng.integers(30, 110, m), "open": rng.integers(6, 13, m), "close": rng.integers(14, 24, m), "category": ["museum"] * n + ["food"] * food})
+    return RT.Trip(places, mode, (48.04, 16.04) if hub else None)
+
+
+def length(km, path):
+    return sum(km[a, b] for a, b in itertools.pairwise(path))
+
+
+@pytest.mark.parametrize("fixed", [1, 2])
+def test_no_reversal_helps_on_one_way_streets(fixed):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 6, 9):
+        km = rng.random((n, n))  # not the same there and back
+        paths = np.array([[0, *rng.permutation(np.arange(1, n))] for _ in range(8)])
+        done = RT.shorten_paths(km, paths, fixed)
+        assert (np.sort(done, 1) == np.arange(n)).all() and (done[:, :fixed] == paths[:, :fixed]).all()
+        for before, after in zip(paths.tolist(), done.tolist(), strict=True):
+            best = length(km, after)
+            assert best <= length(km, before) + 1e-9
+            assert all(length(km, after[:i] + after[i : j + 1][::-1] + after[j + 1 :]) >= best - 1e-8 for i in range(fixed, n) for j in range(i + 1, n))
+
+
+def test_gains_are_what_whole_lengths_say():
+    rng = np.random.default_rng(6)
+    km, paths = rng.random((7, 7)), np.array([rng.permutation(7) for _ in range(5)])
+    gains = RT.reversal_gains(km, paths)
+    for p, g in zip(paths.tolist(), gains, strict=True):
+        for i in range(1, 7):
+            for j in range(i + 1, 7):
+                assert g[i, j] == pytest.approx(length(km, p) - length(km, p[:i] + p[i : j + 1][::-1] + p[j + 1 :]))
+
+
+def test_a_batch_gives_what_each_row_gives_alone():
+    rng = np.random.default_rng(7)
+    trip = random_trip(rng)
+    sets = np.full((20, 6), -1)
+    for r in sets:
+        k = rng.integers(0, 7)
+        r[:k] = rng.choice(trip.n, k, replace=False)
+    walks = trip.solve_all(sets, 300)
+    for i, r in enumerate(sets):
+        assert walks.day(i, 1) == trip.solve(r[r >= 0].tolist(), 300, 1)
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_filled_days_take_nothing_more_and_even_days_move_nothing(hub):
+    rng = np.random.default_rng(8)
+    for _ in range(8):
+        trip = random_trip(rng, 16, 0, hub)
+        days = [trip.solve([0, 1], 300, 1), trip.solve([2], 300, 2), trip.solve([3, 4, 5], 300, 3)]
+        spare = trip.fill(days, list(range(6, 16)), 300)
+        placed = [s for d in days for s in d.stops]
+        assert len(set(placed)) == len(placed) and not set(placed) & set(spare)
+        assert all(len(trip.solve([*d.stops, s], 300).stops) <= len(d.stops) for d in days if d.minutes < 300 for s in spare)
+        before = sum(d.minutes**2 for d in days)
+        trip.even_out(days, 300)
+        assert sum(d.minutes**2 for d in days) <= before
+        poor = min(days, key=lambda d: (d.minutes, d.number))
+        for d in days:
+            for s in d.stops if d is not poor and len(d.stops) > 1 else []:
+                grown, rest = trip.solve([*poor.stops, s], 300), trip.solve([x for x in d.stops if x != s], 300)
+                assert len(grown.stops) <= len(poor.stops) or rest.minutes**2 + grown.minutes**2 >= d.minutes**2 + poor.minutes**2
+
+
+def test_a_meal_is_the_cheapest_detour_that_works():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        trip = random_trip(rng, 6, 9, bool(rng.random() < 0.5))
+        day, hour, venues = trip.solve(list(range(6)), 330, 1), 9 + float(rng.random() * 6), np.arange(6, 15)
+        path = lambda stops: length(trip.km, [trip.n, *stops])  # noqa: B023, E731
+        ends = [day.times[0][0] if day.times else hour, *(f for _, f in day.times)]
+        seams = [i for i, t in enumerate(ends) if abs(t - hour) <= 2] or [len(day.stops)]
+        options = [(path([*day.stops[:i], v, *day.stops[i:]]) - path(day.stops), i, v) for i in seams for v in venues.tolist() if trip.opens[v] <= hour < trip.closes[v]]
+        want = None
+        for _, i, v in sorted(options)[:5]:
+            for gone in range(3):
+                order = [*day.stops[:i], v, *day.stops[i:]]
+                sights = [s for s in order if s < 6]
+                tried = trip.time([s for s in order if s not in sights[len(sights) - gone :]] if gone else order, 330, 1)
+                if want is None and gone <= len(sights) and v in tried.stops:
+                    want = tried
+        assert trip.feed(day, hour, venues, 330) == want
+
+
+def test_zones_are_a_stable_assignment():
+    """No point and zone prefer each other to what they have; then serving the closest pairs first gives the same."""
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        n, k = int(rng.integers(1, 20)), int(rng.integers(1, 6))
+        gaps = rng.random((n, k)).round(1)
+        labels, cap = C.balanced_labels(gaps), -(-n // k)
+        load = np.bincount(labels, minlength=k)
+        assert load.max() <= cap and ((load > 0).all() or n < k)
+        if n % k == 0 or n >= cap * (k - 1) + 1:  # no zone had to be given a point
+            order = gaps.ravel().argsort(kind="stable").argsort().reshape(n, k)
+            for i in range(n):
+                for z in range(k):
+                    if order[i, z] < order[i, labels[i]]:
+                        assert load[z] == cap and all(order[x, z] < order[i, z] for x in np.flatnonzero(labels == z))
+
+
+def test_an_unknown_venue_leaves_a_trip_unsettled():
+    places = stops(*sights(4), (48.2061, 16.3701, 60, 8, 22, "food"), (48.23, 16.40, 60, 8, 22, "food"))
+    for reach, settled in ((50.0, True), (0.5, True), (0.0, False)):
+        trip = RT.Trip(places)
+        trip.know_venues(np.arange(4), np.full(4, reach))
+        RT.plan_days(trip, {0: [0, 1, 2, 3]}, 480, meals=[4], meals_per_day=1)
+        assert trip.settled == settled
+
+
+# ------------------------------------------------------------------------------------- roads
+
+
+def test_road_matrices_need_every_leg_of_every_profile():
+    a, b = np.array([0, 1]), np.array([1, 0])
+    foot, car = (a, b, np.array([1.0, 3.0]), np.array([12.0, 36.0])), (a, b, np.array([1.5, 2.5]), np.array([5.0, 6.0]))
+    km, minutes = RT.road_matrices(2, {"foot": foot, "car": car}, "hybrid")
+    assert km.tolist() == [[0, 1.0], [2.5, 0]] and (minutes[0, 1], minutes[1, 0]) == (12.0, 14.0)
+    assert RT.road_matrices(2, {"car": car}, "driving")[1][0, 1] == 13.0
+    assert RT.road_matrices(2, {"foot": foot}, "hybrid") is None and RT.road_matrices(2, {"car": car}, "walking") is None
+    assert RT.road_matrices(3, {"foot": foot}, "walking") is None and RT.road_matrices(1, {}, "walking") is None
+
+
+def test_trips_meet_their_legs_in_one_group(spark):
+    rows = [(t, i, 48.2 + 0.01 * i, 16.37, 30, 0, 24, "museum") for t in (1, 2, 3) for i in range(4)]
+    places = spark.createDataFrame(rows, "trip_id long, id long, lat double, lon double, visit int, open int, close int, category string")
+    # Trip 1 has all legs, and only 0 -> 2 -> 1 -> 3 is short; trip 2 lacks one; trip 3 has none; trip 9 has no places.
+    short = {(0, 2), (2, 1), (1, 3)}
+    legs = [(t, a, b, "foot", 1.0 if (a, b) in short else 9.0, 6.0 if (a, b) in short else 54.0) for t in (1, 2, 9) for a in range(4) for b in range(4) if a != b and (t, a, b) != (2, 3, 0)]
+    matrix = spark.createDataFrame([*legs, (1, 0, 77, "foot", 0.1, 0.1)], "trip_id long, src long, dst long, profile string, km double, minutes double")
+    got = RT.itineraries(places, days=1, budget=900, matrix=matrix).orderBy("trip_id", "seq").collect()
+    assert [(r.id, r.on_roads) for r in got if r.trip_id == 1] == [(0, True), (2, True), (1, True), (3, True)]
+    assert {r.day_km for r in got if r.trip_id == 1} == {3.0} and {r.day_minutes for r in got if r.trip_id == 1} == {138}
+    line = [(r.id, r.arrival, r.on_roads) for r in RT.itineraries(places, days=1, budget=900).orderBy("trip_id", "seq").collect() if r.trip_id == 2]
+    assert [(r.id, r.arrival, r.on_roads) for r in got if r.trip_id == 2] == line == [(r.id, r.arrival, False) for r in got if r.trip_id == 3]
+
+
+def test_a_hub_with_a_row_has_legs_of_its_own(spark):
+    rows = [(1, i, 48.2 + 0.01 * i, 16.37, 30, 0, 24, "museum", "sight") for i in range(2)] + [(1, -1, 48.2, 16.3, None, None, None, None, "hub")]
+    places = spark.createDataFrame(rows, "trip_id long, id long, lat double, lon double, visit int, open int, close int, category string, role string")
+    legs = [(1, a, b, "foot", 2.0 + a, 10.0 * (a + 2) + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a != b]
+    matrix = spark.createDataFrame(legs, "trip_id long, src long, dst long, profile string, km double, minutes double")
+    got = RT.itineraries(places, days=1, matrix=matrix).orderBy("seq").collect()
+    assert all(r.on_roads for r in got) and [r.id for r in got] == [0, 1] and got[0].arrival == pytest.approx(9 + 10 / 60) and got[0].day_km == 3.0
+    without = matrix.where("not (src = 1 and dst = -1)")
+    assert not any(r.on_roads for r in RT.itineraries(places, days=1, matrix=without).collect())
+
+
+def test_a_trip_s_own_budget_mode_and_order_count(spark):
+    rows = [(t, i, 48.2 + 0.02 * i, 16.37, 60, 0, 24, "museum", b, m) for t, b, m in ((1, None, None), (2, 100.0, None), (3, None, "driving")) for i in (2, 0, 1)]
+    places = spark.createDataFrame(rows, "trip_id long, id long, lat double, lon double, visit int, open int, close int, category string, budget double, mode string")
+    got = RT.itineraries(places, days=1, keep_order=True).orderBy("trip_id", "seq").collect()
+    ids = {t: [r.id for r in got if r.trip_id == t] for t in (1, 2, 3)}
+    assert ids == {1: [0, 1, 2], 2: [0], 3: [0, 1, 2]} and next(r for r in got if r.trip_id == 3).day_minutes < next(r for r in got if r.trip_id == 1).day_minutes
