@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scoring import crowding_level
+from . import smoothing
 from .retrieval import top
 
 SEASON = 12
@@ -71,38 +72,6 @@ def forecast_fixed(series: DataFrame, horizon: int = 12, parameters: tuple = FIX
     return rows.select("key", F.add_months("first", F.col("n") + F.col("h")).alias("month"), F.col("forecast"))
 
 
-def _run(y: np.ndarray, alpha, beta, gamma, phi) -> tuple[np.ndarray, tuple]:
-    """One-step errors of all parameter sets at once, and the last states (a row per set)."""
-    k = len(alpha)
-    level, trend = np.full(k, y[:SEASON].mean()), np.zeros(k)
-    season = np.tile(y[:SEASON] - y[:SEASON].mean(), (k, 1))
-    errors = np.zeros(k)
-    for t in range(SEASON, len(y)):
-        s = season[:, t % SEASON]
-        errors += (y[t] - (level + phi * trend + s)) ** 2
-        new = alpha * (y[t] - s) + (1 - alpha) * (level + phi * trend)
-        trend = beta * (new - level) + (1 - beta) * phi * trend
-        season[:, t % SEASON] = gamma * (y[t] - new) + (1 - gamma) * s
-        level = new
-    return errors, (level, trend, season)
-
-
-def fit_forecast(values: list[float], horizon: int) -> tuple[np.ndarray, tuple]:
-    """Forecast with the parameters of least one-step error, by a grid that is refined twice."""
-    y = np.array(values, float)
-    centre, width = np.array([0.45, 0.2, 0.3, 0.93]), np.array([0.4, 0.19, 0.29, 0.06])
-    for _ in range(3):
-        axes = [np.clip(c + w * np.linspace(-1, 1, 5), 0.01, 0.99) for c, w in zip(centre, width, strict=True)]
-        grid = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")])
-        errors, _ = _run(y, *grid)
-        centre, width = grid[:, int(errors.argmin())], width / 3
-    _, (level, trend, season) = _run(y, *centre[:, None])
-    phi = centre[3]
-    h = np.arange(1, horizon + 1)
-    damp = np.cumsum(phi ** np.arange(1, horizon + 1))
-    return level[0] + damp * trend[0] + season[0, (len(y) + h - 1) % SEASON], tuple(centre)
-
-
 def fit_changepoints(values: list[float], horizon: int, rounds: int = 50) -> np.ndarray:
     """Forecast of a trend whose slope may change, plus a season: the most probable parameters.
 
@@ -132,26 +101,31 @@ def fit_changepoints(values: list[float], horizon: int, rounds: int = 50) -> np.
 
 
 def forecast_fitted(series: DataFrame, horizon: int = 12, model: str = "holt_winters") -> DataFrame:
-    """key, month, forecast: each series fitted in one Python group; series under 24 months or with gaps have no rows.
+    """key, month, forecast of a fitted model; series under 24 months or with gaps have no rows.
 
-    model: holt_winters, or `trend_season`, a trend with changes of slope and a yearly season.
+    model: holt_winters, whose smoothing and first states are fitted for all series
+    of a batch at once, or `trend_season`, a trend with changes of slope and a
+    yearly season. A series is one row, as long as its months.
     """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        months = pd.date_range(pd.Timestamp(pdf["month"].iloc[-1]) + pd.offsets.MonthBegin(1), periods=horizon, freq="MS")
-        empty = pd.DataFrame({"key": [], "month": [], "forecast": []})
-        y = pdf["value"].to_numpy(float)
-        if len(y) < 2 * SEASON or np.isnan(y).any():
-            return empty
-        if model == "holt_winters":
-            out, _ = fit_forecast(y.tolist(), horizon)
-        else:
-            out = fit_changepoints(y.tolist(), horizon)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "month": months.date, "forecast": out})
-
-    key = series.schema["key"].dataType.simpleString()
-    return series.select("key", "month", F.col("value").cast("double").alias("value")).groupBy("key").applyInPandas(fit, f"key {key}, month date, forecast double")
+    if model not in ("holt_winters", "trend_season"):
+        raise ValueError(f"unknown model: {model}")
+    whole = as_array(series.select("key", "month", F.col("value").cast("double").alias("value"))).where((F.size("values") >= 2 * SEASON) & ~F.exists("values", lambda x: x.isNull() | F.isnan(x)))
+
+    def guess(batches):
+        for batch in batches:
+            values = batch.column(2).to_pylist()
+            lengths = np.array([len(v) for v in values])
+            out = np.empty((len(values), horizon))
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                rows = [values[i] for i in at]
+                out[at] = smoothing.fit(np.array(rows), horizon)[0] if model == "holt_winters" else [fit_changepoints(v, horizon) for v in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], names=["key", "first", "n", "forecasts"])
+
+    kind = series.schema["key"].dataType.simpleString()
+    made = whole.mapInArrow(guess, f"key {kind}, first date, n int, forecasts array<double>")
+    rows = made.select("key", "first", "n", F.posexplode("forecasts").alias("h", "forecast"))
+    return rows.select("key", F.add_months("first", F.col("n") + F.col("h")).alias("month"), "forecast")
 
 
 def best_months(forecasts: DataFrame, stats: DataFrame, top_k: int = 3) -> DataFrame:

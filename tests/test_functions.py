@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from peregrin.functions import geo, scoring as S, text as T
-from peregrin.operators import evaluate as E, forecast as FC, graph as G, prep as P, retrieval as R
+from peregrin.operators import evaluate as E, forecast as FC, graph as G, prep as P, retrieval as R, smoothing
 from peregrin.sources import landed, synthetic, tables
 
 
@@ -78,8 +79,76 @@ def test_near_edges_are_those_of_all_pairs(spark):
 
 def test_fitted_beats_fixed_on_a_clean_season():
     y = [100 + t + 20 * ((t % 12) - 5.5) for t in range(60)]
-    out, _ = FC.fit_forecast(y[:48], 12)
-    assert max(abs(out - y[48:])) < 25
+    out = smoothing.fit(np.array([y[:48]], float), 12)[0][0]
+    assert max(abs(out - y[48:])) < 0.5
+
+
+def plain_smoothing(y, parameters, level, trend, season, horizon=0):
+    """Squared one-step errors and forecasts of the recursion, written out."""
+    alpha, beta, gamma, phi = parameters
+    season, total = list(season), 0.0
+    for t, x in enumerate(y):
+        s = season[t % 12]
+        total += (x - (level + phi * trend + s)) ** 2
+        new = alpha * (x - s) + (1 - alpha) * (level + phi * trend)
+        trend = beta * (new - level) + (1 - beta) * phi * trend
+        season[t % 12] = gamma * (x - new) + (1 - gamma) * s
+        level = new
+    return total, [level + sum(phi**i for i in range(1, h + 1)) * trend + season[(len(y) + h - 1) % 12] for h in range(1, horizon + 1)]
+
+
+@pytest.fixture(scope="module")
+def histories(spark):
+    from peregrin.plans import demand_routing as DR
+
+    rows: dict = {}
+    for r in DR._filled(spark, "/root/testdata/sf0.1").orderBy("key", "month").collect():
+        rows.setdefault(r.key, []).append(r.value)
+    return np.array(list(rows.values()))
+
+
+def test_states_are_linear_in_what_the_recursion_starts_from(histories):
+    rng = np.random.default_rng(1)
+    y, p = histories[:4], rng.uniform(0.1, 0.9, (4, 4))
+    errors, level, trend, season = smoothing.responses(y, p)
+    states, left = smoothing.project(errors)
+    for i in range(4):
+        seasons = [*states[i, 3:], 0.0]
+        total, ahead = plain_smoothing(y[i], p[i], states[i, 1], states[i, 2], seasons, 12)
+        got = level[i] @ states[i] + np.cumsum(p[i, 3] ** np.arange(1, 13)) * (trend[i] @ states[i]) + season[i] @ states[i]
+        assert total == pytest.approx((left[i] ** 2).sum()) and got.tolist() == pytest.approx(ahead)
+        nudge = states[i] + np.array([0, *rng.normal(0, 0.5, 13)])
+        assert plain_smoothing(y[i], p[i], nudge[1], nudge[2], [*nudge[3:], 0.0])[0] >= total - 1e-6
+
+
+def test_no_grid_point_fits_better(histories):
+    """Every series of sf0.1, against 625 parameter sets with the first year's mean and deviations as states, and with fitted ones."""
+    forecasts, parameters, squares = smoothing.fit(histories, 12)
+    axes = [np.linspace(0.05, 0.95, 5)] * 3 + [np.linspace(0.81, 0.99, 5)]
+    grid = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")], axis=1)
+    for y, square in zip(histories, squares, strict=True):
+        errors, *_ = smoothing.responses(np.repeat(y[None], len(grid), 0), grid)
+        first = np.array([1.0, 0, 0, *(y[:11] - y[:12].mean())])
+        first[1] = y[:12].mean()
+        assert square <= ((errors @ first) ** 2).sum(1).min() and square <= (smoothing.project(errors)[1] ** 2).sum(1).min() * (1 + 1e-6)
+    assert np.isfinite(forecasts).all() and (parameters >= smoothing.LOW).all() and (parameters <= smoothing.HIGH).all()
+
+
+def test_a_batch_fits_each_series_as_alone(histories):
+    odd = np.vstack([histories[:3, :30], np.zeros(30), np.full(30, 7.0), np.arange(30) * 1e9])
+    whole = smoothing.fit(odd, 6)[0]
+    assert all(whole[i] == pytest.approx(smoothing.fit(odd[i : i + 1], 6)[0][0], rel=1e-3, abs=1e-3) for i in range(len(odd)))
+    assert whole[4].tolist() == pytest.approx([7.0] * 6) and whole[3].tolist() == pytest.approx([0.0] * 6)
+
+
+def test_series_that_cannot_be_fitted_have_no_forecast(spark):
+    rows = [("short", m, 1.0) for m in range(23)] + [("gap", m, None if m == 5 else 1.0) for m in range(30)] + [("fine", m, float(m % 12)) for m in range(25)]
+    s = spark.createDataFrame(rows, "key string, m int, value double").select("key", F.add_months(F.lit("2020-01-01").cast("date"), "m").alias("month"), "value")
+    for model in ("holt_winters", "trend_season"):
+        got = FC.forecast_fitted(s, 3, model).orderBy("month").collect()
+        assert [(r.key, str(r.month)) for r in got] == [("fine", "2022-02-01"), ("fine", "2022-03-01"), ("fine", "2022-04-01")]
+    with pytest.raises(ValueError):
+        FC.forecast_fitted(s, 3, "magic")
 
 
 def test_constant_series_has_no_z(spark):
