@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release, texts, unused
+from .common import join_hot, materialise, release, texts, unused
 from .components import connected_components
 
 TABLES, ROWS = 16, 4
@@ -255,13 +255,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the near-duplicates of a document with a smaller id.
 
-    Repeated rows of an id stay once; rows without id stay.
+    Rows that repeat id and text stay once. Rows of one id with different texts
+    are documents of their own, which count as if their ids came after all
+    others; so none goes but for a near-duplicate that stays. Rows without id stay.
     """
-    judged = near_duplicates(docs, id_col=id_col, **options)
-    name = unused(docs, "_gone")
-    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    one, two, number = (unused(docs, n) for n in ("_h1", "_h2", "_number"))
+    hashes = {one: F.xxhash64(F.lit(1), F.col(text_col), F.col(text_col).isNull()), two: F.xxhash64(F.lit(2), F.col(text_col), F.col(text_col).isNull())}
+    named = docs.where(F.col(id_col).isNotNull()).withColumns(hashes)
+    versions = materialise(named.groupBy(F.col(id_col).alias("id"), one, two).agg(F.lit(1).alias("x")).drop("x"), "versions")
+    several = versions.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = named.dropDuplicates([id_col, one, two])
+    if several.isEmpty():
+        numbered = rows.withColumn(number, F.col(id_col).cast("long"))
+    else:
+        stats = versions.agg(F.max("id"), F.count("*")).first()
+        new = materialise(join_hot(versions, several, ["id"], "n", stats[1]), "several")
+        new = materialise(new.withColumn("m", F.monotonically_increasing_id() + F.lit(stats[0] + 1)), "numbered").select(F.col("id").alias("id_"), F.col(one).alias("one_"), F.col(two).alias("two_"), F.col("m").alias(number))
+        joined = rows.join(new, (F.col(id_col) == F.col("id_")) & (F.col(one) == F.col("one_")) & (F.col(two) == F.col("two_")), "left").drop("id_", "one_", "two_")
+        numbered = materialise(joined.withColumn(number, F.coalesce(number, F.col(id_col).cast("long"))), "versioned")
+    judged = near_duplicates(numbered.select(F.col(number).alias("doc_id"), F.col(text_col).alias("text")), **options)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
+    left = numbered.join(gone, F.col(number) == F.col("gone_"), "left_anti").select(*docs.columns)
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

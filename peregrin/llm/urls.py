@@ -8,16 +8,22 @@ multinomial naive Bayes model scores the words.
 
 Both models are learnt from the table. Word frequencies come from the texts of
 all pages. The classifier learns from the urls that the rules decide, without
-the words that the rules themselves test, since those only repeat the rule; the
-labelled names below count as half as much evidence as all these urls. Words
-rarer than one in 100,000 are left out of either model, so neither has more
-entries than that, whatever the table's size.
+the words that the rules themselves test, since those only repeat the rule. A
+rule judges a site, and says nothing of a word that only this site has: so a
+word counts once for each site (the last two labels of a host) and verdict, and
+a page is scored by counts that leave its own site out. Sites are dealt into 64
+folds, and the counts of a fold are subtracted for its own pages. The labelled
+names below count as half as much evidence as all sites. Words rarer than one in
+100,000 are left out of either model, so neither has more entries than that,
+whatever the table's size; the lexicon has words of 2 to 24 letters of a-z, as
+only such letters of a url are split into words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,8 +48,10 @@ ALLOW_NAMES = (
 PRIOR_BLOCK = 0.3
 #: Least share of all words that a word of the lexicon, and of the classifier, has; longest word of the lexicon.
 LEAST_SHARE, LONGEST = 1e-5, 24
-#: Evidence of the labelled names, as a part of what the decided urls give.
+#: Evidence of the labelled names, as a part of what the decided sites give.
 NAMES_PART = 0.5
+#: Parts that sites are dealt into; a page is scored without its own site's part.
+FOLDS = 64
 
 
 def _named(names) -> dict[str, int]:
@@ -54,7 +62,7 @@ def _named(names) -> dict[str, int]:
 
 
 class UrlModel:
-    """A lexicon (word -> times) and a classifier (word -> times blocked, times allowed; urls of either verdict)."""
+    """A lexicon (word -> times) and a classifier (word -> sites that are blocked and allowed with it; sites of either verdict)."""
 
     def __init__(self, lexicon: dict[str, int] | None = None, decided: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0), *, block=BLOCK_NAMES, allow=ALLOW_NAMES, prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = 0.5):
         named = (_named(block), _named(allow))
@@ -141,24 +149,48 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
     return {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * F.lit(total)).collect()}
 
 
-def decided_counts(found: DataFrame, rules: tuple) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
-    """From the urls that rules decide: word -> (times blocked, times allowed), without the rules' own words and single letters, and urls of either verdict."""
+def site_of(host: str) -> str:
+    return ".".join(host.rsplit(".", 2)[-2:])
+
+
+def fold_of(site: str) -> int:
+    return zlib.crc32(site.encode()) % FOLDS
+
+
+class Evidence:
+    """Sites of either verdict by word, as (fold, blocked, allowed) rows, and sites of either verdict by fold."""
+
+    def __init__(self, words: dict[str, list[tuple[int, int, int]]], sites: dict[int, tuple[int, int]]):
+        self.words, self.sites = words, sites
+
+    def without(self, fold: int | None) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
+        """Counts of all sites but those of a fold."""
+        kept = {w: (sum(b for f, b, _ in rows if f != fold), sum(a for f, _, a in rows if f != fold)) for w, rows in self.words.items()}
+        return {w: c for w, c in kept.items() if any(c)}, tuple(sum(c[i] for f, c in self.sites.items() if f != fold) for i in (0, 1))
+
+
+def decided_evidence(found: DataFrame, rules: tuple) -> Evidence:
+    """From the urls that rules decide, without the rules' own words and single letters."""
     own = sorted({w for host, path, _ in rules for w in re.findall("[a-z]+", f"{host} {path}".lower())})
-    blocked = lambda c: F.count(F.when(F.col("verdict") == c, 1))
     ruled = found.where("rule is not null")
-    words = materialise(ruled.select("verdict", F.explode("words").alias("w")).where(~F.col("w").isin(own) & (F.length("w") > 1)).groupBy("w").agg(blocked("block").alias("b"), blocked("allow").alias("a")), "decided")
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    seen = ruled.select("site", "fold", "verdict", F.explode("words").alias("w")).where(~F.col("w").isin(own) & (F.length("w") > 1)).distinct()
+    words = materialise(seen.groupBy("w", "fold").agg(count("block").alias("b"), count("allow").alias("a")), "decided")
     total = words.agg(F.coalesce(F.sum(F.col("a") + F.col("b")), F.lit(0))).first()[0]
-    counts = {r.w: (r.b, r.a) for r in words.where(F.col("a") + F.col("b") >= LEAST_SHARE * F.lit(total)).collect()}
-    return counts, tuple(ruled.agg(blocked("block"), blocked("allow")).first())
+    frequent = words.groupBy("w").agg(F.sum(F.col("a") + F.col("b")).alias("n"), F.collect_list(F.struct("fold", "b", "a")).alias("rows")).where(F.col("n") >= LEAST_SHARE * F.lit(total))
+    sites = ruled.select("site", "fold", "verdict").distinct().groupBy("fold").agg(count("block").alias("b"), count("allow").alias("a"))
+    return Evidence({r.w: [tuple(x) for x in r.rows] for r in frequent.collect()}, {r.fold: (r.b, r.a) for r in sites.collect()})
 
 
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, words, score for each row.
+    """page_id, host, path, rule, verdict, words, score, fold for each row.
 
     A null url, or one without `://`, has an empty host and path, fits no rule
     and is scored by the prior alone. Empty tables give no rows, repeated rows
     are judged each; of rules with equal texts the first counts. Where pages has
-    no column html_col, the lexicon is that of the labelled names.
+    no column html_col, the lexicon is that of the labelled names. score is the
+    model's, also where a rule decides, and comes from other sites than the page's
+    own: see held_out_accuracy.
     """
     model = UrlModel(word_counts(pages, html_col) if html_col in pages.columns else None)
     by_host: dict[str, list] = {}
@@ -174,21 +206,38 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = fitting_rule(host, path, by_host) or (None, None)
-                out.append((host, path, *rule, [w for label in words_in(host) + words_in(path.lower()) for w in segment(label)]))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["page_id", "host", "path", "rule", "verdict", "words"])
+                site = site_of(host)
+                out.append((host, path, *rule, [w for label in words_in(host) + words_in(path.lower()) for w in segment(label)], site, fold_of(site)))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["page_id", "host", "path", "rule", "verdict", "words", "site", "fold"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    found = materialise(pages.select(F.col(id_col).alias("page_id"), url_col).mapInArrow(split, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>"), "urls")
-    decided, urls = decided_counts(found, rules)
-    model.learn((_named(BLOCK_NAMES), _named(ALLOW_NAMES)), decided, urls)
-    scorer = pages.sparkSession.sparkContext.broadcast((model.weight, model.prior))
+    columns = f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>"
+    found = materialise(pages.select(F.col(id_col).alias("page_id"), url_col).mapInArrow(split, f"{columns}, site string, fold int"), "urls")
+    scorer = pages.sparkSession.sparkContext.broadcast(decided_evidence(found, rules))
 
     def score(batches):
-        weight, prior = scorer.value
+        evidence, named = scorer.value, (_named(BLOCK_NAMES), _named(ALLOW_NAMES))
+
+        @lru_cache(FOLDS)
+        def model_without(fold: int) -> tuple[dict[str, float], float]:
+            model = UrlModel()
+            model.learn(named, *evidence.without(fold if fold in evidence.sites else None))
+            return model.weight, model.prior
+
         for batch in batches:
-            scores = [probability(prior + sum(weight.get(w, 0.0) for w in words)) for words in batch.column(5).to_pylist()]
+            scores = []
+            for words, fold in zip(batch.column(5).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                weight, prior = model_without(fold if fold in evidence.sites else -1)
+                scores.append(probability(prior + sum(weight.get(w, 0.0) for w in words)))
             verdicts = [v or ("block" if p >= threshold else "allow") for v, p in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), batch.column(5), pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), batch.column(5), pa.array(scores, pa.float64()), batch.column(7)], names=[*batch.schema.names[:6], "score", "fold"])
+
+    return materialise(found.mapInArrow(score, f"{columns}, score double, fold int"), "judged")
+
 
-    return materialise(found.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>, score double"), "judged")
+def held_out_accuracy(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """site, pages, right, prior_right: of the pages that rules decide, how many the model, which hasn't seen their site, judges as the rule does, and how many the share of blocked names alone would."""
+    right = lambda says: F.count_if(F.col("verdict") == F.when(says, "block").otherwise("allow"))
+    site = F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("site")
+    return judged.where("rule is not null").groupBy(site).agg(F.count("*").alias("pages"), right(F.col("score") >= threshold).alias("right"), right(F.lit(PRIOR_BLOCK >= threshold)).alias("prior_right"))

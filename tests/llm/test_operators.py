@@ -158,6 +158,22 @@ def test_lines_follow_sites(spark):
     assert 50 not in kept and kept[0] == rows[0][1] and spread not in kept[3] and near in kept[3]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    rows = [(1, "a b c d e f"), (1, "q w r t y u i"), (2, a), (2, a), (2, b), (3, a + " more"), (4, c), (5, c), (6, d), (6, None), (6, ""), (7, d), (None, a), (None, None)]
+    docs = make(spark, rows)
+    got = minhash.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    # 2's a comes after 3, 6's d after 7.
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "q w r t y u i"), (2, b), (3, a + " more"), (4, c), (6, None), (6, ""), (7, d), (None, a), (None, None)], key=str)
+
+
+def test_one_id_for_all_texts_loses_none(spark):
+    docs = spark.range(3000).select(F.lit(9).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(k))) for k in range(8))).alias("text"))
+    assert minhash.keep_one_of_each(docs.union(docs)).distinct().count() == 3000 == minhash.keep_one_of_each(docs.union(docs)).count()
+
+
 # ---------------------------------------------------------------------- urls
 
 
@@ -182,17 +198,30 @@ def test_urls_learn_from_the_table(spark):
     rows += [(200, "http://blutomi.com/", ""), (201, "http://gresana.net.com/", ""), (202, "http://" + "blutomi" * 3000 + ".com/", "")]
     got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[200].words == ["blu", "tomi", "com"] and got[200].verdict == "block" and got[201].verdict == "allow" and got[202].words.count("tomi") == 3000
-    words, verdicts = [], []
+    assert got[0].rule == "net/" and got[100].rule == "org/fr/"
+    # A model per page, from all sites but its own.
+    words, sites = set(), set()
     for r in got.values():
         if r.rule:
-            words += [(w, r.verdict) for w in r.words if w not in {"net", "example", "org", "fr", "com", "de", "en"} and len(w) > 1]
-            verdicts.append(r.verdict)
-    seen = collections.Counter(words)
-    model = urls.UrlModel({}, {w: (seen[w, "block"], seen[w, "allow"]) for w, _ in seen}, (verdicts.count("block"), verdicts.count("allow")))
+            words |= {(urls.site_of(r.host), w, r.verdict) for w in r.words if w not in {"net", "example", "org", "fr", "com", "de", "en"} and len(w) > 1}
+            sites.add((urls.site_of(r.host), r.verdict))
     for r in got.values():
+        b, a, vocabulary = [collections.Counter(w for s, w, v in words if v == x and s != urls.site_of(r.host)) for x in ("block", "allow")] + [{w for s, w, _ in words if s != urls.site_of(r.host)}]
+        model = urls.UrlModel({}, {w: (b[w], a[w]) for w in vocabulary}, tuple(sum(v == x and s != urls.site_of(r.host) for s, v in sites) for x in ("block", "allow")))
         assert r.score == pytest.approx(urls.probability(model.prior + sum(model.weight.get(w, 0) for w in r.words)))
 
 
+def test_a_rule_for_a_path_says_nothing_of_its_site(spark):
+    """Pages of example.com that no rule decides aren't blocked for the words that they share with example.com/de/."""
+    rows = [(i, f"http://m.tionsh.example.com/{'de' if i % 2 else 'en'}/{i}.html", "") for i in range(200)] + [(1000 + i, f"http://www.other{i % 9}.example.net/es/{i}.html", "") for i in range(100)]
+    rows += [(2000 + i, f"http://blog.third.example.org/{'fr' if i % 2 else 'en'}/{i}.html", "") for i in range(100)] + [(3000, "http://ads-track.example.com/en/1.html", "")]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    verdicts = {(r.host, r.rule is None, r.verdict) for r in got.collect()}
+    assert ("m.tionsh.example.com", True, "allow") in verdicts and ("m.tionsh.example.com", True, "block") not in verdicts
+    assert ("m.tionsh.example.com", False, "block") in verdicts and ("ads-track.example.com", True, "block") in verdicts and ("blog.third.example.org", True, "allow") in verdicts
+    assert {r.site: r.pages for r in urls.held_out_accuracy(got).collect()} == {"example.com": 100, "example.net": 100, "example.org": 50}
+
+
 def test_segmentation_is_the_likeliest():
     """Against all splits of a name, over a lexicon and with letters of no word."""
     import math
