@@ -50,6 +50,8 @@ PRIOR_BLOCK = 0.3
 LEAST_SHARE, LONGEST = 1e-5, 24
 #: Evidence of the labelled names, as a part of what the decided sites give.
 NAMES_PART = 0.5
+#: Added to a word's sites of either verdict: so one site alone weighs less than the prior.
+SMOOTHING = 1.0
 #: Parts that sites are dealt into; a page is scored without its own site's part.
 FOLDS = 64
 
@@ -64,7 +66,7 @@ def _named(names) -> dict[str, int]:
 class UrlModel:
     """A lexicon (word -> times) and a classifier (word -> sites that are blocked and allowed with it; sites of either verdict)."""
 
-    def __init__(self, lexicon: dict[str, int] | None = None, decided: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0), *, block=BLOCK_NAMES, allow=ALLOW_NAMES, prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = 0.5):
+    def __init__(self, lexicon: dict[str, int] | None = None, decided: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0), *, block=BLOCK_NAMES, allow=ALLOW_NAMES, prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = SMOOTHING):
         named = (_named(block), _named(allow))
         total = sum((lexicon or {}).values())
         times = {w: max(1.0, LEAST_SHARE * total) * sum(c.get(w, 0) for c in named) for w in {*named[0], *named[1]}}
@@ -76,7 +78,7 @@ class UrlModel:
         self.longest = max(map(len, times))
         self.learn(named, decided or {}, urls, prior_block, names_part, smoothing)
 
-    def learn(self, named, decided: dict, urls: tuple[int, int], prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = 0.5) -> None:
+    def learn(self, named, decided: dict, urls: tuple[int, int], prior_block: float = PRIOR_BLOCK, names_part: float = NAMES_PART, smoothing: float = SMOOTHING) -> None:
         seen = sum(a + b for a, b in decided.values())
         each = max(1.0, names_part * seen / max(1, sum(sum(c.values()) for c in named)))
         words = {*named[0], *named[1], *decided}
