@@ -74,6 +74,29 @@ def same_category_edges(places: DataFrame) -> DataFrame:
     return a.join(b, ["destination_id", "category"]).where("src <> dst").select("src", "dst", "category")
 
 
+def same_category_classes(places: DataFrame) -> DataFrame:
+    """destination_id, category, n, links: each class of places that are all linked with each other, both ways, without listing the links."""
+    classes = places.where(F.col("category").isNotNull()).groupBy("destination_id", "category").agg(F.count("*").alias("n"))
+    return classes.select("destination_id", "category", "n", (F.col("n") * (F.col("n") - 1)).alias("links"))
+
+
+def same_category_of(asked: DataFrame, places: DataFrame, top_k: int | None = None) -> DataFrame:
+    """src, dst, category of the places asked for (id): the others of their class, or the top_k most popular of them.
+
+    Only classes that are asked for are read; with top_k a class is ranked once,
+    and each place meets so many of it and one more, in case it is among them.
+    """
+    own = asked.select("id").distinct().join(places.select("id", "destination_id", "category"), "id").where(F.col("category").isNotNull())
+    members = places.join(own.select("destination_id", "category").distinct(), ["destination_id", "category"], "left_semi")
+    if top_k is not None:
+        members = top(members, ["destination_id", "category"], [F.desc("popularity"), F.asc("id")], top_k + 1).drop("rank")
+    order = [F.desc("popularity"), F.asc("dst")] if top_k is not None else [F.asc("dst")]
+    columns = ["destination_id", "category", F.col("id").alias("dst"), *(["popularity"] if top_k is not None else [])]
+    pairs = own.withColumnRenamed("id", "src").join(members.select(*columns), ["destination_id", "category"]).where("src <> dst")
+    pairs = pairs if top_k is None else top(pairs, ["src"], order, top_k)
+    return pairs.select("src", "dst", "category")
+
+
 def preferred_places(places: DataFrame, affinity: DataFrame, top_k: int = 20, by_city: bool = True) -> DataFrame:
     """The places that each archetype likes best, by weight and popularity."""
     rows = places.join(F.broadcast(affinity), "category").select("archetype", "destination_id", "id", "category", "weight", "popularity", "ord")

@@ -81,7 +81,7 @@ def build_places(elements: DataFrame, info: DataFrame) -> DataFrame:
     summary, known = F.coalesce(F.length("summary"), F.lit(0)) > 0, F.coalesce(F.length("description"), F.lit(0)) > 0
     rows = e.select(
         "ord", "destination_id", "name", "category",
-        F.when(node, F.col("lat")).otherwise(F.col("center")["lat"]).alias("lat"), F.when(node, F.col("lon")).otherwise(F.col("center")["lon"]).alias("lon"),
+        F.round(F.when(node, F.col("lat")).otherwise(F.col("center")["lat"]), 6).alias("lat"), F.round(F.when(node, F.col("lon")).otherwise(F.col("center")["lon"]), 6).alias("lon"),
         T.category_default(F.col("category"), 0).alias("avg_visit_minutes"), price["level"].alias("price_level"), price["source"].alias("price_source"),
         F.when(summary, T.trim_description(F.col("summary"))).otherwise(T.describe(F.col("name"), F.col("city"), F.col("category"), F.col("description"))).alias("description"),
         F.when(summary, "wikipedia").when(known, "wikidata").otherwise("template").alias("description_source"),

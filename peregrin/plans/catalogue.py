@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import demand as stream_demand
-from . import compare, connectors, demand_routing, prep_eval, retrieval_graph, trip
+from . import compare, connectors, demand_routing, prep_eval, retrieval_graph, scaled, trip
 
-PARTS = (retrieval_graph, demand_routing, prep_eval, connectors, trip, compare, stream_demand)
+PARTS = (retrieval_graph, demand_routing, prep_eval, connectors, trip, compare, scaled, stream_demand)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

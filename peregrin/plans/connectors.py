@@ -165,7 +165,7 @@ def _info(spark: SparkSession, d: str) -> DataFrame:
 
 def place_rows(spark, d):
     """Catalogue rows of all elements that saved map queries hold."""
-    return P.build_places(_found(spark, d), _info(spark, d)).drop("lat", "lon")
+    return P.build_places(_found(spark, d), _info(spark, d))
 
 
 def places_refreshed(spark, d):
@@ -228,7 +228,7 @@ SQL = {
       h AS (SELECT *, try_cast(regexp_extract(hours, '{PATTERN}', 1) AS INT) AS a, try_cast(regexp_extract(hours, '{PATTERN}', 2) AS INT) AS b FROM kinds WHERE category IS NOT NULL AND name IS NOT NULL),
       o AS (SELECT h.*, known, summary, views, links, coalesce(a BETWEEN 0 AND 24 AND b BETWEEN 0 AND 24, false) AS read, coalesce(fee = 'yes' OR coalesce(charge, '') <> '', coalesce(charge, '') <> '') AS paid, {FAME} AS fame FROM h LEFT JOIN info USING (qid)),
       f AS (SELECT *, 2.5::DOUBLE + 2.5::DOUBLE * cume_dist() OVER (PARTITION BY destination_id ORDER BY fame) AS x FROM o)
-      SELECT id AS ord, destination_id, name, category, {_default(0)} AS avg_visit_minutes, CASE WHEN fee = 'no' THEN 0 WHEN paid THEN greatest({_default(1)}, 1) ELSE {_default(1)} END AS price_level,
+      SELECT id AS ord, destination_id, name, category, round(lat, 6) AS lat, round(lon, 6) AS lon, {_default(0)} AS avg_visit_minutes, CASE WHEN fee = 'no' THEN 0 WHEN paid THEN greatest({_default(1)}, 1) ELSE {_default(1)} END AS price_level,
       CASE WHEN fee = 'no' OR paid THEN 'osm' ELSE 'category_default' END AS price_source,
       CASE WHEN summary IS NOT NULL THEN summary WHEN known IS NOT NULL THEN name || ' is a ' || known || ', in ' || city || '.' ELSE CASE category {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.TEMPLATES.items())} ELSE '{T.ANY_TEMPLATE}' END || city || '.' END AS description,
       CASE WHEN summary IS NOT NULL THEN 'wikipedia' WHEN known IS NOT NULL THEN 'wikidata' ELSE 'template' END AS description_source,

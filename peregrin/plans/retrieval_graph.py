@@ -139,7 +139,9 @@ def graph_node_stats(spark, d):
 def graph_edge_stats(spark, d):
     places, cities = D.places(spark, d), D.cities(spark, d)
     prefers = places.join(F.broadcast(G.affinity_table(spark)), "category")
-    return G.edge_counts(HAS_POI=G.contains_edges(cities, places, "HAS_POI"), HAS_TRANSPORT=G.contains_edges(cities, D.hubs(spark, d), "HAS_TRANSPORT"), NEAR=G.near_edges(places), PREFERS=prefers)
+    counts = G.edge_counts(HAS_POI=G.contains_edges(cities, places, "HAS_POI"), HAS_TRANSPORT=G.contains_edges(cities, D.hubs(spark, d), "HAS_TRANSPORT"), NEAR=G.near_edges(places), PREFERS=prefers)
+    # Places of a class are all linked: counted by class, not listed.
+    return counts.unionByName(G.same_category_classes(places).agg(F.lit("SAME_CATEGORY").alias("relation"), F.coalesce(F.sum("links"), F.lit(0)).alias("n")))
 
 
 def graph_near_edges(spark, d):
@@ -229,7 +231,8 @@ SQL = {
     "graph_has_poi": f"WITH {D.PLACES}, {D.HUBS} SELECT destination_id AS src, id AS dst, 'HAS_POI' AS relation FROM places JOIN nation ON destination_id = n_nationkey UNION ALL SELECT destination_id, id, 'HAS_TRANSPORT' FROM hubs JOIN nation ON destination_id = n_nationkey",
     "graph_node_stats": "SELECT 'City' AS type, count(*) AS n FROM nation UNION ALL SELECT 'POI', count(*) FROM customer UNION ALL SELECT 'Transport', count(*) FROM supplier UNION ALL SELECT 'ArchetypeProfile', 7",
     "graph_edge_stats": f"""WITH {D.PLACES}, {AFFINITY}, {NEAR} SELECT 'HAS_POI' AS relation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'HAS_TRANSPORT', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey
-      UNION ALL SELECT 'NEAR', count(*) FROM near UNION ALL SELECT 'PREFERS', count(*) FROM places JOIN affinity USING (category)""",
+      UNION ALL SELECT 'NEAR', count(*) FROM near UNION ALL SELECT 'PREFERS', count(*) FROM places JOIN affinity USING (category)
+      UNION ALL SELECT 'SAME_CATEGORY', coalesce(sum(n * (n - 1)), 0)::BIGINT FROM (SELECT count(*) AS n FROM places GROUP BY destination_id, category)""",
     "graph_near_edges": f"WITH {D.PLACES}, {NEAR} SELECT * FROM near",
     "nearby_topk": f"WITH {D.PLACES}, {NEAR} SELECT src, dst, distance_km, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance_km, dst) AS rank FROM near WHERE distance_km <= 1.5) WHERE rank <= 5",
     "graph_same_category": f"WITH {D.HUBS} SELECT a.id AS src, b.id AS dst, a.category FROM hubs a JOIN hubs b ON a.destination_id = b.destination_id AND a.category = b.category AND a.id <> b.id",

@@ -96,6 +96,33 @@ def request_states(attempts: DataFrame, most: int = 4, first_wait: float = 5.0)
     return per.select("key", state.alias("state"), F.when(state == "retry", F.lit(first_wait) * F.pow(F.lit(2.0), F.col("n") - 1)).alias("wait"))
 
 
+LANDED = "key string, at bigint, status int, body string, state string"
+
+
+def land(landed: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The landing table brought up to date: key, at, status, body, state; a row per key that any attempt was made for.
+
+    landed: such a table, or an empty one; attempts: key, at, status, body, new
+    ones since. A readable answer counts before any other outcome, and the newest
+    of those; without one the newest attempt counts, so a key that is known to
+    have no answer (`absent`) keeps its entry until one comes. state: answered,
+    absent or failed. What is already there is read once and not parsed again;
+    only the newest of a key's rows is kept.
+    """
+    ok = F.coalesce((F.col("status") < 400) & F.try_parse_json("body").isNotNull(), F.lit(False))
+    none = F.coalesce(F.col("status").between(400, 499) & (F.col("status") != 429), F.lit(False))
+    state = F.when(ok, "answered").when(none, "absent").otherwise("failed")
+    new = attempts.select("key", F.col("at").cast("long").alias("at"), F.col("status").cast("int").alias("status"), "body", state.alias("state")).where("key is not null")
+    every = landed.select("key", "at", "status", "body", "state").unionByName(new)
+    best = F.max_by(F.struct("at", "status", "body", "state"), F.struct((F.col("state") == "answered").alias("ok"), "at", "state", "body"))
+    return every.groupBy("key").agg(best.alias("r")).select("key", "r.at", "r.status", F.when(F.col("r.state") == "answered", F.col("r.body")).alias("body"), "r.state")
+
+
+def to_ask(keys: DataFrame, landed: DataFrame) -> DataFrame:
+    """The keys that a next round has to ask for: those without an entry that settles them, each once."""
+    return keys.select("key").where("key is not null").distinct().join(landed.where("state in ('answered', 'absent')"), "key", "left_anti")
+
+
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """path (file), body: saved responses as they lie in a folder."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))

@@ -26,9 +26,10 @@ def decode_tags(raw: Column) -> Column:
     return F.from_json(raw, "array<string>")
 
 
-def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """destination_id (the file's stem), text: one row per text file."""
-    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"([^/]+)\.txt$", 1).alias("destination_id"), F.col("value").alias("text"))
+def read_guides(spark: SparkSession, path: str, named: str = r"([^/]+)\.txt$") -> DataFrame:
+    """destination_id, text: one row per text file, named by the group of a pattern in its path (the file's stem)."""
+    files = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.regexp_extract("_metadata.file_path", named, 1).alias("destination_id"), F.col("value").alias("text"))
 
 
 def corpus(guides: DataFrame, places: DataFrame, destinations: DataFrame) -> DataFrame:
@@ -50,6 +51,33 @@ def read_edges(spark: SparkSession, path: str, *relations: str) -> DataFrame:
     return edges.where(F.col("relation").isin(*relations)) if relations else edges
 
 
+def store_graph(nodes: DataFrame, edges: DataFrame, name: str, path: str | None = None, buckets: int = 32) -> None:
+    """Nodes (id, type and more) and edges (src, dst, relation and more) as two tables, name_nodes and name_edges, in buckets of id and src.
+
+    Nodes and the edges that leave them lie in buckets of one number, sorted, so
+    a step from nodes along their edges joins without moving the edges, however
+    often it is made. Tables of that name are replaced. They lie under path, or
+    else in the warehouse.
+    """
+    for kind, rows, key in (("nodes", nodes, "id"), ("edges", edges, "src")):
+        writer = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+        (writer if path is None else writer.option("path", f"{path}/{kind}")).saveAsTable(f"{name}_{kind}")
+
+
+def stored_nodes(spark: SparkSession, name: str, *types: str) -> DataFrame:
+    nodes = spark.table(f"{name}_nodes")
+    return nodes.where(F.col("type").isin(*types)) if types else nodes
+
+
+def walk(spark: SparkSession, name: str, start: DataFrame, *relations: str) -> DataFrame:
+    """start, dst: the nodes that a path from a start node (id) along edges of these relations, one after the other, ends at; each path is a row."""
+    at = start.select(F.col("id").alias("start"), F.col("id").alias("at"))
+    for relation in relations:
+        edges = spark.table(f"{name}_edges").where(F.col("relation") == relation).select("src", "dst")
+        at = at.join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at"))
+    return at.withColumnRenamed("at", "dst")
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Parquet, CSV with a header, or text (one string column)."""
     writer = df.write.mode("overwrite")
