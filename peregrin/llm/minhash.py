@@ -267,16 +267,17 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = docs.where(F.col(id_col).isNotNull()).withColumns(hashes)
     versions = materialise(named.groupBy(F.col(id_col).alias("id"), one, two).agg(F.lit(1).alias("x")).drop("x"), "versions")
     several = versions.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    rows = named.dropDuplicates([id_col, one, two])
     if several.isEmpty():
-        numbered = rows.withColumn(number, F.col(id_col).cast("long"))
+        # As they were read, so that no step below shuffles texts to look at them.
+        numbered = named.withColumn(number, F.col(id_col).cast("long"))
     else:
         stats = versions.agg(F.max("id"), F.count("*")).first()
         new = materialise(join_hot(versions, several, ["id"], "n", stats[1]), "several")
         new = materialise(new.withColumn("m", F.monotonically_increasing_id() + F.lit(stats[0] + 1)), "numbered").select(F.col("id").alias("id_"), F.col(one).alias("one_"), F.col(two).alias("two_"), F.col("m").alias(number))
-        joined = rows.join(new, (F.col(id_col) == F.col("id_")) & (F.col(one) == F.col("one_")) & (F.col(two) == F.col("two_")), "left").drop("id_", "one_", "two_")
+        once = named.dropDuplicates([id_col, one, two])
+        joined = once.join(new, (F.col(id_col) == F.col("id_")) & (F.col(one) == F.col("one_")) & (F.col(two) == F.col("two_")), "left").drop("id_", "one_", "two_")
         numbered = materialise(joined.withColumn(number, F.coalesce(number, F.col(id_col).cast("long"))), "versioned")
     judged = near_duplicates(numbered.select(F.col(number).alias("doc_id"), F.col(text_col).alias("text")), **options)
     gone = judged.where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    left = numbered.join(gone, F.col(number) == F.col("gone_"), "left_anti").select(*docs.columns)
+    left = numbered.join(gone, F.col(number) == F.col("gone_"), "left_anti").dropDuplicates([number]).select(*docs.columns)
     return left.unionByName(docs.where(F.col(id_col).isNull()))
