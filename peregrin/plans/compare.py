@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import evaluate as E, graph as G, retrieval as R, routing as RT
+from ..operators import evaluate as E, graph as G, retrieval as R
 from ..session import cut, small_table
 from . import demo as D
+from .trip import route_trips
 
 CONFIGS = ("fusion", "hybrid", "standard")
 GOLD_KM = 6.0
-#: Nations in the role of the reference's cities.
+#: Nations in the role of the cities.
 CITIES = {"IST": 1, "PAR": 6, "ROM": 4, "BCN": 8, "AMS": 13, "PRG": 17, "VIE": 22, "LIS": 24}
-#: The 18 requests of the reference's evaluation: (city, archetype, category, query). The tables have no nightlife, beach, history and culture, so there the gold set is empty.
+# The 18 requests of the evaluation (city, archetype, category, query).
 REQUESTS = [
     ("IST", "Culture Enthusiast", "landmark", "landmarks within walking distance of a transport hub"),
     ("PAR", "Culture Enthusiast", "museum", "museums close to a train station or airport"),
@@ -36,11 +37,12 @@ REQUESTS = [
 ]
 
 
-def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, documents: DataFrame, vectors: DataFrame, affinity: DataFrame, top_k: int = 8) -> DataFrame:
+def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, documents: DataFrame, vectors: DataFrame, affinity: DataFrame, destinations: DataFrame, top_k: int = 8, mode: str = "walking") -> DataFrame:
     """config, query_id, n_gold, n_hit, recall, precision, grounded, km_per_stop.
 
     requests: query_id, destination_id, archetype, category, query, vector.
-    documents and vectors: as for document_search. The gold set is the category's places within 6 km of a hub. The standard configuration
+    documents and vectors: as for document_search. destinations: destination_id,
+    lat, lon of the centres. The gold set is the category's places within 6 km of a hub. The standard configuration
     retrieves nothing and falls back to the city's first places, which count for
     precision and the route but aren't grounded.
     """
@@ -55,7 +57,7 @@ def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, doc
     lost = every.join(found.select("config", "query_id").distinct(), ["config", "query_id"], "left_anti")
     first = R.top(places.select("destination_id", F.col("id").alias("doc_id")), ["destination_id"], [F.asc("doc_id")], top_k)
     fallback = lost.join(first, "destination_id").select("config", "query_id", "doc_id", "rank")
-    detail = places.select(F.col("id").alias("doc_id"), "category", "lat", "lon")
+    detail = places.select(F.col("id").alias("doc_id"), "category", "lat", "lon", "visit", "open", "close")
     hits = cut(found.withColumn("retrieved", F.lit(True)).unionByName(fallback.withColumn("retrieved", F.lit(False))).join(detail, "doc_id"))
     by = ["config", "query_id"]
     gold = requests.select("query_id", "destination_id", "category").join(G.nearest_hub(places, hubs, GOLD_KM).select("destination_id", "category", F.col("id").alias("doc_id")), ["destination_id", "category"]).select("query_id", "doc_id")
@@ -64,8 +66,12 @@ def compare_configs(requests: DataFrame, places: DataFrame, hubs: DataFrame, doc
     liked = requests.select("query_id", "archetype").join(affinity.select("archetype", "category"), "archetype")
     precision = E.precision(hits, liked, by)
     grounded = hits.groupBy(*by).agg(F.max(F.when(F.col("retrieved"), 1.0).otherwise(0.0)).alias("grounded"))
-    stops = hits.withColumn("trip_id", F.col("query_id") * 10 + F.array_position(F.array(*(F.lit(c) for c in CONFIGS)), F.col("config"))).select("trip_id", *by, F.col("doc_id").alias("id"), "lat", "lon", "category", F.lit(60).alias("visit"), F.lit(9).alias("open"), F.lit(20).alias("close"))
-    days = RT.itineraries(stops, days=1).groupBy("trip_id").agg(F.max("day_km").alias("km"), F.count("*").alias("n_stops"))
+    # A day's route for each request and configuration, from the city's centre and with meals.
+    numbered = F.col("query_id") * 10 + F.array_position(F.array(*(F.lit(c) for c in CONFIGS)), F.col("config"))
+    stops = cut(hits.withColumn("trip_id", numbered).select("trip_id", *by, F.col("doc_id").alias("id"), "lat", "lon", "category", "visit", "open", "close", F.lit("sight").alias("role")))
+    kinds = cut(every.withColumn("trip_id", numbered).select("trip_id", "destination_id", F.lit(1).alias("days"), F.lit(480.0).alias("day_budget"), F.lit(mode).alias("mode")))
+    centres = destinations.select("destination_id", F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
+    days = route_trips(kinds, stops.drop(*by), places, centres).groupBy("trip_id").agg(F.max("day_km").alias("km"), F.count("*").alias("n_stops"))
     km = E.km_per_stop(stops.select("trip_id", *by).distinct().join(days, "trip_id", "left"), by)
     return recall.join(precision, by, "left").join(grounded, by, "left").join(km, by, "left")
 
@@ -77,8 +83,10 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comparative_analysis(spark: SparkSession, d: str) -> DataFrame:
-    places = D.places(spark, d)
-    return compare_configs(_requests(spark, d), places, D.hubs(spark, d), D.place_texts(spark, d), D.place_vectors(spark, d), G.affinity_table(spark))
+    places = D.places(spark, d).withColumns({"visit": F.lit(60), "open": F.lit(9), "close": F.lit(20)})
+    lat, lon = D.coordinates("destination_id")
+    centres = D.cities(spark, d).select("destination_id", lat.alias("lat"), lon.alias("lon"))
+    return compare_configs(_requests(spark, d), places, D.hubs(spark, d), D.place_texts(spark, d), D.place_vectors(spark, d), G.affinity_table(spark), centres)
 
 
 def comparative_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as T
 
 SEGMENTS = {"AUTOMOBILE": "shopping", "BUILDING": "landmark", "FURNITURE": "museum", "HOUSEHOLD": "food", "MACHINERY": "nature"}
+#: What every third key of a segment is instead, so that all ten categories occur.
+OTHERS = {"AUTOMOBILE": "nightlife", "BUILDING": "history", "FURNITURE": "culture", "HOUSEHOLD": "religion", "MACHINERY": "beach"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,8 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = coordinates("c_custkey")
-    category = F.coalesce(*(F.when(F.col("c_mktsegment") == k, v) for k, v in SEGMENTS.items()), F.lit("culture"))
+    third = F.col("c_custkey") % 3 == 0
+    category = F.coalesce(*(F.when(F.col("c_mktsegment") == k, F.when(third, OTHERS[k]).otherwise(v)) for k, v in SEGMENTS.items()), F.lit("culture"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("destination_id"), F.col("c_name").alias("name"), category.alias("category"), lat.alias("lat"), lon.alias("lon"), F.col("c_acctbal").alias("popularity"))
 
 
@@ -82,7 +85,7 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same in DuckDB's SQL.
 COORDS = "40.0::DOUBLE + ({k} * 7919 % 2000) / 10000.0::DOUBLE AS lat, 2.0::DOUBLE + ({k} * 104729 % 2000) / 10000.0::DOUBLE AS lon"
 PLACES = f"""places AS (SELECT c_custkey AS id, c_nationkey AS destination_id, c_name AS name,
-  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'shopping' WHEN 'BUILDING' THEN 'landmark' WHEN 'FURNITURE' THEN 'museum' WHEN 'HOUSEHOLD' THEN 'food' WHEN 'MACHINERY' THEN 'nature' ELSE 'culture' END AS category,
+  CASE c_mktsegment {" ".join(f"WHEN '{k}' THEN CASE WHEN c_custkey % 3 = 0 THEN '{OTHERS[k]}' ELSE '{v}' END" for k, v in SEGMENTS.items())} ELSE 'culture' END AS category,
   {COORDS.format(k="c_custkey")}, c_acctbal AS popularity FROM customer)"""
 HUBS = f"""hubs AS (SELECT s_suppkey AS id, s_nationkey AS destination_id, ['shopping', 'landmark', 'museum', 'food', 'nature'][(s_suppkey % 5 + 1)::INT] AS category,
   {COORDS.format(k="s_suppkey")}, s_acctbal AS popularity FROM supplier)"""

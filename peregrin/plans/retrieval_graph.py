@@ -11,6 +11,8 @@ from . import demo as D
 
 #: (id, query, language wanted or none)
 QUERIES_TEXT = [(1, "the onanst hentha and the thing", None), (2, "de la que ciones", "es"), (3, "der die und einver", "de"), (4, "museum near station", None)]
+#: (id, query, city wanted or none) of places; the vector of query q is that of vec_id q.
+PLACE_QUERIES = [(1, "a museum in France", 6), (2, "food and nightlife", None), (3, "landmark or history in Germany", 7), (4, "nature near China", None)]
 GRAPH_QUERIES = [(1, 3, None, "culture museum walk"), (2, 7, None, "best food close to the airport"), (3, 11, "Nature & Adventure", "anything"), (4, 2, None, "quiet streets"), (5, None, None, "museum"), (6, 9, "Unknown", "shopping")]
 K = 10
 
@@ -56,12 +58,13 @@ def cosine_topk_by_label(spark, d):
 
 
 def _lists(spark, d):
-    """Keyword and vector lists of the text queries; the vector of query q is that of vec_id q."""
-    q = D.table(spark, d, "embeddings").where(F.col("vec_id").isin([i for i, _, _ in QUERIES_TEXT])).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    semantic = R.cosine_topk(D.table(spark, d, "embeddings"), q, top_k=2 * K).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("doc_id"), "rank")
-    keyword = R.bm25(D.table(spark, d, "documents"), text_queries(spark), filter_col="lang", top_k=2 * K).select("query_id", F.lit("keyword").alias("retriever"), "doc_id", "rank")
-    graph = R.top(D.places(spark, d).select((F.col("destination_id") % 4 + 1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), "popularity"), ["query_id"], [F.desc("popularity"), F.asc("doc_id")], 2 * K).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
-    return semantic.unionByName(keyword).unionByName(graph)
+    """Vector, keyword and graph lists of the queries about places: all three name places by one id."""
+    q = small_table(spark, PLACE_QUERIES, "query_id long, query string, destination_id int")
+    vectors = D.query_vectors(spark, d).where(F.col("vec_id").isin([i for i, _, _ in PLACE_QUERIES])).withColumnRenamed("vec_id", "query_id")
+    found = R.document_search(q.join(vectors, "query_id", "left"), D.place_texts(spark, d), D.place_vectors(spark, d), 2 * K)
+    routed = q.withColumn("r", T.route_query(F.col("query"), F.lit(None).cast("string"))).select("query_id", "destination_id", "r.*")
+    graph = G.graph_search(routed, D.places(spark, d), D.hubs(spark, d), G.affinity_table(spark), 2 * K).select("query_id", F.lit("graph").alias("retriever"), "doc_id", "rank")
+    return found.unionByName(graph)
 
 
 def rrf_fusion(spark, d):
@@ -196,14 +199,6 @@ keyword AS (SELECT query_id, doc AS doc_id, score, row_number() OVER (PARTITION
 COSINE = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q, embeddings v WHERE {where}),
 semantic AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)"""
-RRF = f"""WITH {BM25_LIST}, {COSINE.format(where="q.vec_id BETWEEN 1 AND 4")}, {D.PLACES},
-graph AS (SELECT (destination_id % 4 + 1)::BIGINT AS query_id, id AS doc_id, row_number() OVER (PARTITION BY destination_id % 4 ORDER BY popularity DESC, id) AS rank FROM places),
-lists AS (SELECT query_id::BIGINT AS query_id, 'semantic' AS retriever, vec_id AS doc_id, rank, 0 AS lo FROM semantic WHERE rank <= 20
-  UNION ALL SELECT query_id, 'keyword', doc_id, rank, 1 FROM keyword WHERE rank <= 20 UNION ALL SELECT query_id, 'graph', doc_id, rank, 2 FROM graph WHERE rank <= 20),
-fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(retriever, ',' ORDER BY retriever) AS sources, max_by(retriever || '#' || doc_id, lo) AS payload, min(lo * 1000 + rank) AS met
-  FROM lists WHERE lo <= {{lo}} GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, met, doc_id) AS rank FROM fused)
-"""
 ROUTE = lambda q: (
     "CASE " + " ".join("WHEN " + " OR ".join(f"contains({q}, '{w}')" for w in ws) + f" THEN '{a}'" for a, ws in T.ARCHETYPE_WORDS.items()) + " END AS archetype, "
     + "CASE " + " ".join(f"WHEN contains({q}, '{c}') THEN '{c}'" for c in T.CATEGORY_WORDS) + " END AS category, "
@@ -214,6 +209,24 @@ LIKED = """liked AS (SELECT archetype, destination_id, id, weight, popularity, r
 NEAR = f"near AS (SELECT a_ AS src, b_ AS dst, {D.half_even('km', 3)} AS distance_km FROM (SELECT a.id AS a_, b.id AS b_, {D.km('a.', 'b.')} AS km FROM places a JOIN places b ON a.destination_id = b.destination_id AND a.id <> b.id) WHERE km <= 2.0)"
 HUB = f"hub AS (SELECT p.id, p.destination_id, p.category, min({D.km('p.', 'h.')}) AS km FROM places p JOIN hubs h ON p.destination_id = h.destination_id GROUP BY 1, 2, 3)"
 
+PLACE_TEXTS = "documents AS (SELECT p.id AS doc_id, p.destination_id AS lang, p.name || ' (' || category || ') in ' || n_name || ': ' AS text FROM places p JOIN nation ON n_nationkey = p.destination_id)"
+RRF = f"""WITH {D.PLACES}, {D.HUBS}, {AFFINITY}, {PLACE_TEXTS}, {BM25_LIST.replace(_values(QUERIES_TEXT), _values(PLACE_QUERIES))}, {LIKED}, {HUB},
+semantic AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank
+  FROM embeddings q JOIN q w ON w.query_id = q.vec_id JOIN embeddings v ON true JOIN places p ON p.id = v.vec_id WHERE w.lang IS NULL OR w.lang = p.destination_id),
+routed AS (SELECT query_id, lang AS destination_id, {ROUTE('query')} FROM (SELECT query_id, lang, lower(query) AS query FROM q) WHERE lang IS NOT NULL),
+found AS (SELECT query_id, id, 0 AS branch, rank AS ord FROM routed q JOIN liked l ON q.destination_id = l.destination_id AND q.archetype = l.archetype AND l.rank <= 20
+  UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY hub_km, id) FROM (SELECT query_id, h.id, {D.half_even('km', 2)} AS hub_km FROM routed q JOIN hub h ON q.destination_id = h.destination_id AND q.category = h.category AND near_transport AND km <= 3.0)
+  UNION ALL SELECT query_id, p.id, 1, row_number() OVER (PARTITION BY query_id ORDER BY p.id) FROM routed q JOIN places p ON q.destination_id = p.destination_id AND q.category = p.category AND NOT near_transport),
+every AS (SELECT * FROM found UNION ALL SELECT * FROM (SELECT query_id, p.id, 2, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, p.id) AS ord FROM routed q JOIN places p ON q.destination_id = p.destination_id WHERE query_id NOT IN (SELECT query_id FROM found)) WHERE ord <= 20),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY branch, ord) AS r FROM every) WHERE r = 1),
+graph AS (SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY branch, ord, id) AS rank FROM firsts),
+lists AS (SELECT query_id::BIGINT AS query_id, 'semantic' AS retriever, vec_id AS doc_id, rank, 0 AS lo FROM semantic WHERE rank <= 20
+  UNION ALL SELECT query_id, 'keyword', doc_id, rank, 1 FROM keyword WHERE rank <= 20 UNION ALL SELECT query_id, 'graph', doc_id, rank, 2 FROM graph WHERE rank <= 20),
+fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(retriever, ',' ORDER BY retriever) AS sources, max_by(retriever || '#' || doc_id, lo) AS payload, min(lo * 1000 + rank) AS met
+  FROM lists WHERE lo <= {{lo}} GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, met, doc_id) AS rank FROM fused)
+"""
+
 SQL = {
     "tokenize_stats": "SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z'']+') AS w FROM documents)",
     "corpus_union": "SELECT 'doc::' || doc_id AS doc_id, 'doc' AS type, lang AS city, length(text)::BIGINT AS n FROM documents UNION ALL SELECT 'item::' || item_id, 'item', NULL, length(text)::BIGINT FROM benchmark",

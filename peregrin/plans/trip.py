@@ -134,33 +134,16 @@ def meal_venues(sights: DataFrame, kinds: DataFrame, food: DataFrame, centres: D
     return venues, at.join(reach, ["g", "id"], "left").groupBy("trip_id", "id").agg(F.min(F.coalesce("reach", every)).alias("reach"))
 
 
-def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: str = "fusion", mode: str = "hybrid", matrix: DataFrame | None = None, near_venues: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: the itineraries, the requests with archetype and destination, and what was retrieved (trip_id, id, rank).
-
-    requests: trip_id, preferences (a map), destination_id or null, travel_month
-    (yyyy-MM) or null, days and, optionally, max_price_level (places over it are
-    left out unless all are), day_budget (minutes) and mode. Days start from the
-    city's centre where destinations has lat and lon. Requests that agree in all
-    that a plan depends on share one, which is made once. forecasts: of the
-    months that decide between destinations. matrix: destination_id, src, dst,
-    profile, km, minutes on roads between places (and the centre, whose id is -1)
-    of a city; a trip uses it where it holds all legs that it needs.
-    near_venues: meals are looked for near the trip's sights, and again farther
-    off for trips where that doesn't settle them; else in all its city at once.
-    On roads the venues near by are those by great circles.
+def route_trips(kinds: DataFrame, sights: DataFrame, places: DataFrame, centres: DataFrame, *, matrix: DataFrame | None = None, near_venues: bool = True) -> DataFrame:
+    """Itineraries from each city's centre with two meals a day.
+
+    kinds: trip_id, destination_id, days, day_budget, mode. sights: trip_id, id,
+    lat, lon, visit, open, close, category, role of what was retrieved. Any food
+    place of the city may serve a meal; one that was retrieved is a sight
+    already, which itineraries can turn into a meal. matrix and near_venues: as
+    for plan_trips.
     """
-    named = cut(with_defaults(classify_requests(requests, profiles), mode))
-    full = cut(named.drop("destination_id").join(choose_destination(named, destinations, forecasts), "trip_id"))
-    # A plan is known by the smallest of the trips that share it.
-    kinds = cut(full.groupBy(*KIND).agg(F.min("trip_id").alias("trip_id")))
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KIND]
-    shared = full.alias("f").join(kinds.alias("k"), same).select(F.col("f.trip_id").alias("trip"), F.col("k.trip_id").alias("trip_id"))
-    ids = cut(candidate_places(kinds, places, hubs, affinity, documents, vectors, query_vectors, config))
-    detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
-    price = kinds.select("trip_id", F.col("max_price_level").alias("most_price"))
-    centres = destinations.select("destination_id", *((F.col(c) if c in destinations.columns else F.lit(None).cast("double")).alias(f"hub_{c}") for c in ("lat", "lon")))
-    sights = cut(RT.within_budget(ids.join(detail, "id").join(price, "trip_id")).withColumn("role", F.lit("sight")))
-    # Any food place of the city may serve a meal; one that was retrieved is a sight already, which itineraries can turn into a meal.
+    detail = places.select("id", "lat", "lon", "category", "visit", "open", "close")
     food = places.where(F.col("category") == RT.FOOD)
     columns = ["trip_id", "id", "lat", "lon", "visit", "open", "close", "category", "role"]
     typical = food.groupBy("destination_id").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY coalesce(visit, {RT.VISIT_MINUTES}) DESC)").cast("double").alias("typical_meal"))
@@ -202,7 +185,36 @@ def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFr
             k *= 4
         else:
             days = plan(left, None) if days is None else days.unionByName(plan(left, None))
-    days = (plan(kinds, None) if days is None else days).drop("settled")
+    return (plan(kinds, None) if days is None else days).drop("settled")
+
+
+def plan_trips(requests: DataFrame, *, profiles: DataFrame, destinations: DataFrame, forecasts: DataFrame, places: DataFrame, hubs: DataFrame, affinity: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, config: str = "fusion", mode: str = "hybrid", matrix: DataFrame | None = None, near_venues: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: the itineraries, the requests with archetype and destination, and what was retrieved (trip_id, id, rank).
+
+    requests: trip_id, preferences (a map), destination_id or null, travel_month
+    (yyyy-MM) or null, days and, optionally, max_price_level (places over it are
+    left out unless all are), day_budget (minutes) and mode. Days start from the
+    city's centre where destinations has lat and lon. Requests that agree in all
+    that a plan depends on share one, which is made once. forecasts: of the
+    months that decide between destinations. matrix: destination_id, src, dst,
+    profile, km, minutes on roads between places (and the centre, whose id is -1)
+    of a city; a trip uses it where it holds all legs that it needs.
+    near_venues: meals are looked for near the trip's sights, and again farther
+    off for trips where that doesn't settle them; else in all its city at once.
+    On roads the venues near by are those by great circles.
+    """
+    named = cut(with_defaults(classify_requests(requests, profiles), mode))
+    full = cut(named.drop("destination_id").join(choose_destination(named, destinations, forecasts), "trip_id"))
+    # A plan is known by the smallest of the trips that share it.
+    kinds = cut(full.groupBy(*KIND).agg(F.min("trip_id").alias("trip_id")))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KIND]
+    shared = full.alias("f").join(kinds.alias("k"), same).select(F.col("f.trip_id").alias("trip"), F.col("k.trip_id").alias("trip_id"))
+    ids = cut(candidate_places(kinds, places, hubs, affinity, documents, vectors, query_vectors, config))
+    detail = places.select("id", "lat", "lon", "category", "visit", "open", "close", "price_level")
+    price = kinds.select("trip_id", F.col("max_price_level").alias("most_price"))
+    centres = destinations.select("destination_id", *((F.col(c) if c in destinations.columns else F.lit(None).cast("double")).alias(f"hub_{c}") for c in ("lat", "lon")))
+    sights = cut(RT.within_budget(ids.join(detail, "id").join(price, "trip_id")).withColumn("role", F.lit("sight")))
+    days = route_trips(kinds, sights, places, centres, matrix=matrix, near_venues=near_venues)
     out = lambda df: shared.join(df, "trip_id").drop("trip_id").withColumnRenamed("trip", "trip_id")
     return out(days), full, out(ids)
 
