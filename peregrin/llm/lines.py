@@ -27,24 +27,28 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     return lines.where(trimmed != "").select("id", "version", "site", F.col("pos").cast("long").alias("pos"), F.xxhash64(trimmed, F.length(trimmed)).alias("h"), F.xxhash64(F.lit("line"), trimmed).alias("g"))
 
 
-def spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES, band: float = BAND) -> DataFrame:
-    """h, g: the hashes of lines that stand on at least least_sites distinct sites.
+def spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES, band: float = BAND) -> tuple[DataFrame, int]:
+    """h, g, k: the hashes of lines that stand on at least least_sites distinct sites, and how often; and how many occurrences all lines of so many have.
 
-    Blank lines and null sites don't count.
+    Blank lines and null sites don't count. No task gets all occurrences of a
+    line that makes up over a thousandth of these.
     """
     lines = _lines(docs, id_col, text_col, site_col)
     sketches = lines.groupBy("h", "g").agg(F.count("*").alias("k"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("k") >= least_sites)
-    guess = materialise(sketches.select("h", "g", F.hll_sketch_estimate("s").alias("sites")), "sketches")
-    near = guess.where(F.col("sites").between(least_sites * (1 - band), least_sites * (1 + band))).select("h", "g")
-    exact = lines.select("h", "g", "site").join(near, ["h", "g"], "left_semi").distinct().groupBy("h", "g").agg(F.count("site").alias("sites"))
-    return guess.where(F.col("sites") > least_sites * (1 + band)).select("h", "g").unionByName(exact.where(F.col("sites") >= least_sites).select("h", "g"))
+    guess = materialise(sketches.select("h", "g", "k", F.hll_sketch_estimate("s").alias("sites")), "sketches")
+    total = guess.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    near = guess.where(F.col("sites").between(least_sites * (1 - band), least_sites * (1 + band))).select("h", "g", "k")
+    exact = join_hot(lines.select("h", "g", "site"), near, ["h", "g"], "k", total).distinct().groupBy("h", "g").agg(F.count("site").alias("sites"))
+    exact = near.join(exact.where(F.col("sites") >= least_sites), ["h", "g"], "left_semi")
+    return guess.where(F.col("sites") > least_sites * (1 + band)).select("h", "g", "k").unionByName(exact), total
 
 
 def removable(docs: DataFrame, **options) -> DataFrame:
     """id, version (hash of the text), gone: the line numbers that go, for documents that lose any."""
     columns = {k: options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("site_col", "source"))}
     lines = _lines(docs, **columns)
-    found = materialise(lines.join(spread_lines(docs, **options), ["h", "g"], "left_semi").select("h", "g", "id", "version", "pos"), "spread")
+    spread, total = spread_lines(docs, **options)
+    found = materialise(join_hot(lines, materialise(spread, "spread"), ["h", "g"], "k", total).select("h", "g", "id", "version", "pos"), "found")
     first = materialise(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("k")), "first")
     return join_hot(found, first, ["h", "g"], "k", found.count()).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
 

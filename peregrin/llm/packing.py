@@ -161,7 +161,9 @@ def pack(pieces: DataFrame, *, sequence: int = SEQUENCE, group_pieces: int = GRO
     """Adds sequence_id and offset to each piece.
 
     Groups hold group_pieces pieces on average, however long the documents: their
-    number follows that of the pieces, and a hash deals these out evenly. Equal
+    number follows that of the pieces, and a hash of a piece's place in the table
+    deals these out evenly, so that equal rows don't gather. pieces has to be a
+    written table, where a row has the same place whenever it is read. Equal
     pieces of equal ids may stand in one order or the other.
     """
     groups = max(1, round(pieces.count() / group_pieces))
@@ -174,7 +176,7 @@ def pack(pieces: DataFrame, *, sequence: int = SEQUENCE, group_pieces: int = GRO
         bins, offsets = first_fit_decreasing(table["length"].to_pylist(), sequence)
         return table.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("grp").applyInArrow(group, schema)
+    return pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups))).groupBy("grp").applyInArrow(group, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

@@ -17,7 +17,6 @@ The classifier is linear, with weights in numpy.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ from .language import held_out
 POSITIVES, UNLABELLED = 1500, 4000
 #: Most features, and least share of the positives that has one.
 FEATURES, LEAST_SHARE = 300, 0.02
-PLACES = 1 << 20
 WORD = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -41,29 +39,38 @@ def features_of(text: str) -> set[str]:
     return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in BEGINNINGS))
 
 
-def common_places(texts: list[str], least: int) -> np.ndarray:
-    """Which of 2^20 hash places are met in at least `least` of the texts: all frequent features are among them, in bounded memory."""
-    counts = np.zeros(PLACES, np.int32)
-    for t in texts:
-        counts[np.unique(np.fromiter((zlib.crc32(f.encode()) for f in features_of(t)), np.int64) % PLACES)] += 1
-    return counts >= least
+def count_features(sample: DataFrame) -> DataFrame:
+    """feature, a, b: in how many of the positives (kind 0) and of the unlabelled texts (kind 1) each feature stands."""
 
+    def count(batches):
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for f in features_of(text or ""):
+                    counts.setdefault(f, [0, 0])[kind] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["feature", "a", "b"])
+
+    return sample.select("text", "kind").mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-def keep_places(texts: list[str], places: np.ndarray) -> list[list[str]]:
-    """Of each text's features those with a marked place."""
-    return [[f for f in features_of(t) if places[zlib.crc32(f.encode()) % PLACES]] for t in texts]
 
+def select(counts: DataFrame, p: int, u: int, prior: float, most: int = FEATURES, least: float = LEAST_SHARE) -> DataFrame:
+    """feature, gain: those in at least a share of the p positives, with which a text is likelier toxic than not, by how much likelier they are there than among the u unlabelled."""
+    a, b = F.col("a"), F.col("b")
+    gain = a / F.lit(p) * F.log((a + 0.5) / F.lit(p) / ((b + 0.5) / F.lit(u)))
+    frequent = (a >= max(3.0, least * p)) & (F.lit(prior) * a / F.lit(p) > 0.5 * (b + 1) / F.lit(u))
+    return counts.where(frequent).select("feature", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "feature").limit(most)
 
-def select(positive: list, unlabelled: list, prior: float, most: int = FEATURES, least: float = LEAST_SHARE) -> list[str]:
-    """Features in at least a share of the positives, with which a text is likelier toxic than not, by how much likelier they are there."""
-    counts: dict[str, list[int]] = {}
-    for k, group in enumerate((positive, unlabelled)):
-        for s in group:
-            for f in s:
-                counts.setdefault(f, [0, 0])[k] += 1
-    p, u = max(1, len(positive)), max(1, len(unlabelled))
-    gain = {f: a / p * np.log((a + 0.5) / p / ((b + 0.5) / u)) for f, (a, b) in counts.items() if a >= max(3, least * p) and prior * a / p > 0.5 * (b + 1) / u}
-    return sorted(gain, key=lambda f: (-gain[f], f))[:most]
+
+def marked(sample: DataFrame, names: list[str]) -> DataFrame:
+    """kind and the places in names of each text's features."""
+    places = {f: i for i, f in enumerate(names)}
+
+    def mark(batches):
+        for batch in batches:
+            at = [sorted(places[f] for f in features_of(t or "") if f in places) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32()))], names=["kind", "at"])
+
+    return sample.select("text", "kind").mapInArrow(mark, "kind int, at array<int>")
 
 
 def train(pos: np.ndarray, unl: np.ndarray, prior: float, *, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -104,11 +111,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def matrix(sets: list, names: list[str]) -> np.ndarray:
-    places = {f: i for i, f in enumerate(names)}
-    out = np.zeros((len(sets), len(names)))
-    for r, s in enumerate(sets):
-        out[r, [places[f] for f in s if f in places]] = 1
+def matrix(rows: list[list[int]], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
+    for r, at in enumerate(rows):
+        out[r, at] = 1
     return out
 
 
@@ -116,19 +122,24 @@ def fit(rows: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABE
     """rows: id, text, and toxic (1, 0 or null) of rows whose labels may be learnt from.
 
     Texts are those of smallest hash of id and text, of the stated numbers at
-    most; the prior comes from all labels.
+    most; the prior comes from all labels. Features are counted, chosen and
+    marked where the texts lie: the driver gets the chosen ones, and for each
+    text of the sample which of them it has.
     """
     n_pos, n_all, n_labelled = rows.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count("*"), F.count("toxic")).first()
-    prior = min(0.5, max(0.001, n_pos / n_labelled)) if n_labelled else 0.0
-    take = lambda df, most, n: sorted(r["text"] or "" for r in fixed_sample(df.withColumn("all_", F.lit(1)), ["id", "text"], {1: (most, n)}, "all_", seed).select("text").collect())
-    pos, unl = (take(rows.where("toxic = 1"), positives, n_pos), take(rows, unlabelled, n_all)) if n_pos else ([], [])
-    if not pos or not unl:
+    take = lambda df, most, n, kind: fixed_sample(df.withColumn("all_", F.lit(1)), ["id", "text"], {1: (most, n)}, "all_", seed).select("text", F.lit(kind).alias("kind"))
+    if not n_pos:
+        return ToxicityModel([], np.zeros(0), -5.0)
+    prior = n_pos / n_labelled
+    sample = materialise(take(rows.where("toxic = 1"), positives, n_pos, 0).unionByName(take(rows, unlabelled, n_all, 1)), "sample")
+    p, u = sample.agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)).first()
+    chosen = materialise(select(count_features(sample), max(1, p), max(1, u), prior), "features").collect()
+    names = [r.feature for r in sorted(chosen, key=lambda r: (-r.gain, r.feature))]
+    bits = sorted((r.kind, r["at"]) for r in materialise(marked(sample, names), "marked").collect())
+    if not p or not u:
         return ToxicityModel([], np.zeros(0), -5.0)
-    marked = common_places(pos, max(3, int(LEAST_SHARE * len(pos))))
-    pos, unl = keep_places(pos, marked), keep_places(unl, marked)
-    names = select(pos, unl, prior)
-    weights, bias = train(matrix(pos, names), matrix(unl, names), prior)
-    return ToxicityModel(names, weights, bias)
+    pos, unl = (matrix([at for k, at in bits if k == kind], len(names)) for kind in (0, 1))
+    return ToxicityModel(names, *train(pos, unl, prior))
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:

@@ -158,6 +158,19 @@ def test_lines_follow_sites(spark):
     assert 50 not in kept and kept[0] == rows[0][1] and spread not in kept[3] and near in kept[3]
 
 
+@pytest.mark.parametrize("most", [10, 12, 3000])
+def test_spread_lines_equal_exact_counts(spark, most):
+    """Thresholds in and beyond the range in which sketches are exact; one line makes up most of all occurrences."""
+    rng = random.Random(most)
+    of = {f"line {k}": int(most * rng.choice([0.5, 0.8, 0.95, 0.999, 1, 1.001, 1.05, 1.5])) for k in range(24)} | {"hot": most * 3}
+    rows = [(i, "\n".join(x for x, n in of.items() if i < n), f"s{i}") for i in range(most * 3)] + [(10**6 + i, "hot", "s0") for i in range(most * 3)]
+    docs = make(spark, rows)
+    got, total = lines.spread_lines(docs, least_sites=most)
+    hashes = {(r.h, r.g): r.line for r in lines._lines(docs, "doc_id", "text", "source").join(docs.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")), ["id", "pos"]).select("h", "g", "line").distinct().collect()}
+    assert {hashes[r.h, r.g]: r.k for r in got.collect()} == {x: n * (2 if x == "hot" else 1) for x, n in of.items() if n >= most}
+    assert total == sum(n * (2 if x == "hot" else 1) for x, n in of.items() if n * (2 if x == "hot" else 1) >= most)
+
+
 def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(12)
     a, b, c, d = (prose(rng, 200) for _ in range(4))
@@ -399,6 +412,22 @@ def test_toxicity_from_positives_and_unlabelled(spark):
     assert got[900].score == got[901].score and got[900].predicted == 0 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxic_features_equal_counts_by_hand(spark):
+    """Counts and choice in Spark are those of a plain loop; of equal gains the smaller feature comes first."""
+    rng = random.Random(9)
+    texts = [(prose(rng, 30) + (" vile awful" if k == 0 else ""), k) for k in (0, 1) for _ in range(60)] + [(None, 1), ("", 0)]
+    sample = spark.createDataFrame(texts, "text string, kind int")
+    want = {f: [sum(f in toxicity.features_of(t or "") for t, k in texts if k == kind) for kind in (0, 1)] for f in {f for t, _ in texts for f in toxicity.features_of(t or "")}}
+    counts = toxicity.count_features(sample)
+    assert {r.feature: [r.a, r.b] for r in counts.collect()} == want
+    p, u, prior = 61, 61, 0.3
+    gain = {f: round(a / p * np.log((a + 0.5) / p / ((b + 0.5) / u)), 9) for f, (a, b) in want.items() if a >= 3 and prior * a / p > 0.5 * (b + 1) / u}
+    got = [(r.feature, r.gain) for r in toxicity.select(counts, p, u, prior, most=6).collect()]
+    assert [f for f, _ in got] == sorted(gain, key=lambda f: (-gain[f], f))[:6] and {"vile", "awful"} <= {f for f, _ in got}
+    names = [f for f, _ in got]
+    assert sorted((r.kind, r["at"]) for r in toxicity.marked(sample, names).collect()) == sorted((k, [i for i, f in enumerate(names) if f in toxicity.features_of(t or "")]) for t, k in texts)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) + (" stupid idiot" if i % 6 == 0 else "")) for i in range(300)]
@@ -485,6 +514,13 @@ def test_packing_of_repeated_rows_null_ids_and_ties(spark):
             assert len(by_sequence) == 1
 
 
+def test_equal_rows_are_dealt_over_all_groups(spark):
+    docs = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    pieces = common.materialise(packing.cut_pieces(docs, queries.word_tokenizer()), "pieces")
+    sizes = [r["count"] for r in packing.pack(pieces, group_pieces=1000).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("g")).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 20_000 and max(sizes) < 1300
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.ChunkEncoder(queries.word_tokenizer())
     for t in ["", "  ", "don't WE'LL 'S it''s A1b2 x́e İstanbul ΑΣΣ a\x1cb ²³ ½ <|endoftext|>x 日本語 ﬁ 🙂👍 \x85q r", "Ünïcode, ÅǺ ſs ŉ ß ẞ", "Word, word. (word) WORD!!! $$$ 12,5"]:
