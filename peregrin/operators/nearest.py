@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geo import haversine_km
 from ..session import cut
@@ -32,30 +32,30 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int, by: str = "destinat
     reach = F.greatest(F.sqrt(area * F.lit(SPARE * k / math.pi) / F.col("total")), F.lit(0.05))
     groups = box.select(F.col(by).alias("g"), "total", reach.alias("reach"))
     left = cut(points.select(F.col(by).alias("g"), F.col("id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).distinct().join(groups, "g"))
-    right = targets.select(F.col(by).alias("g"), F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).join(groups.select("g", "reach"), "g")
-    found, factor = None, 1.0
-    while True:
-        height = F.col("reach") * F.lit(factor)
-        step = height / F.lit(KM_PER_DEGREE)
+    right = targets.select(F.col(by).alias("g"), F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    step = F.col("reach") / F.lit(KM_PER_DEGREE)
 
-        def column(row, lon, step=step):
-            # A row's cells are as wide as its end nearer to a pole needs, with one row more for good measure.
-            pole = F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)) + step, F.lit(89.9))
-            return F.floor(F.col(lon) * F.cos(F.radians(pole)) / step)
+    def column(row, lon):
+        # A row's cells are as wide as its end nearer to a pole needs, with one row more for good measure.
+        pole = F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)) + step, F.lit(89.9))
+        return F.floor(F.col(lon) * F.cos(F.radians(pole)) / step)
 
+    # The height is a column, so each round has the same plan, whose code is made once.
+    found, factor = None, 1.0
+    while True:
         shifts = lambda: F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
         asked = left.withColumn("dy", shifts()).withColumn("row", F.floor(F.col("lat1") / step) + F.col("dy")).withColumn("dx", shifts()).withColumn("col", column(F.col("row"), "lon1") + F.col("dx"))
-        have = right.withColumn("row", F.floor(F.col("lat2") / step)).withColumn("col", column(F.col("row"), "lon2")).select("g", "row", "col", "dst", "lat2", "lon2")
+        have = right.join(left.select("g", "reach").distinct(), "g").withColumn("row", F.floor(F.col("lat2") / step)).withColumn("col", column(F.col("row"), "lon2")).select("g", "row", "col", "dst", "lat2", "lon2")
         km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-        near = asked.join(have, ["g", "row", "col"]).withColumn("km", km).where(F.col("km") <= height)
-        best = cut(top(near.select("g", "src", "dst", "km", "total"), ["g", "src"], [F.asc("km"), F.asc("dst")], k))
-        enough = best.groupBy("g", "src").agg(F.count("*").alias("n"), F.first("total").alias("total")).where(F.col("n") >= F.least(F.lit(k), F.col("total"))).select("g", "src")
+        near = asked.join(have, ["g", "row", "col"]).withColumn("km", km).where(F.col("km") <= F.col("reach"))
+        best = top(near.select("g", "src", "dst", "km", "total"), ["g", "src"], [F.asc("km"), F.asc("dst")], k)
+        enough = F.count("*").over(Window.partitionBy("g", "src")) >= F.least(F.lit(k), F.col("total"))
         # What lies farther apart than any two places can is all that there is.
-        part = best if factor * 0.05 > FARTHEST else best.join(enough, ["g", "src"], "left_semi")
+        part = cut((best if factor * 0.05 > FARTHEST else best.withColumn("enough", enough).where("enough")).select("g", "src", "dst", "km", "rank", "total"))
         found = part if found is None else found.unionByName(part)
         if factor * 0.05 > FARTHEST:
             break
-        left = left.join(enough, ["g", "src"], "left_anti")
+        left = cut(left.join(part.where("rank = 1").select("g", "src"), ["g", "src"], "left_anti").withColumn("reach", F.col("reach") * 2))
         if left.isEmpty():
             break
         factor *= 2
