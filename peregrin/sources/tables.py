@@ -78,6 +78,15 @@ def walk(spark: SparkSession, name: str, start: DataFrame, *relations: str) -> D
     return at.withColumnRenamed("at", "dst")
 
 
+def walk_counts(spark: SparkSession, name: str, start: DataFrame, *relations: str) -> DataFrame:
+    """start, dst, paths: the ends that walk gives and how many paths lead there; paths that meet at a node go on as one row with their number."""
+    at = start.select(F.col("id").alias("start"), F.col("id").alias("at"), F.lit(1).cast("long").alias("paths"))
+    for relation in relations:
+        edges = spark.table(f"{name}_edges").where(F.col("relation") == relation).select("src", "dst")
+        at = at.join(edges, F.col("at") == F.col("src")).groupBy("start", F.col("dst").alias("at")).agg(F.sum("paths").alias("paths"))
+    return at.withColumnRenamed("at", "dst")
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Parquet, CSV with a header, or text (one string column)."""
     writer = df.write.mode("overwrite")
