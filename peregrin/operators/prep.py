@@ -50,20 +50,22 @@ def fuzzy_matches(lines: DataFrame, names: DataFrame) -> DataFrame:
     Of two texts that contain each other the longer has the first three letters
     of the shorter among its 3-letter pieces, so pairs meet on pieces only. Texts
     under three letters, which have no piece, are compared by their first letter.
+    Equal lines are compared once.
     """
 
     def pieces(c: Column, n: int) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
-    a = lines.select("line_id", F.lower(F.trim("line")).alias("l")).where("length(l) > 0")
+    a = lines.select(F.lower(F.trim("line")).alias("l")).where("length(l) > 0").distinct()
     b = names.select(F.lower(F.trim("name")).alias("n")).where("length(n) > 0").distinct()
     found = None
     for n, fits in ((3, lambda c: F.length(c) >= 3), (1, lambda c: F.length(c) < 3)):
-        within = a.select("line_id", "l", F.explode(pieces(F.col("l"), n)).alias("p")).join(b.where(fits(F.col("n"))).withColumn("p", F.substring("n", 1, n)), "p").where(F.col("l").contains(F.col("n")))
+        within = a.select("l", F.explode(pieces(F.col("l"), n)).alias("p")).join(b.where(fits(F.col("n"))).withColumn("p", F.substring("n", 1, n)), "p").where(F.col("l").contains(F.col("n")))
         around = a.where(fits(F.col("l"))).withColumn("p", F.substring("l", 1, n)).join(b.select("n", F.explode(pieces(F.col("n"), n)).alias("p")), "p").where(F.col("n").contains(F.col("l")))
-        both = within.select("line_id").unionByName(around.select("line_id"))
+        both = within.select("l").unionByName(around.select("l"))
         found = both if found is None else found.unionByName(both)
-    return lines.join(found.distinct().withColumn("hit", F.lit(True)), "line_id", "left").select("line_id", "line", F.coalesce("hit", F.lit(False)).alias("matched"))
+    hits = found.distinct().withColumn("hit", F.lit(True))
+    return lines.withColumn("l", F.lower(F.trim("line"))).join(hits, "l", "left").select("line_id", "line", F.coalesce("hit", F.lit(False)).alias("matched"))
 
 
 def build_places(elements: DataFrame, info: DataFrame) -> DataFrame:
