@@ -8,6 +8,7 @@ moves that a choice has are scored at once, as rows of arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +23,8 @@ from .cluster import zone_labels
 FOOD = "food"
 MEAL_TRAVEL, MEAL_WINDOW, MEAL_NEAR, MEAL_TRIES, MEAL_DROPS = 0.25, 2.0, 1.25, 5, 2
 VISIT_MINUTES, OPEN_HOUR, CLOSE_HOUR = 60, 0, 24
+#: Places up to which a trip keeps all distances; with more they are worked out as they are asked for.
+KEPT_PLACES = 1024
 
 
 # ---------------------------------------------------------------- expressions
@@ -106,6 +109,20 @@ def line_matrix(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
 
 
+class Lines:
+    """As line_matrix, indexed by rows or by rows and columns, but worked out when asked for. apart: a place at no distance from any."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, apart: int | None = None, of: Callable[[np.ndarray], np.ndarray] = lambda km: km):
+        self.p, self.q, self.apart, self.of = np.radians(lat), np.radians(lon), apart, of
+        self.c = np.cos(self.p)
+
+    def __getitem__(self, at) -> np.ndarray:
+        i, j = at if isinstance(at, tuple) else (np.asarray(at)[..., None], np.arange(len(self.p)))
+        h = np.sin((self.p[i] - self.p[j]) / 2) ** 2 + self.c[i] * self.c[j] * np.sin((self.q[i] - self.q[j]) / 2) ** 2
+        found = self.of(2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))))
+        return found if self.apart is None else np.where((np.asarray(i) == self.apart) | (np.asarray(j) == self.apart), 0.0, found)
+
+
 def minutes_matrix(km: np.ndarray, mode: str) -> np.ndarray:
     by = {m: km / v * 60 + extra for m, (v, extra, _) in MODES.items()}
     if mode == "hybrid":
@@ -253,12 +270,17 @@ class Trip:
             lat, lon = column("lat", np.nan), column("lon", np.nan)
             if hub is not None:
                 lat[-1], lon[-1] = hub
-            km = line_matrix(lat, lon)
-            minutes = minutes_matrix(km, mode)
+            far = self.n > KEPT_PLACES
+            km = None if far else line_matrix(lat, lon)
+            minutes = None if far else minutes_matrix(km, mode)
         size = self.n + 1
-        self.km, self.minutes = np.zeros((size, size)), np.zeros((size, size))
-        known = size if self.has_hub else self.n
-        self.km[:known, :known], self.minutes[:known, :known] = km[:known, :known], minutes[:known, :known]
+        if km is None:
+            apart = None if self.has_hub else self.n
+            self.km, self.minutes = Lines(lat, lon, apart), Lines(lat, lon, apart, lambda x: minutes_matrix(x, mode))
+        else:
+            self.km, self.minutes = np.zeros((size, size)), np.zeros((size, size))
+            known = size if self.has_hub else self.n
+            self.km[:known, :known], self.minutes[:known, :known] = km[:known, :known], minutes[:known, :known]
         self.visit, self.opens, closes = column("visit", VISIT_MINUTES), column("open", OPEN_HOUR), column("close", CLOSE_HOUR)
         self.closes = np.where(closes < self.opens, 24.0, closes)
         self.food = np.append((places["category"] == FOOD).to_numpy(bool), False) if "category" in places else np.zeros(size, bool)
@@ -268,7 +290,9 @@ class Trip:
     def know_venues(self, searched: np.ndarray, reach: np.ndarray) -> None:
         """All venues within `reach` of the places `searched` are known, and so all within what is left of it around any other place."""
         if not self.on_roads and len(searched):
-            self.reach = np.maximum(0.0, (reach[:, None] - self.km[searched]).max(0))
+            self.reach = np.zeros(self.n + 1)
+            for at, far in zip(searched, reach, strict=True):
+                self.reach = np.maximum(self.reach, far - self.km[at])
             if not self.has_hub:
                 self.reach[self.n] = 0.0
 

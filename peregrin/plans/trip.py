@@ -113,6 +113,15 @@ def with_defaults(requests: DataFrame, mode: str = "hybrid") -> DataFrame:
     return requests
 
 
+def useful_venues(food: DataFrame, n: int) -> DataFrame:
+    """Of food places that lie at one point of a city and agree in visit and hours only the n of smallest id.
+
+    On great circles they serve a meal alike, the smaller id first; a trip that
+    places fewer than n of them, with the tries of a meal, never comes to the rest.
+    """
+    return R.top(food, ["destination_id", "lat", "lon", "visit", "open", "close"], [F.asc("id")], n).drop("rank")
+
+
 def meal_venues(sights: DataFrame, kinds: DataFrame, food: DataFrame, centres: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """trip_id, id: the k food places nearest to each of a trip's sights and its city's centre, of those open at an hour at which it eats.
 
@@ -146,12 +155,18 @@ def route_trips(kinds: DataFrame, sights: DataFrame, places: DataFrame, centres:
     detail = places.select("id", "lat", "lon", "category", "visit", "open", "close")
     food = places.where(F.col("category") == RT.FOOD)
     columns = ["trip_id", "id", "lat", "lon", "visit", "open", "close", "category", "role"]
+    longest = kinds.agg(F.max("days")).first()[0] or 1
     typical = food.groupBy("destination_id").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY coalesce(visit, {RT.VISIT_MINUTES}) DESC)").cast("double").alias("typical_meal"))
     own = kinds.select("trip_id", "destination_id", "days", F.col("day_budget").alias("budget"), "mode").join(centres, "destination_id").join(typical, "destination_id", "left").drop("destination_id")
     if matrix is not None:
         # The centre is a stop of its own where legs are looked up.
         hub = own.where("hub_lat is not null").select("trip_id", F.lit(-1).cast("long").alias("id"), F.col("hub_lat").alias("lat"), F.col("hub_lon").alias("lon"), F.lit("hub").alias("role"))
 
+    else:
+        # What a trip may have placed: a venue for each meal, and all its sights.
+        most_sights = sights.groupBy("trip_id").count().agg(F.max("count")).first()[0] or 0
+        food = cut(useful_venues(food, MEALS_PER_DAY * longest + RT.MEAL_TRIES + most_sights))
+
     def plan(left: DataFrame, k: int | None) -> DataFrame:
         """Itineraries of the kinds left, with the k venues nearest to each sight, or all."""
         mine = sights.join(left.select("trip_id"), "trip_id", "left_semi")
@@ -174,7 +189,7 @@ def route_trips(kinds: DataFrame, sights: DataFrame, places: DataFrame, centres:
 
     days = None
     if near_venues:
-        k, left = FIRST_VENUES * (MEALS_PER_DAY * (kinds.agg(F.max("days")).first()[0] or 1) + RT.MEAL_TRIES), kinds
+        k, left = FIRST_VENUES * (MEALS_PER_DAY * longest + RT.MEAL_TRIES), kinds
         most = food.groupBy("destination_id").count().agg(F.max("count")).first()[0] or 0
         while k < most:
             got = cut(plan(left, k))
