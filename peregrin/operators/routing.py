@@ -209,6 +209,35 @@ def shorten_paths(km: np.ndarray, paths: np.ndarray, fixed: int = 1) -> np.ndarr
     return paths
 
 
+def shorten_path(km, path: np.ndarray, fixed: int = 1) -> np.ndarray:
+    """As shorten_paths for one path and distances that are the same both ways, row by row, so nothing grows with the square of the path."""
+    path, n = np.array(path), len(path)
+    last, moved = (fixed, fixed), False
+    while n - fixed > 1:
+        # The first gain behind the last one, by i and then j.
+        i, j = last
+        while i < n - 1:
+            ends = path[j + 1 :]
+            first = n - len(ends)
+            gains = (km[path[i - 1], path[i]] - km[path[i - 1], ends]) if len(ends) else np.empty(0)
+            if len(gains) > 0:
+                after = np.zeros(len(gains))
+                after[:-1] = km[ends[:-1], ends[1:]] - km[path[i], ends[1:]]
+                hit = np.flatnonzero(gains + after > 1e-9)
+                if len(hit):
+                    j = first + int(hit[0])
+                    break
+            i, j = i + 1, i + 1
+        if i < n - 1:
+            path[i : j + 1] = path[i : j + 1][::-1].copy()
+            last, moved = (i, j), True
+        elif moved:
+            last, moved = (fixed, fixed), False
+        else:
+            break
+    return path
+
+
 def nearest_tour(km: np.ndarray, stops: list[int], hub: int | None = None) -> list[int]:
     """From the hub, or else the first stop, always on to the nearest left."""
     first = [] if hub is not None or not len(stops) else [stops[0]]
@@ -579,9 +608,9 @@ def tours(places: DataFrame, two_opt: bool = True) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        km = line_matrix(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float))
-        tour = nearest_tour(km, list(range(len(pdf))))
-        tour = shorten(km, tour) if two_opt else tour
+        km = Lines(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float))
+        tour = np.array(nearest_tour(km, list(range(len(pdf)))), int)
+        tour = shorten_path(km, tour) if two_opt else tour
         return pd.DataFrame({"trip_id": pdf["trip_id"], "seq": range(1, len(pdf) + 1), "id": pdf["id"].to_numpy()[tour]})
 
     return places.select(F.col("trip_id").cast("long").alias("trip_id"), F.col("id").cast("long").alias("id"), "lat", "lon").groupBy("trip_id").applyInPandas(work, "trip_id long, seq int, id long")
