@@ -23,6 +23,8 @@ from .cluster import zone_labels
 FOOD = "food"
 MEAL_TRAVEL, MEAL_WINDOW, MEAL_NEAR, MEAL_TRIES, MEAL_DROPS = 0.25, 2.0, 1.25, 5, 2
 VISIT_MINUTES, OPEN_HOUR, CLOSE_HOUR = 60, 0, 24
+#: Stops that a row of a point names, on average, and groups that a trip's rows are dealt into.
+SPOT, PARTS = 256, 16
 #: Places up to which a trip keeps all distances; with more they are worked out as they are asked for.
 KEPT_PLACES = 1024
 
@@ -30,21 +32,22 @@ KEPT_PLACES = 1024
 # ---------------------------------------------------------------- expressions
 
 
-def legs(stops: DataFrame, mode: Column, matrix: DataFrame | None = None) -> DataFrame:
+def legs(stops: DataFrame, mode: Column, matrix: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """trip_id, src, dst, km, minutes of every two stops of a trip, both ways.
 
     matrix: optional trip_id, src, dst, profile (car, foot), km, minutes measured
     on roads. It is used for a trip only if no leg of a needed profile is
     missing; otherwise all its legs are great circles. A leg on roads gets the
-    mode's overhead on top; hybrid chooses by the distance on foot.
+    mode's overhead on top; hybrid chooses by the distance on foot. digits: to
+    which km and minutes are rounded, if at all. mode may depend on the trip.
     """
+    if matrix is None:
+        return _line_legs(stops, mode, digits)
     a = stops.select("trip_id", F.col("id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = stops.select("trip_id", F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     pairs = a.join(b, "trip_id").where("src <> dst")
     line = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     pairs = pairs.select("trip_id", "src", "dst", line.alias("line_km"), mode.alias("mode"))
-    if matrix is None:
-        return pairs.select("trip_id", "src", "dst", F.col("line_km").alias("km"), leg_minutes(F.col("line_km"), F.col("mode")).alias("minutes"), F.lit(False).alias("on_roads"))
     for p in ("car", "foot"):
         part = matrix.where(F.col("profile") == p).select("trip_id", "src", "dst", F.col("km").alias(f"{p}_km"), F.col("minutes").alias(f"{p}_min"))
         pairs = pairs.join(part, ["trip_id", "src", "dst"], "left")
@@ -55,7 +58,27 @@ def legs(stops: DataFrame, mode: Column, matrix: DataFrame | None = None) -> Dat
     road_km = F.when(drive, F.col("car_km")).otherwise(F.col("foot_km"))
     road_min = F.when(drive, F.col("car_min") + F.lit(MODES["driving"][1])).otherwise(F.col("foot_min") + F.lit(MODES["walking"][1]))
     roads = F.col("whole") == 1
-    return pairs.join(whole, "trip_id").select("trip_id", "src", "dst", F.when(roads, road_km).otherwise(F.col("line_km")).alias("km"), F.when(roads, road_min).otherwise(leg_minutes(F.col("line_km"), F.col("mode"))).alias("minutes"), roads.alias("on_roads"))
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    return pairs.join(whole, "trip_id").select("trip_id", "src", "dst", shown(F.when(roads, road_km).otherwise(F.col("line_km"))).alias("km"), shown(F.when(roads, road_min).otherwise(leg_minutes(F.col("line_km"), F.col("mode")))).alias("minutes"), roads.alias("on_roads"))
+
+
+def _line_legs(stops: DataFrame, mode: Column, digits: int | None = None) -> DataFrame:
+    """legs on great circles: worked out, and rounded, once for two points, however many stops of a trip lie there."""
+    at = ["trip_id", "lat", "lon"]
+    sizes = stops.groupBy(*at).agg(F.count("*").alias("n"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"z.{c}")) for c in at]
+    # Stops of one point lie in rows of about SPOT, and a trip's rows in PARTS groups, each of which meets all rows of the trip.
+    part = F.pmod(F.xxhash64("s.id"), F.ceil(F.col("z.n") / F.lit(SPOT)))
+    rows = stops.alias("s").join(sizes.alias("z"), same).groupBy("s.trip_id", "s.lat", "s.lon", part.alias("part")).agg(F.collect_list("s.id").alias("ids"))
+    a = rows.select("trip_id", F.col("ids").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.pmod(F.xxhash64("lat", "lon", "part"), F.lit(PARTS)).alias("deal"))
+    b = rows.select("trip_id", F.col("ids").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("deal"))
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    # Few small rows make very many legs, so their groups must not be put together by size.
+    tasks = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (side.repartition(tasks, "trip_id", "deal") for side in (a, b))
+    pairs = a.join(b.hint("merge"), ["trip_id", "deal"]).select("trip_id", "src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"), mode.alias("mode"))
+    pairs = pairs.select("trip_id", "src", "dst", shown(F.col("km")).alias("km"), shown(leg_minutes(F.col("km"), F.col("mode"))).alias("minutes"))
+    return pairs.withColumn("src", F.explode("src")).withColumn("dst", F.explode("dst")).where("src <> dst").select("trip_id", "src", "dst", "km", "minutes", F.lit(False).alias("on_roads"))
 
 
 def within_budget(candidates: DataFrame, most_price: str = "most_price") -> DataFrame:

@@ -126,7 +126,7 @@ def _hub_stops(spark, d):
 
 def travel_mode_legs(spark, d):
     mode = F.element_at(F.array(F.lit("walking"), F.lit("driving"), F.lit("hybrid"), F.lit("unknown")), (F.col("trip_id") % 4 + 1).cast("int"))
-    return RT.legs(_hub_stops(spark, d), mode).select("trip_id", "src", "dst", F.round("km", 6).alias("km"), F.round("minutes", 6).alias("minutes"))
+    return RT.legs(_hub_stops(spark, d), mode, digits=6).select("trip_id", "src", "dst", "km", "minutes")
 
 
 def supplied_matrix_fallback(spark, d):
